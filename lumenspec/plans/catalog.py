@@ -1,0 +1,8 @@
+"""Queries over the derived views of the test tables, with the SQL that they must agree with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
