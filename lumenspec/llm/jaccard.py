@@ -5,21 +5,24 @@ similarity reaches the threshold. The result is each document's component under
 
 1. A count sketch of all shingles gives a global order, rare first (any fixed order keeps prefix filtering exact; a
    good one keeps prefixes free of shared passages). Two sets that link share a shingle among the first
-   n - ceil(t n) + 1 of each. These prefix rows are the one large shuffle.
-2. Similar documents become groups: within the posting of a prefix shingle every class is compared with the smallest
-   one only. Classes that link to it form components, and these, cut into parts of bounded size, are the groups.
+   n - ceil(t n) + 1 of each, at places early enough to leave room for the overlap they need. These prefix rows, with
+   size and place, are the one large shuffle.
+2. Similar documents become groups: in the posting of a prefix shingle each class is compared with the next smaller one,
+   and then, ROUNDS times, one class of each component with one of the posting. What links forms components, and these, cut
+   into parts of bounded size, are the groups.
 3. Token-group matrix: postings now hold groups, so the copies of a text count once. A query class meets the groups of
-   other components in its postings; the overlap of its set with the union of a group's sets bounds its overlap with any
-   member. Only groups whose bound reaches the threshold are opened, and their members compared one by one.
+   other components that its postings allow by size and place; the overlap of its set with the union of a group's sets
+   bounds its overlap with any member. Only groups whose bound reaches the threshold are opened, and their members
+   compared one by one.
 4. Components of all links found. A pair that links either lies in one component already or is found in step 3.
 
-Frequent shingles are dealt to several tasks each (their parts' smallest classes then meet), joins on hot keys are left
-to Spark's skew handling, and texts, not sets, travel to comparisons.
+Frequent shingles are dealt to several tasks each, joins on hot keys are left to Spark's skew handling, and texts, not
+sets, travel to comparisons.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import as_table, components, mix, shingle_sets
 
-SKETCH_BITS, SLICES = 20, 64
-FREQUENT, GROUP = 1000, 64
+SKETCH_BITS, SLICES = 22, 64
+FREQUENT, GROUP, ROUNDS = 1000, 64, 4
+SMALL = 100_000  # classes up to which their ids are broadcast to the scan of texts
 PASS = 64  # sketches that one task adds up
 
 
@@ -54,21 +58,22 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     span = (1 << SKETCH_BITS) // SLICES
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         names = ["kind", "id", "n", "sig", "part", "counts"]
         for b in batches:
             n, sig, seen = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
             for i, tokens in shingle_sets(b.column(1), width):
                 n[i], sig[i] = len(tokens), set_id(tokens)
                 seen.append(tokens)
-                if i % 512 == 511 or i == b.num_rows - 1:
-                    counts += np.bincount((np.concatenate(seen) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                if i % 4096 == 4095 or i == b.num_rows - 1:
+                    bucket, times = np.unique((np.concatenate(seen) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                    counts[bucket] += times.astype(np.int32)
                     seen = []
             k = b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), b.column(0), pa.array(n), pa.array(sig), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
         if counts.any():
-            slices = [counts[s * span : (s + 1) * span].astype("<i8" if counts.max() >= 1 << 31 else "<i4") for s in range(SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SLICES, np.int32)), pa.array(np.arange(SLICES)), pa.array([x.itemsize for x in slices], pa.int64()), pa.array(np.zeros(SLICES, np.int64)), pa.array(np.full(SLICES, TaskContext.get().partitionId())), pa.array([x.tobytes() for x in slices])], names)
+            slices = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, span)  # a shingle's order may be any fixed function of it
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SLICES, np.int32)), pa.array(np.arange(SLICES)), pa.array(np.ones(SLICES, np.int64)), pa.array(np.zeros(SLICES, np.int64)), pa.array(np.full(SLICES, TaskContext.get().partitionId())), pa.array([x.tobytes() for x in slices])], names)
 
     return docs.mapInArrow(part, "kind int, id long, n long, sig long, part long, counts binary")
 
@@ -78,7 +83,7 @@ def sketch(described: DataFrame) -> np.ndarray:
     slices = described.where("kind = 1").select("id", "n", "part", "counts")
 
     def add(key, rows):
-        total = sum(np.frombuffer(c, f"<i{w}").astype("<i8") for c, w in zip(rows["counts"], rows["n"]))
+        total = sum(np.frombuffer(c, "u1" if w == 1 else "<i8").astype("<i8") for c, w in zip(rows["counts"], rows["n"]))
         return rows.iloc[:1].assign(n=8, part=key[1], counts=[total.tobytes()])
 
     while True:
@@ -94,13 +99,18 @@ def sketch(described: DataFrame) -> np.ndarray:
     return out
 
 
+def needed(n, m, percent: int):
+    """The overlap that sets of these sizes need to link (numbers, arrays or columns; rounded down in columns' division)."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int, frequent: int = FREQUENT) -> DataFrame:
-    """(token, sig, low): prefix shingles of two classes or more, with the smallest class that has the shingle (in its part, for frequent ones)."""
-    spark = docs.sparkSession
+    """(token, sig, n, pos, prev): prefix shingles that may be shared by two classes, the class's size, the shingle's place in
+    its order, and the next smaller class of the posting if it may link (in its part of the posting, for frequent shingles)."""
     mean = counts.sum() / len(counts)
     bound = mean + 8 * np.sqrt(mean) + frequent
-    shared = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
-    tokens_of = np.uint64(64 - SKETCH_BITS)
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
+    bits = np.uint64(64 - SKETCH_BITS)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch_counts = shared.value
@@ -109,36 +119,43 @@ def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int, freq
             for i, tokens in shingle_sets(b.column(0), width):
                 n = len(tokens)
                 if n:
-                    c = sketch_counts[(tokens >> tokens_of).astype(np.int64)]
+                    c = sketch_counts[(tokens >> bits).astype(np.int64)]
                     first = np.argsort(c, kind="stable")[: n - at_least(n, percent) + 1]
-                    out.append((tokens[first], np.full(len(first), set_id(tokens), np.int64), c[first]))
+                    out.append((tokens[first], np.full(len(first), set_id(tokens), np.int64), c[first], (n << 36) + (np.arange(len(first)) << 12)))
                 if out and (len(out) == 2048 or i == b.num_rows - 1):
-                    t, sig, c = map(np.concatenate, zip(*out))
-                    salts = 1 + np.maximum(0, (c - mean) // frequent).astype(np.uint64)
-                    salt = np.where(c > bound, mix(sig.view(np.uint64)) % salts + np.uint64(1), 0).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(salt), pa.array(sig)], ["token", "salt", "sig"])
+                    t, sig, c, meta = map(np.concatenate, zip(*out))
+                    salts = np.clip(1 + (c - mean) // frequent, 1, 4094).astype(np.uint64)
+                    salt = np.where(c > bound, mix(sig.view(np.uint64)) % salts + np.uint64(1), 0).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(sig), pa.array(meta + salt)], ["token", "sig", "meta"])
                     out = []
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches]
-        if held:
-            t, salt, sig = map(np.concatenate, zip(*held))
-            order = np.lexsort((sig, salt, t))
-            t, salt, sig = t[order], salt[order], sig[order]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])
-            start = np.flatnonzero(new)
-            end = np.append(start[1:], len(t))
-            keep = (sig[start] != sig[end - 1]) | (salt[start] > 0)  # sorted: one class only, unless these are equal
-            rows = np.repeat(keep, end - start)
-            rows[1:] &= ~((sig[1:] == sig[:-1]) & ~new[1:])
-            low = np.repeat(sig[start], end - start)[rows]
-            for a in range(0, len(low), 1 << 16):
-                s = slice(a, a + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(t[rows][s]), pa.array(sig[rows][s]), pa.array(low[s])], ["token", "sig", "low"])
-
-    rows = docs.select("text").mapInArrow(prefixes, "token long, salt int, sig long")
-    return rows.repartition("token", "salt").mapInArrow(gather, "token long, sig long, low long")
+        if not held:
+            return
+        t, sig, meta = map(np.concatenate, zip(*held))
+        n, pos, salt = meta >> 36, meta >> 12 & 0xFFFFFF, meta & 0xFFF
+        order = np.lexsort((sig, n, salt, t))
+        t, sig, n, pos, salt = (x[order] for x in (t, sig, n, pos, salt))
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])
+        once = new.copy()
+        once[1:] |= sig[1:] != sig[:-1]
+        t, sig, n, pos, salt, new = (x[once] for x in (t, sig, n, pos, salt, new))
+        k = len(t)
+        near = np.zeros(k + 1, bool)  # the row before is of this posting, and of a size that may link
+        near[1:k] = ~new[1:] & (100 * n[:-1] >= percent * n[1:])
+        keep = np.flatnonzero(near[:-1] | near[1:] | (salt > 0))
+        prev = np.concatenate([[0], sig[:-1]])
+        m, q = np.concatenate([[0], n[:-1]]), np.concatenate([[0], pos[:-1]])
+        want = needed(n, m, percent)
+        pair = ~new & (100 * m >= percent * n) & (n - pos >= want) & (m - q >= want)
+        for a in range(0, len(keep), 1 << 16):
+            s = keep[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(t[s]), pa.array(sig[s]), pa.array(n[s]), pa.array(pos[s]), pa.array(prev[s], mask=~pair[s])], ["token", "sig", "n", "pos", "prev"])
+
+    rows = docs.select("text").mapInArrow(prefixes, "token long, sig long, meta long")
+    return rows.repartition("token", F.col("meta").bitwiseAND(0xFFF)).mapInArrow(gather, "token long, sig long, n long, pos long, prev long")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -154,20 +171,43 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.mapInArrow(check, "u long, v long")
 
 
-def opened(posts: DataFrame, label: DataFrame, texts: DataFrame, width: int, percent: int, group: int = GROUP) -> DataFrame:
-    """Links between classes of different components, through the token-group matrix."""
-    texts = texts.select("sig", "text")
+def may_link(n, pos, m, at, percent: int):
+    """Whether sets of sizes n and m, with a shared shingle at these places, can overlap enough (columns)."""
+    want = F.ceil((n + m) * (percent / (100 + percent)) - F.lit(1e-6))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (n - pos >= want) & (m - at >= want)
+
+
+def stars(posts: DataFrame, label: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs (u, v): in each posting of several components, one class of each with one class of the posting."""
+    rows = posts.select("token", "sig", "n", "pos").join(label.select("sig", "label"), "sig")
+    heads = rows.groupBy("token", "label").agg(F.min(F.struct(F.xxhash64("sig", F.lit(seed)).alias("h"), "sig", "n", "pos")).alias("a"))
+    centre = heads.groupBy("token").agg(F.min("a").alias("b"), F.count("*").alias("k")).where("k > 1")
+    pairs = heads.join(centre, "token").where((F.col("a.sig") != F.col("b.sig")) & may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), percent))
+    return pairs.select(F.col("a.sig").alias("u"), F.col("b.sig").alias("v")).distinct()
+
+
+def opened(posts: DataFrame, label: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int, percent: int, group: int = GROUP) -> DataFrame:
+    """Links between classes of different components, through the token-group matrix.
+
+    Before texts are read, a group must share enough of the query's prefix shingles: sets that need an overlap of `want`
+    share at least want - ceil(t n) + 1 of their prefixes, for the smaller n - prefix of the two.
+    """
     sizes = label.groupBy("label").agg(F.count("*").alias("members"))
-    member = label.join(sizes, "label").select("sig", "n", "label", F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / group)).alias("part"))
+    member = as_table(label.join(sizes, "label").select("sig", "n", "label", F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / group)).alias("part")))
     spans = member.groupBy(F.col("label").alias("group_label"), F.col("part").alias("group_part")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    rows = posts.select("token", "sig").join(member, "sig").select("token", "sig", "n", "label", "part")
+    rows = posts.select("token", "sig").join(member, "sig")
     several = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
     rows = as_table(rows.join(several, "token"))
-    columns = rows.select("token", F.col("label").alias("group_label"), F.col("part").alias("group_part")).distinct()
-    met = rows.join(columns, "token").where("label < group_label").select("sig", "n", "group_label", "group_part").distinct()
-    met = as_table(met.join(spans, ["group_label", "group_part"]).where((100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))))
+    columns = rows.groupBy("token", F.col("label").alias("group_label"), F.col("part").alias("group_part")).agg(F.min("n").alias("from"), F.max("n").alias("to"))
+    met = rows.join(columns, "token").where((F.col("label") < F.col("group_label")) & F.expr(f"100 * to >= {percent} * n and 100 * n >= {percent} * from"))
+    met = met.groupBy("sig", "n", "group_label", "group_part").agg(F.count("*").alias("hits")).join(spans, ["group_label", "group_part"])
+    t = percent / 100
+    low, high = F.greatest("least", F.col("n") * t), F.least("most", F.col("n") / t)
+    need = F.least((F.col("n") + low) * (t / (1 + t)) - F.col("n") * t, (F.col("n") + high) * (t / (1 + t)) - high * t)
+    met = as_table(met.where((F.col("hits") >= need - 1) & (low <= high + 1)).select("sig", "n", "group_label", "group_part", "least"))
     wanted = met.select(F.col("group_label").alias("label"), F.col("group_part").alias("part")).distinct()
     members = member.join(wanted, ["label", "part"])
+    texts = texts_of(met.select("sig").unionByName(members.select("sig"))).select("sig", "text")
 
     def union(key, rows):
         sets = [t for _, t in shingle_sets(pa.array(rows["text"], pa.string()), width)]
@@ -201,17 +241,24 @@ def join_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     described = as_table(describe(docs, width))
     rows = described.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig")
     posts = as_table(postings(docs, sketch(described), width, percent))
-    wanted = posts.select("sig").unionByName(posts.select(F.col("low").alias("sig"))).distinct()
-    named = rows.join(wanted, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    texts = as_table(_texts(docs, named, width))
-    lows = posts.select("token", "low").distinct()
-    first = lows.groupBy("token").agg(F.min("low").alias("v"))
-    stars = posts.select(F.col("sig").alias("u"), F.col("low").alias("v")).unionByName(lows.join(first, "token").select(F.col("low").alias("u"), "v"))
-    found = as_table(compared(stars.where("u <> v").distinct(), texts, width, percent))
-    label = as_table(_labels(texts.select("sig", "n"), components(found)))
-    more = as_table(opened(posts, label, texts, width, percent))
-    whole = components(found.unionByName(more)) if more.take(1) else label.where("sig <> label").select(F.col("sig").alias("node"), "label")
-    named = rows.join(whole.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "sig").alias("label"))
+    classes = as_table(rows.join(posts.select("sig").distinct(), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
+    texts_of = lambda sigs: as_table(_texts(docs, classes.join(sigs.distinct(), "sig"), width))
+    pairs = as_table(posts.select(F.col("sig").alias("u"), F.col("prev").alias("v")).where("v is not null").distinct())
+    texts = texts_of(pairs.select(F.col("u").alias("sig")).union(pairs.select("v")))
+    found = as_table(compared(pairs, texts, width, percent))
+    near = texts.select("sig", "n").distinct()
+    label = as_table(_labels(near, components(found)))
+    for seed in range(ROUNDS):
+        more = as_table(compared(stars(posts, label, percent, seed), texts, width, percent))
+        if not more.take(1):
+            break
+        found = found.unionByName(more)
+        label = as_table(_labels(near, components(found)))
+    label = as_table(_labels(classes, label.withColumnRenamed("sig", "node").drop("n")))
+    more = as_table(opened(posts, label, texts_of, width, percent))
+    if more.take(1):
+        label = _labels(classes, components(found.unionByName(more)))
+    named = rows.join(label.select("sig", "label"), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "sig").alias("label"))
     named = as_table(named)
     least = named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -223,7 +270,8 @@ def _labels(classes: DataFrame, found: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
     """(sig, n, text), one row a class, for the classes in `named` (sig, n, doc_id)."""
-    near = docs.join(named.select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), "n"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "_sig", "n")
+    named = named.select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), "n")
+    near = docs.join(F.broadcast(named) if named.count() <= SMALL else named, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "_sig", "n")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -71,10 +71,27 @@ def piece_edges(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(edge[:-1])
 
 
+def _encode_pieces(pieces: list[tuple[int, str]], ranks) -> Iterator[tuple[int, bytes]]:
+    """(key, ids as bytes) of pieces. A piece that is a space and then no space, without newlines, stays one between newlines: those go in one call."""
+    line = ranks.encode_ordinary("\n")[0]
+    plain = []
+    for key, x in pieces:
+        if len(x) > 1 and x[0] == " " and "\n" not in x and not x[1].isspace() and not x[-1].isspace():
+            plain.append((key, x))
+        else:
+            yield key, np.array(ranks.encode_ordinary(x), np.uint32).tobytes()
+    if plain:
+        ids = np.array(ranks.encode_to_numpy("\n".join(x for _, x in plain), disallowed_special=()), np.uint32)
+        cut = np.concatenate([[-1], np.flatnonzero(ids == line), [len(ids)]]).tolist()
+        raw = ids.tobytes()
+        for (key, _), a, b in zip(plain, cut[:-1], cut[1:], strict=True):
+            yield key, raw[4 * a + 4 : 4 * b]
+
+
 def encode(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids as uint32) of whole texts; null and empty texts have no ids. Their strings are ordinary text."""
     data, offsets = text_buffers(column)
-    cache, encode_one = _cache.setdefault(path, {}), encoder(path).encode_ordinary
+    cache = _cache.setdefault(path, {})
     for a, b in chunks(offsets, 4 << 20):
         at = offsets[a : b + 1] - offsets[a]
         part = data[offsets[a] : offsets[b]]
@@ -83,12 +100,10 @@ def encode(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
         hashes, index, back = np.unique(span_hashes(part, starts, ends), return_index=True, return_inverse=True)
         if len(cache) > CACHED:
             cache.clear()
-        raw, known = part.tobytes(), []
-        for h, s, e in zip(hashes.tolist(), starts[index].tolist(), ends[index].tolist()):
-            ids = cache.get(h)
-            if ids is None:
-                ids = cache[h] = np.array(encode_one(raw[s:e].decode("utf-8", "replace")), np.uint32).tobytes()
-            known.append(ids)
+        raw, hashes = part.tobytes(), hashes.tolist()
+        new = [(h, raw[s:e].decode("utf-8", "replace")) for h, s, e in zip(hashes, starts[index].tolist(), ends[index].tolist()) if h not in cache]
+        cache.update(_encode_pieces(new, encoder(path)))
+        known = [cache[h] for h in hashes]
         length = np.fromiter(map(len, known), np.int64, len(known)) // 4
         flat = np.frombuffer(b"".join(known), np.uint32)
         first = np.concatenate([[0], np.cumsum(length)])[:-1][back] if len(back) else np.zeros(0, np.int64)
