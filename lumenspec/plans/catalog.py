@@ -2,7 +2,292 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenspec.functions import spectra as S
+from lumenspec.operators import evaluation as E
+from lumenspec.operators import matching as M
+from lumenspec.plans.views import peaks, spec_meta, table, vectors, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query(with_views("peaks", "norm") + " SELECT spec_id, mz, round(intensity, 6) AS intensity FROM norm")
+def spectrum_normalize(spark, sf_dir):
+    return rounded(S.normalize(peaks(spark, sf_dir)), "intensity")
+
+
+@query(with_views("peaks") + " SELECT spec_id, mz, round(intensity * 100 / max(intensity) OVER (PARTITION BY spec_id), 6) AS intensity FROM peaks")
+def spectrum_scale_to_max(spark, sf_dir):
+    return rounded(S.scale_to_max(peaks(spark, sf_dir)), "intensity")
+
+
+@query(with_views("peaks", "merged", "bins") + " SELECT spec_id, mz, round(intensity, 6) AS intensity FROM bins")
+def spectrum_bin_integer(spark, sf_dir):
+    return rounded(S.bin_integer(peaks(spark, sf_dir)), "intensity")
+
+
+def _quantise(d: int) -> None:
+    def run(spark, sf_dir):
+        return rounded(S.quantise(peaks(spark, sf_dir), d), "intensity")
+
+    QUERIES[f"quantise_d{d}"] = run
+    p = f"{10**d}.0::DOUBLE"
+    ORACLES[f"quantise_d{d}"] = with_views("peaks", "norm") + f" SELECT spec_id, floor(mz * {p} + 0.5) / {p} AS mz, round(sum(intensity), 6) AS intensity FROM norm GROUP BY ALL"
+
+
+for _d in (0, 2, 3):
+    _quantise(_d)
+
+
+@query(with_views("peaks", "merged", "bins") + """,
+r AS (SELECT *, row_number() OVER w AS n, sum(intensity) OVER (w ROWS UNBOUNDED PRECEDING) AS run FROM bins WINDOW w AS (PARTITION BY spec_id ORDER BY intensity DESC, mz)),
+f AS (SELECT *, min(CASE WHEN (round(run, 6) > 50 AND n > 2) OR n > 5 THEN n END) OVER (PARTITION BY spec_id) AS stop FROM r)
+SELECT spec_id, mz, round(intensity, 6) AS intensity FROM f WHERE stop IS NULL OR n <= stop""")
+def postprocess_cumulative(spark, sf_dir):
+    return rounded(S.keep_most_intense(S.bin_integer(peaks(spark, sf_dir)), 50 + 5e-7, 2, 5), "intensity")
+
+
+@query(with_views("peaks", "merged") + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY intensity DESC, mz) AS n, max(intensity) OVER (PARTITION BY spec_id) AS m FROM merged),
+f AS (SELECT *, min(CASE WHEN intensity < 0.5 * m AND n >= 2 THEN n END) OVER (PARTITION BY spec_id) AS stop FROM r)
+SELECT spec_id, mz, intensity FROM f WHERE stop IS NULL OR n <= stop""")
+def intensity_threshold(spark, sf_dir):
+    merged = peaks(spark, sf_dir).groupBy("spec_id", F.round("mz").cast("int").alias("mz")).agg(F.sum("intensity").alias("intensity"))
+    return S.keep_above(merged, 0.5, 2)
+
+
+@query(with_views("peaks", "merged") + " SELECT spec_id, mz, intensity FROM merged QUALIFY row_number() OVER (PARTITION BY spec_id ORDER BY intensity DESC, mz) <= 3")
+def top_peaks(spark, sf_dir):
+    merged = peaks(spark, sf_dir).groupBy("spec_id", F.round("mz").cast("int").alias("mz")).agg(F.sum("intensity").alias("intensity"))
+    return S.top_n(merged, 3)
+
+
+@query(with_views("peaks", "merged") + """,
+n AS (SELECT *, lag(mz) OVER w AS pm, lag(intensity) OVER w AS pi, lead(mz) OVER w AS nm, lead(intensity) OVER w AS ni
+      FROM merged WHERE intensity >= 2 WINDOW w AS (PARTITION BY spec_id ORDER BY mz, intensity))
+SELECT spec_id, mz, intensity FROM n
+WHERE NOT coalesce(abs(mz - pm) <= greatest(20, mz * 50.0 / 1e6) AND intensity < pi, false) AND NOT coalesce(abs(mz - nm) <= greatest(20, mz * 50.0 / 1e6) AND intensity < ni, false)""")
+def clean_neighbors(spark, sf_dir):
+    merged = peaks(spark, sf_dir).groupBy("spec_id", F.round("mz").cast("int").alias("mz")).agg(F.sum("intensity").alias("intensity"))
+    return S.clean(merged, 20, 50, 2.0)
+
+
+@query("""
+WITH b AS (SELECT l_orderkey AS spec_id, l_linenumber * 1000 + l_quantity::DOUBLE AS pos, (l_partkey % 500)::INT AS mz, l_quantity::DOUBLE AS intensity FROM lineitem WHERE l_partkey % 500 < 200),
+c AS (SELECT spec_id, mz, arg_max(intensity, pos) AS v FROM b GROUP BY ALL)
+SELECT spec_id, mz, round(v / (max(v) OVER (PARTITION BY spec_id) + 1e-6), 6) AS intensity FROM c""")
+def dense_sparse_roundtrip(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("spec_id"), (F.col("l_linenumber") * 1000 + F.col("l_quantity").cast("double")).alias("pos"), (F.col("l_partkey") % 500).cast("double").alias("mz"), F.col("l_quantity").cast("double").alias("intensity"))
+    return rounded(S.sparse(S.dense(p, 200)), "intensity")
+
+
+@query(with_views("vecs") + """,
+w AS (SELECT vec_id, list_transform(vec, lambda x, i: x * i::DOUBLE) AS w FROM vecs),
+n AS (SELECT vec_id, w, sqrt(list_sum(list_transform(w, lambda x: x * x))) AS n FROM w)
+SELECT vec_id, i - 1 AS pos, round(w[i] / n, 6) AS value FROM n, range(1, 65) r(i)""")
+def l2_weighted(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("vec_id", F.posexplode(S.unit_weighted(F.col("vec"))).alias("pos", "value"))
+    return rounded(v.withColumn("pos", F.col("pos").cast("long")), "value")
+
+
+_MATCH = """,
+a AS (SELECT spec_id AS analyte, mz, sqrt(intensity * mz) AS a FROM bins WHERE spec_id % 50 = 0), b AS (SELECT spec_id AS lib, mz, sqrt(intensity * mz) AS b FROM bins WHERE spec_id % 50 <> 0),
+na AS (SELECT analyte, sum(a * a) AS n FROM a GROUP BY 1), nb AS (SELECT lib, sum(b * b) AS n FROM b GROUP BY 1),
+d AS (SELECT analyte, lib, sum(a * b) AS dot FROM a JOIN b USING (mz) GROUP BY ALL),
+s AS (SELECT analyte, lib, round(dot * dot / (na.n * nb.n), 6) AS score FROM d JOIN na USING (analyte) JOIN nb USING (lib))"""
+
+
+@query(with_views("peaks", "merged", "bins") + _MATCH + " SELECT analyte, lib, score, row_number() OVER (PARTITION BY analyte ORDER BY score DESC, lib)::INT AS rank FROM s QUALIFY rank <= 100")
+def match_topk(spark, sf_dir):
+    bins = S.bin_integer(peaks(spark, sf_dir))
+    return M.match_bins(bins.where("spec_id % 50 = 0"), bins.where("spec_id % 50 <> 0"))
+
+
+@query(with_views("meta") + " SELECT a.spec_id AS analyte, l.spec_id AS lib, round(abs(a.mass - l.mass), 6) AS delta FROM meta a JOIN meta l ON a.spec_id % 50 = 0 AND l.spec_id % 50 <> 0 AND abs(a.mass - l.mass) <= 1")
+def mass_window_join(spark, sf_dir):
+    m = spec_meta(spark, sf_dir)
+    a, b = m.where("spec_id % 50 = 0").select(F.col("spec_id").alias("analyte"), F.col("mass").alias("x")), m.where("spec_id % 50 <> 0").select(F.col("spec_id").alias("lib"), F.col("mass").alias("y"))
+    return M.band_join(a, b, "x", "y", 1.0).select("analyte", "lib", F.round(F.abs(F.col("x") - F.col("y")), 6).alias("delta"))
+
+
+@query(with_views("peaks", "merged", "bins", "meta") + _MATCH + """, m AS (SELECT s.*, abs(x.mass - y.mass) <= 5 AS near FROM s JOIN meta x ON x.spec_id = analyte JOIN meta y ON y.spec_id = lib)
+SELECT analyte, lib, score, row_number() OVER (PARTITION BY analyte ORDER BY score DESC, lib)::INT AS rank FROM m WHERE near QUALIFY rank <= 100""")
+def match_topk_mass_window(spark, sf_dir):
+    bins, meta = S.bin_integer(peaks(spark, sf_dir)), spec_meta(spark, sf_dir)
+    scored = M.match_bins(bins.where("spec_id % 50 = 0"), bins.where("spec_id % 50 <> 0"), None)
+    near = scored.join(meta.select(F.col("spec_id").alias("analyte"), F.col("mass").alias("_x")), "analyte").join(meta.select(F.col("spec_id").alias("lib"), F.col("mass").alias("_y")), "lib")
+    return M.top_k(near.where(F.abs(F.col("_x") - F.col("_y")) <= 5).drop("_x", "_y"), 100)
+
+
+_BITS = with_views("vecs") + """,
+p AS (SELECT a.vec_id AS query, b.vec_id AS lib, a.label AS query_key, b.label AS lib_key, list_sum(list_transform(range(1, 65), lambda i: (a.bits[i] AND b.bits[i])::INT)) AS i,
+             list_sum(list_transform(range(1, 65), lambda i: (a.bits[i] OR b.bits[i])::INT)) AS u FROM vecs a JOIN vecs b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)"""
+
+
+@query(_BITS + " SELECT query, lib, round(i / nullif(u, 0)::DOUBLE, 6) AS score FROM p")
+def fp_jaccard(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("vec_id", S.set_bits(F.col("bits")).alias("b"))
+    a, b = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("b").alias("_a")), v.select(F.col("vec_id").alias("lib"), "b")
+    return a.join(b, F.col("query") != F.col("lib")).select("query", "lib", F.round(M.bit_jaccard(F.col("_a"), F.col("b")), 6).alias("score"))
+
+
+_DENSE = with_views("vecs") + """,
+s AS (SELECT a.vec_id AS query, b.vec_id AS lib, a.label AS query_key, b.label AS lib_key,
+             round(list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec)), 6) AS score FROM vecs a JOIN vecs b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, lib) - 1 AS place FROM s),
+k AS (SELECT query, min(place) AS best, max(place) AS worst, round(avg(place), 6) AS mean FROM r WHERE query_key = lib_key GROUP BY query)"""
+
+
+def _dense_scored(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    a = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("query_key"), F.col("vec").alias("_a"))
+    b = v.select(F.col("vec_id").alias("lib"), F.col("label").alias("lib_key"), F.col("vec").alias("_b"))
+    score = M.inner(F.col("_a"), F.col("_b")) / F.sqrt(M.inner(F.col("_a"), F.col("_a")) * M.inner(F.col("_b"), F.col("_b")))
+    return a.join(b, F.col("query") != F.col("lib")).select("query", "query_key", "lib", "lib_key", F.round(score, 6).alias("score"))
+
+
+@query(_DENSE + " SELECT * FROM k")
+def dense_key_ranks(spark, sf_dir):
+    return E.key_ranks(_dense_scored(spark, sf_dir))
+
+
+@query(_DENSE + " SELECT count(*) AS queries, round(avg((best = 0)::INT), 6) AS accuracy, round(avg(best), 6) AS mean_rank, " + ", ".join(f"round(avg((best < {k})::INT), 6) AS recall_{k}" for k in (5, 10, 25, 50, 100)) + ", round(avg(1 / (best + 1)::DOUBLE), 6) AS mrr FROM k")
+def rank_metrics(spark, sf_dir):
+    return E.retrieval_metrics(E.key_ranks(_dense_scored(spark, sf_dir)), "best")
+
+
+@query(_DENSE + """, t AS (SELECT query, any_value(score) AS t FROM s WHERE lib = query + 1 GROUP BY query)
+SELECT query, 1 + sum((score > t)::INT)::BIGINT AS rank FROM s JOIN t USING (query) GROUP BY query""")
+def answer_rank(spark, sf_dir):
+    scored = _dense_scored(spark, sf_dir)
+    return E.rank_of_answers(scored, scored.select(F.col("query").alias("_q"), (F.col("query") + 1).alias("answer")).distinct())
+
+
+@query(with_views("vecs") + ", b AS (SELECT i - 1 AS bit, avg(bits[i]::INT) AS share FROM vecs, range(1, 65) r(i) GROUP BY i) SELECT bit, round(share, 6) AS share FROM b WHERE share BETWEEN 0.1 AND 0.9")
+def bit_balance(spark, sf_dir):
+    v = vectors(spark, sf_dir).select(F.posexplode(F.split("bits", "")).alias("bit", "b"))
+    return v.groupBy(F.col("bit").cast("long").alias("bit")).agg(F.avg(F.col("b").cast("int")).alias("share")).where("share between 0.1 and 0.9").withColumn("share", F.round("share", 6))
+
+
+_GUESS = with_views("vecs") + ", g AS (SELECT i - 1 AS bit, bits[i]::INT AS truth, (vec[i] > 0.1)::INT AS guess FROM vecs, range(1, 65) r(i))"
+
+
+def _guesses(spark, sf_dir):
+    v = vectors(spark, sf_dir).select(F.posexplode(F.arrays_zip(F.split("bits", "").alias("b"), F.col("vec").alias("v"))).alias("bit", "x"))
+    return v.select(F.col("bit").cast("long").alias("bit"), F.col("x.b").cast("int").alias("truth"), (F.col("x.v") > 0.1).cast("int").alias("guess"))
+
+
+@query(_GUESS + """, c AS (SELECT bit, sum(truth * guess)::DOUBLE AS tp, sum((1 - truth) * guess)::DOUBLE AS fp, sum(truth * (1 - guess))::DOUBLE AS fn, count(*) AS n FROM g GROUP BY bit)
+SELECT bit, round((n - fp - fn) / n, 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c""")
+def classification_metrics(spark, sf_dir):
+    return E.bit_metrics(_guesses(spark, sf_dir))
+
+
+@query(_GUESS + ", c AS (SELECT sum(truth * guess)::DOUBLE AS tp, sum((1 - truth) * (1 - guess))::DOUBLE AS tn, sum((truth <> guess)::INT)::DOUBLE AS off FROM g) SELECT round((tp / (tp + off) + tn / (tn + off)) / 2, 6) AS mean_iou FROM c")
+def mean_iou(spark, sf_dir):
+    return E.mean_iou(_guesses(spark, sf_dir))
+
+
+@query("SELECT event_type AS energy, round(avg(value), 6) AS mean, round(stddev_pop(value) / count(value), 6) AS error FROM events GROUP BY 1")
+def score_stats(spark, sf_dir):
+    return E.mean_and_error(table(spark, sf_dir, "events").withColumnRenamed("event_type", "energy"), "value", ["energy"])
+
+
+@query("SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def dup_keys(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT c_custkey AS key, CASE WHEN ('0x' || substr(md5('42:' || c_custkey::VARCHAR), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE < 0.2 THEN 'test' ELSE 'train' END AS part FROM customer")
+def train_test_split(spark, sf_dir):
+    return E.split_by_hash(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), "key", 0.2)
+
+
+@query("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey % 97 = 0)")
+def holdout_antijoin(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).join(table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0"), F.col("key") == F.col("o_custkey"), "left_anti")
+
+
+@query(with_views("meta", "vecs") + ", f AS (SELECT vec_id, any_value(array_to_string(list_transform(bits, lambda x: x::INT), '')) AS fp FROM vecs GROUP BY vec_id) SELECT spec_id, cls, fp FROM meta LEFT JOIN f ON spec_id = vec_id")
+def left_merge_fp(spark, sf_dir):
+    fp = vectors(spark, sf_dir).select("vec_id", F.col("bits").alias("fp")).dropDuplicates(["vec_id"])
+    return spec_meta(spark, sf_dir).join(fp, F.col("spec_id") == F.col("vec_id"), "left").select("spec_id", "cls", "fp")
+
+
+@query(with_views("peaks") + """, f AS (SELECT spec_id, mz + 0.25 AS mass FROM peaks WHERE intensity > 40)
+SELECT spec_id, mz, intensity, count(*) AS fragments FROM peaks JOIN f USING (spec_id) WHERE abs(mz - mass) <= 3 GROUP BY ALL""")
+def peak_fragment_band(spark, sf_dir):
+    p = peaks(spark, sf_dir)
+    cells = F.explode(F.array(*[F.floor(F.col("mass") / 3) + k for k in (-1, 0, 1)]))
+    f = p.where("intensity > 40").select(F.col("spec_id").alias("_spec"), (F.col("mz") + 0.25).alias("mass")).withColumn("_cell", cells)
+    near = p.join(f, (F.col("spec_id") == F.col("_spec")) & (F.floor(F.col("mz") / 3) == F.col("_cell")) & (F.abs(F.col("mz") - F.col("mass")) <= 3))
+    return near.groupBy("spec_id", "mz", "intensity").agg(F.count("*").alias("fragments"))
+
+
+_EDGES = "WITH e AS (SELECT l_suppkey AS mol, l_partkey % 20 AS src, l_partkey % 20 + 1 + l_linenumber % 3 AS dst, avg(l_discount::DOUBLE) AS theta FROM lineitem GROUP BY ALL), t AS (SELECT mol, src, dst, theta - ln(1 + sum(exp(theta)) OVER (PARTITION BY mol, src)) AS log_p FROM e)"
+
+
+def _edges(spark, sf_dir):
+    src = F.col("l_partkey") % 20
+    e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("mol"), src.alias("src"), (src + 1 + F.col("l_linenumber") % 3).alias("dst")).agg(F.avg(F.col("l_discount").cast("double")).alias("theta"))
+    return E.transition_log_probs(e).drop("theta")
+
+
+@query(_EDGES + " SELECT mol, src, dst, round(log_p, 6) AS log_p FROM t")
+def transition_softmax(spark, sf_dir):
+    return rounded(_edges(spark, sf_dir), "log_p")
+
+
+@query(_EDGES + """, k AS (SELECT mol, src AS node, 1 - sum(exp(log_p)) AS stay FROM t GROUP BY ALL),
+p0 AS (SELECT DISTINCT mol, 0::BIGINT AS node, 1.0::DOUBLE AS p FROM t),""" + ",".join(f"""
+m{i} AS (SELECT p.mol, dst AS node, p * exp(log_p) AS p FROM p{i - 1} p JOIN t ON p.mol = t.mol AND node = src UNION ALL SELECT p.mol, p.node, p * coalesce(stay, 1) FROM p{i - 1} p LEFT JOIN k ON p.mol = k.mol AND p.node = k.node),
+p{i} AS (SELECT mol, node, sum(p) AS p FROM m{i} GROUP BY ALL)""" for i in (1, 2, 3)) + " SELECT mol, node, round(p, 6) AS p FROM p3")
+def forward_pass_depth3(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    start = e.select("mol", F.lit(0).cast("long").alias("node"), F.lit(1.0).alias("p")).distinct()
+    return rounded(E.forward_pass(e, start, 3), "p")
+
+
+@query()
+def peak_alignment(spark, sf_dir):
+    """Full one-to-one alignment with 1.1 Da, of neighbouring spectra; not SQL: tests hold it against brute force."""
+    p = S.bin_integer(peaks(spark, sf_dir))
+    a, b = M.as_arrays(p, "p"), M.as_arrays(p, "q").withColumnRenamed("spec_id", "other")
+    return rounded(M.score_aligned(a.join(b, F.col("spec_id") + 1 == F.col("other")), 1.1, 0), "dot", "combined")
+
+
+@query()
+def msp_roundtrip(spark, sf_dir):
+    """Spectra written as MSP text and read back (rows only)."""
+    from lumenspec.sources import libraries as L
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumenspec-")
+    path = f"{base}/msp-{uuid.uuid4().hex}"
+    p = M.as_arrays(peaks(spark, sf_dir), "peaks")
+    none = F.lit(None).cast("string")
+    L.write_msp(p.select(F.concat(F.lit("spec "), "spec_id").alias("name"), F.col("spec_id").cast("string").alias("id"), F.lit(0).alias("energy"), none.alias("mw"), none.alias("fp"), "peaks"), path)
+    back = L.read_msp(spark, path)
+    return back.select(F.col("id").cast("long").alias("spec_id"), "num_peaks", F.size("peaks").alias("n"))
