@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import as_table, components, mix, shingle_sets
 
-SKETCH_BITS, SLICES = 22, 64
+SKETCH_BITS, SLICES = 20, 64
 FREQUENT, GROUP, ROUNDS = 1000, 64, 4
 SMALL = 100_000  # classes up to which their ids are broadcast to the scan of texts
 PASS = 64  # sketches that one task adds up
@@ -104,12 +104,11 @@ def needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int, frequent: int = FREQUENT) -> DataFrame:
+def postings(docs: DataFrame, shared, mean: float, width: int, percent: int, frequent: int = FREQUENT) -> DataFrame:
     """(token, sig, n, pos, prev): prefix shingles that may be shared by two classes, the class's size, the shingle's place in
-    its order, and the next smaller class of the posting if it may link (in its part of the posting, for frequent shingles)."""
-    mean = counts.sum() / len(counts)
+    its order, and the next smaller class of the posting if it may link (in its part of the posting, for frequent shingles).
+    `shared` is the broadcast sketch, `mean` its mean."""
     bound = mean + 8 * np.sqrt(mean) + frequent
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
     bits = np.uint64(64 - SKETCH_BITS)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +239,10 @@ def join_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = as_table(describe(docs, width))
     rows = described.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig")
-    posts = as_table(postings(docs, sketch(described), width, percent))
+    counts = sketch(described)
+    shared = df.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
+    posts = as_table(postings(docs, shared, float(counts.mean()), width, percent))
+    shared.destroy()
     classes = as_table(rows.join(posts.select("sig").distinct(), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
     texts_of = lambda sigs: as_table(_texts(docs, classes.join(sigs.distinct(), "sig"), width))
     pairs = as_table(posts.select(F.col("sig").alias("u"), F.col("prev").alias("v")).where("v is not null").distinct())

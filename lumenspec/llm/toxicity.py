@@ -270,12 +270,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_on(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Network:
-    """Fit on at most `sample` toxic and CLEAN * sample clean rows, the first by a hash of their id, none of them held out."""
+    """Fit on at most `sample` toxic and CLEAN * sample clean rows, the first by a hash of their id, none of them held out.
+
+    Candidates are 5 / 4 as many labelled ids, so that long texts and ids without a text may drop out; only their texts
+    are read, through a broadcast of these few ids.
+    """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_toxic")).where(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1) & ~held_out(F.col("_id"))).distinct()
+    known = known.withColumn("_h", F.xxhash64("_id"))
+    some = [known.where(F.col("_toxic") == c).orderBy("_h", "_id").limit(n + n // 4) for c, n in ((1, sample), (0, CLEAN * sample))]
     texts = df.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text")).where(F.length("_text") <= SAMPLE_CHARS)
-    rows = texts.join(known, F.col("_own") == F.col("_id")).select("_id", "_toxic", "_text", F.xxhash64("_id").alias("_h"))
-    some = [rows.where(F.col("_toxic") == c).orderBy("_h", "_id", "_text").limit(n).collect() for c, n in ((1, sample), (0, CLEAN * sample))]
-    return fit([r["_text"] for x in some for r in x], [int(r["_toxic"]) for x in some for r in x])
+    rows = texts.join(F.broadcast(some[0].unionByName(some[1])), F.col("_own") == F.col("_id")).select("_toxic", "_h", "_text").collect()
+    rows = sorted((int(r["_toxic"]), r["_h"], r["_text"]) for r in rows)
+    used = [x for c, n in ((1, sample), (0, CLEAN * sample)) for x in [r for r in rows if r[0] == c][:n]]
+    return fit([r[2] for r in used], [r[0] for r in used])
 
 
 def scored(df: DataFrame, net: Network, text_col: str = "text", out: str = "score") -> DataFrame:
