@@ -4,34 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspec.functions import spectra as S
 from lumenspec.operators import evaluation as E
 from lumenspec.operators import matching as M
+from lumenspec.plans.registry import registry, rounded
 from lumenspec.plans.views import peaks, spec_meta, table, vectors, with_views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+QUERIES, ORACLES, query = registry()
 
 
 @query(with_views("peaks", "norm") + " SELECT spec_id, mz, round(intensity, 6) AS intensity FROM norm")

@@ -5,7 +5,9 @@ import math
 import duckdb
 import pytest
 
-from lumenspec.plans.catalog import ORACLES, QUERIES
+from lumenspec.plans import catalog, studies
+
+QUERIES, ORACLES = catalog.QUERIES | studies.QUERIES, catalog.ORACLES | studies.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
