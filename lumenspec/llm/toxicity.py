@@ -25,6 +25,7 @@ from .common import LOWER, chunks, mix, span_hashes, text_buffers, with_columns,
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 14, 1 << 16, 4, 8, 8
 GRAMS = (4, 5)
+BLOCK = 1 << 14  # distinct words whose n-grams are gathered at a time
 SAMPLE, CLEAN, SAMPLE_CHARS = 1000, 3, 8000  # toxic rows, clean rows for each of them, and the longest text that the fit may use
 THRESHOLD = 0.3
 
@@ -40,17 +41,13 @@ class Words:
     row: np.ndarray  # edges of the texts in `at`
 
 
-def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    data = LOWER[data]
-    starts, ends, row = word_spans(data, offsets)
-    hashes, index, at = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    s, e = starts[index], ends[index]
+def grams_of(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding rows of the character n-grams of words data[s:e], in the words' order, and how many each word has."""
     n = e - s
     edge = np.concatenate([[0], np.cumsum(n + 2)])  # each word between two marks
     padded = np.full(edge[-1], 1, np.uint64)
-    inner = np.repeat(s - edge[:-1] - 1, n) + np.arange(n.sum()) + np.repeat(2 * np.arange(len(n)) + 1, n) if len(n) else np.zeros(0, np.int64)
     place = np.arange(n.sum()) + np.repeat(2 * np.arange(len(n)) + 1, n)
-    padded[place] = data[inner]
+    padded[place] = data[place + np.repeat(s - edge[:-1] - 1, n)]
     owner = np.repeat(np.arange(len(n)), n + 2)
     gram, who = [], []
     for k in GRAMS:
@@ -60,12 +57,26 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
             for j in range(k):
                 h = h * np.uint64(0x100000001B3) + padded[j : j + m]
             inside = owner[:m] == owner[k - 1 :]
-            gram.append(mix(h[inside]) % np.uint64(GRAM_ROWS))
+            gram.append((mix(h[inside]) % np.uint64(GRAM_ROWS)).astype(np.int32))
             who.append(owner[:m][inside])
-    gram, who = (np.concatenate(gram), np.concatenate(who)) if gram else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    order = np.argsort(who, kind="stable")
-    first = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(n)))]).astype(np.int64)
-    return Words((hashes % np.uint64(WORD_ROWS)).astype(np.int64), gram[order].astype(np.int64), first, at.ravel(), np.searchsorted(row, np.arange(len(offsets))))
+    gram, who = (np.concatenate(gram), np.concatenate(who)) if gram else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    return gram[np.argsort(who, kind="stable")], np.bincount(who, minlength=len(n))
+
+
+def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """The words of texts that lie one after another in `data`; hashes are taken by chunks, which bounds their running sums."""
+    data, found = LOWER[data], [np.zeros((4, 0), np.int64)]
+    for a, b in chunks(offsets):
+        part = data[offsets[a] : offsets[b]]
+        starts, ends, row = word_spans(part, offsets[a : b + 1] - offsets[a])
+        found.append(np.stack([starts + offsets[a], ends + offsets[a], row + a, span_hashes(part, starts, ends).view(np.int64)]))
+    starts, ends, row, spans = np.concatenate(found, axis=1)
+    hashes, index, at = np.unique(spans.view(np.uint64), return_index=True, return_inverse=True)
+    s, e = starts[index], ends[index]
+    found = [grams_of(data, s[k : k + BLOCK], e[k : k + BLOCK]) for k in range(0, len(s), BLOCK)]
+    gram, count = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    first = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+    return Words((hashes % np.uint64(WORD_ROWS)).astype(np.int64), gram, first, at.ravel(), np.searchsorted(row, np.arange(len(offsets))))
 
 
 def windows(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,9 +104,14 @@ class Network:
             self.p |= {f"in_{k}": draw(d, 3 * HIDDEN, s=0.4), f"re_{k}": draw(HIDDEN, 3 * HIDDEN, s=0.3), f"bias_{k}": np.zeros(3 * HIDDEN, np.float32)}
 
     def inputs(self, w: Words) -> np.ndarray:
-        grams = np.add.reduceat(np.concatenate([self.p["gram"][w.gram], np.zeros((1, GRAM_DIM), np.float32)]), np.minimum(w.first[:-1], len(w.gram)), axis=0) if len(w.word) else np.zeros((0, GRAM_DIM), np.float32)
-        n = np.diff(w.first)
-        return np.concatenate([self.p["word"][w.word], np.where(n[:, None] > 0, grams / np.sqrt(np.maximum(n, 1))[:, None], 0)], 1).astype(np.float32)
+        n, out = np.diff(w.first), np.zeros((len(w.word), WORD_DIM + GRAM_DIM), np.float32)
+        out[:, :WORD_DIM] = self.p["word"][w.word]
+        for a in range(0, len(n), BLOCK):
+            first, some = w.first[a : a + BLOCK + 1], n[a : a + BLOCK, None]
+            rows = np.concatenate([self.p["gram"][w.gram[first[0] : first[-1]]], np.zeros((1, GRAM_DIM), np.float32)])
+            sums = np.add.reduceat(rows, first[:-1] - first[0], axis=0)
+            out[a : a + BLOCK, WORD_DIM:] = np.where(some > 0, sums / np.sqrt(np.maximum(some, 1)), 0)
+        return out
 
     def forward(self, tables: dict[str, np.ndarray], at: np.ndarray, size: np.ndarray, keep: bool = False):
         """Logits of windows; at [windows, WINDOW] are places in the tables of gate inputs. keep: also what backward needs."""
