@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _own_dirs: dict[str, str] = {}
+EDGES = 1 << 16  # edges that one task holds while it contracts them
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -127,14 +128,49 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, np.nda
                 yield a + i, np.zeros(0, np.uint64)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def contracted(block: int):
+    """For mapInArrow: of each `block` edges (u, v) of a task the stars around the smallest node of what they connect."""
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+        seen = 0
+
+        def find(x: int) -> int:
+            while (y := root.setdefault(x, x)) != x:
+                root[x] = x = root[y]
+            return x
+
+        def flush() -> pa.RecordBatch:
+            rows = [(x, top) for x in list(root) if (top := find(x)) != x]
+            root.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, y = find(x), find(y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                seen += 1
+                if seen % block == 0:
+                    yield flush()
+        yield flush()
+
+    return stars
+
+
+def components(edges: DataFrame, rounds: int = 60, block: int = EDGES) -> DataFrame:
     """(node, label) for every node of the edges (u, v): label is the smallest node reachable.
 
-    Large-star and small-star steps in turn, each round written to the shared folder; a star forest is the fixed point.
+    Tasks first contract `block` edges at a time; up to `block` edges in all are settled by that. For more, large-star and
+    small-star steps follow in turn, each round written to the shared folder; a star forest is the fixed point.
     """
-    edges = as_table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = as_table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     before = None
     for _ in range(rounds):
+        n = edges.count()
+        edges = as_table(edges.coalesce(max(1, -(-n // block))).mapInArrow(contracted(block), "u long, v long"))
+        if n <= block:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -147,4 +183,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

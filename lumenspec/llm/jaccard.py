@@ -254,12 +254,11 @@ def join_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         more = as_table(compared(stars(posts, label, percent, seed), texts, width, percent))
         if not more.take(1):
             break
-        found = found.unionByName(more)
-        label = as_table(_labels(near, components(found)))
+        label = as_table(_joined(label, more))
     label = as_table(_labels(classes, label.withColumnRenamed("sig", "node").drop("n")))
     more = as_table(opened(posts, label, texts_of, width, percent))
     if more.take(1):
-        label = _labels(classes, components(found.unionByName(more)))
+        label = _joined(label, more)
     named = rows.join(label.select("sig", "label"), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "sig").alias("label"))
     named = as_table(named)
     least = named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -270,6 +269,14 @@ def _labels(classes: DataFrame, found: DataFrame) -> DataFrame:
     return classes.join(found.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n", F.coalesce("label", "sig").alias("label"))
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (sig, n, label) after more links (u, v) between classes: components of labels, taken for the classes."""
+    ends = [label.select(F.col("sig").alias(k), F.col("label").alias(name)) for k, name in (("u", "a"), ("v", "b"))]
+    found = components(links.join(ends[0], "u").join(ends[1], "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = found.select(F.col("node").alias("label"), F.col("label").alias("_new"))
+    return label.join(found, "label", "left").select("sig", "n", F.coalesce("_new", "label").alias("label"))
+
+
 def _texts(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
     """(sig, n, text), one row a class, for the classes in `named` (sig, n, doc_id)."""
     named = named.select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), "n")

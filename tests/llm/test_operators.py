@@ -157,9 +157,10 @@ def test_jaccard_edge_rows(spark, docs):
     assert jaccard.join_components(docs).count() == docs.count()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [3, 1 << 16])
+def test_components(spark, block):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 103), (103, 101), (7, 7)], "u long, v long")
-    got = {r["node"]: r["label"] for r in components(edges).collect()}
+    got = {r["node"]: r["label"] for r in components(edges, block=block).collect()}
     assert got == {**{i: 0 for i in range(21)}, 100: 100, 101: 100, 103: 100}
 
 
