@@ -89,8 +89,8 @@ def dense(peaks: DataFrame, bins: int, key: Sequence[str] = KEY, order: str = "p
     at = F.bround("mz").cast("int")
     cells = peaks.where((at >= 0) & (at < bins)).groupBy(*key, at.alias("_bin")).agg(F.max_by("intensity", order).alias("_v"))
     vec = cells.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_v"))).alias("_m"), F.max("_v").alias("_max"))
-    value = lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / (F.col("_max") + 1e-6)
-    return vec.select(*key, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), value).alias("vec"))
+    filled = lambda m: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)) / (F.col("_max") + 1e-6))
+    return vec.select(*key, F.transform(F.array("_m"), filled)[0].alias("vec"))  # bound once: the plan would build the map anew for each bin
 
 
 def sparse(vectors: DataFrame, key: Sequence[str] = KEY) -> DataFrame:

@@ -83,7 +83,7 @@ c AS (SELECT spec_id, mz, arg_max(intensity, pos) AS v FROM b GROUP BY ALL)
 SELECT spec_id, mz, round(v / (max(v) OVER (PARTITION BY spec_id) + 1e-6), 6) AS intensity FROM c""")
 def dense_sparse_roundtrip(spark, sf_dir):
     p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("spec_id"), (F.col("l_linenumber") * 1000 + F.col("l_quantity").cast("double")).alias("pos"), (F.col("l_partkey") % 500).cast("double").alias("mz"), F.col("l_quantity").cast("double").alias("intensity"))
-    return rounded(S.sparse(S.dense(p, 200)), "intensity")
+    return rounded(S.sparse(S.dense(p, 2000)), "intensity")
 
 
 @query(with_views("vecs") + """,
