@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, components, mix, shingle_sets
+from .common import as_table, components, mix, shingle_sets, with_columns
 
 SKETCH_BITS, SLICES = 20, 64
 FREQUENT, GROUP, ROUNDS = 1000, 64, 4
@@ -236,11 +236,17 @@ def join_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     rows are one class; an empty table gives an empty table; other columns are ignored. Sets are told apart by 64-bit
     hashes of shingles and of sets.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    named = _labelled(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), width, percent)
+    least = named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """A written table of doc_id, n_shingles, sig and label for every row of (doc_id, text): rows of one component have one label; those without shingles are not told apart."""
     described = as_table(describe(docs, width))
     rows = described.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig")
     counts = sketch(described)
-    shared = df.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
     posts = as_table(postings(docs, shared, float(counts.mean()), width, percent))
     shared.destroy()
     classes = as_table(rows.join(posts.select("sig").distinct(), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
@@ -259,10 +265,7 @@ def join_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     more = as_table(opened(posts, label, texts_of, width, percent))
     if more.take(1):
         label = _joined(label, more)
-    named = rows.join(label.select("sig", "label"), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "sig").alias("label"))
-    named = as_table(named)
-    least = named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return as_table(rows.join(label.select("sig", "label"), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), "sig", F.coalesce("label", "sig").alias("label")))
 
 
 def _labels(classes: DataFrame, found: DataFrame) -> DataFrame:
@@ -291,10 +294,35 @@ def _texts(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
 
 
 def keep_one(df: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of `df` (with doc_id, text) without those of which another row of their component stays (the smallest doc_id; one of repeated rows)."""
-    found = join_components(df, percent=percent)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return df.join(kept.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of `df` (with doc_id, text) without those of which another row of their component stays: exactly one row of each.
+
+    That is the one of the smallest doc_id; null ids come last, repeated rows (of one id, and one text if it has no
+    shingles) count as one. A doc_id of a single row finds its row alone; other rows are told apart by id and set.
+    """
+    width, id_ = 5, F.col("doc_id").cast("long")
+    named = _labelled(df.select(id_.alias("doc_id"), "text"), width, percent)
+    first = named.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "sig")).alias("a")).select("a.doc_id", "a.sig")
+    first = first.unionByName(named.where("n_shingles = 0").select("doc_id", "sig").distinct())
+    rows = named.groupBy("doc_id").agg(F.count("*").alias("k")).where("doc_id is not null and k > 1")
+    several = first.where("doc_id is not null").join(rows, "doc_id", "left").select("doc_id", "sig", F.isnotnull("k").alias("several"))
+    kept = as_table(several.unionByName(first.where("doc_id is null").withColumn("several", F.lit(True))))
+    alone = df.join(kept.where("not several").select(F.col("doc_id").alias("_kept")), id_ == F.col("_kept"), "left_semi")
+    kept = kept.where("several").select(F.col("doc_id").alias("_kept"), F.col("sig").alias("_set"))
+    n = kept.count()
+    if not n:
+        return alone
+    small = F.broadcast if n <= SMALL else lambda d: d
+    text = df.columns.index("text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = pa.array([set_id(t) for _, t in shingle_sets(b.column(text), width)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, sig], [*b.schema.names, "_sig"])
+
+    near = df.join(small(kept.select("_kept").distinct()), id_.eqNullSafe(F.col("_kept")), "left_semi").mapInArrow(sets, with_columns(df.schema, "_sig long"))
+    near = near.join(small(kept), id_.eqNullSafe(F.col("_kept")) & (F.col("_sig") == F.col("_set")), "left_semi")
+    one = near.groupBy(id_.alias("_id"), "_sig", F.when(F.col("_sig") == 0, F.col("text")).alias("_text")).agg(F.min_by(F.struct(*df.columns), F.coalesce("text", F.lit(""))).alias("_row"))
+    return alone.unionByName(one.select("_row.*"))
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

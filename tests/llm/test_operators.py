@@ -157,6 +157,20 @@ def test_jaccard_edge_rows(spark, docs):
     assert jaccard.join_components(docs).count() == docs.count()
 
 
+def test_keep_one_of_each(spark):
+    one, other, third, only = ("a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x")
+    rows = [(1, one, "x"), (1, one, "x"), (2, one, "x")]  # repeated rows
+    rows += [(5, other, "x"), (6, other, "x"), (6, third, "x"), (4, third, "x")]  # id 6 is in two components, each of which keeps another id
+    rows += [(9, "z y x w v u", "x"), (9, "1 2 3 4 5 6", "x")]  # one id, two components
+    rows += [(None, only, "x"), (None, only.upper(), "x"), (None, one, "x"), (None, "k k l l m m", "x")]
+    rows += [(None, None, "x"), (None, None, "x"), (7, "", "x"), (7, "", "x"), (7, " ", "x"), (8, None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(5)
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    want = [(1, one), (5, other), (4, third), (9, "z y x w v u"), (9, "1 2 3 4 5 6"), (None, only.upper()), (None, "k k l l m m"), (None, None), (7, ""), (7, " "), (8, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("block", [3, 1 << 16])
 def test_components(spark, block):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 103), (103, 101), (7, 7)], "u long, v long")
