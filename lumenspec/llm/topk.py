@@ -3,7 +3,8 @@
 Every component of the vectors is a list of candidates sorted by value. A query reads each list from its good end, all
 lists to the same depth, and knows for each candidate a lower bound (what was read, plus the worst that an unread
 component can add) and an upper bound (plus what stands at the list's frontier). Candidates whose upper bound is below
-the k-th lower bound are out; reading stops when few are left, and those get their final scores.
+the k-th lower bound are out; reading stops when few are left, and those get their final scores. Bounds are float64:
+exact while no inner product can reach 2**53, beyond that apart by more than their rounding error.
 
 Candidates lie in blocks of bounded size by a hash of their id, queries in blocks as well; each pair of blocks is one
 task, whose winners (k a query) meet in a ranking window.
@@ -34,7 +35,10 @@ def top_rows(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def no_random_access(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, first_depth: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the ids and exact scores of its k best candidates; rows of the query's own id take no part."""
     n, dims = vectors.shape
-    x = vectors.astype(np.float32)  # integers below 2**24: exact
+    x = vectors.astype(np.float64)
+    span = np.abs(queries.astype(np.float64)) @ np.abs(x).max(axis=0)  # no partial sum of a query is larger
+    slack = np.where(span < 2.0**52, 0.0, span * (dims + 8) * 2.0**-51)  # twice the error of a bound's dims products and sums
+    wide = span >= 2.0**62  # int64 might wrap: Python integers
     order = np.argsort(-x, axis=0, kind="stable")
     rank = np.empty((n, dims), np.int32)
     rank[order, np.arange(dims)] = np.arange(n, dtype=np.int32)[:, None]
@@ -43,22 +47,23 @@ def no_random_access(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray,
     active, depth = np.arange(len(queries)), min(n, first_depth)
     alive = np.arange(n)
     while len(active):
-        up, down = np.maximum(queries[active], 0).astype(np.float32), np.minimum(queries[active], 0).astype(np.float32)
+        up, down = np.maximum(queries[active], 0).astype(np.float64), np.minimum(queries[active], 0).astype(np.float64)
         xa, ra = x[alive], rank[alive]
         read_top, read_end = ra < depth, ra >= n - depth
         low = up @ np.where(read_top, xa, lists[-1]).T + down @ np.where(read_end, xa, lists[0]).T
         high = up @ np.where(read_top, xa, lists[depth - 1]).T + down @ np.where(read_end, xa, lists[n - depth]).T
         mine = own[active][:, None] == ids[alive][None, :]
         low[mine], high[mine] = -np.inf, -np.inf
-        kth = np.partition(low, max(0, len(alive) - k), axis=1)[:, max(0, len(alive) - k)] if len(alive) > k else np.full(len(active), -np.inf, np.float32)
-        inside = (high >= kth[:, None]) & ~mine
+        kth = np.partition(low, max(0, len(alive) - k), axis=1)[:, max(0, len(alive) - k)] if len(alive) > k else np.full(len(active), -np.inf)
+        inside = (high >= (kth - slack[active])[:, None]) & ~mine
         left, still = inside.sum(1), []
         for i, q in enumerate(active):
             if left[i] <= 32 * k or depth >= n:
                 at = alive[inside[i]]
-                score = vectors[at].astype(np.int64) @ queries[q].astype(np.int64)
+                kind = object if wide[q] else np.int64
+                score = vectors[at].astype(kind) @ queries[q].astype(kind)
                 best = top_rows(score, ids[at], k)
-                out[q] = ids[at][best], score[best]
+                out[q] = ids[at][best], score[best].astype(np.int64)  # a score that is no long is an error
             else:
                 still.append(i)
         alive = alive[inside[still].any(0)] if still else alive
@@ -92,7 +97,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFr
 
 def op2_top_k(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(finite(F.col("embedding")) & F.col("vec_id").isNotNull())
-    rows = as_table(rows.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("int")).alias("vec")))
+    scaled = lambda x: F.when(F.abs(x) < 2.0**55, F.floor(F.lit(256.0) * x.cast("double"))).otherwise(F.raise_error(F.lit("256 times a component is no long")).cast("long"))
+    rows = as_table(rows.select(F.col("vec_id").alias("id"), F.transform("embedding", scaled).alias("vec")))
     return exact_top_k(rows.where("id % 50 = 0"), rows).withColumnRenamed("id", "vec_id")
 
 

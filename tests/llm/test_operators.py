@@ -55,6 +55,32 @@ def test_top_k_brute_force():
         assert list(got) == best and list(score) == list(s[best])
 
 
+@pytest.mark.parametrize("scale", [50_000, 1 << 26, 1 << 29])
+def test_top_k_near_ties_of_large_vectors(scale):
+    r = np.random.default_rng(8)
+    half = r.integers(-scale, scale, 32)
+    q = np.concatenate([[1], half, half])[None, :]
+    noise = r.integers(-scale, scale, (3000, 32))
+    x = np.concatenate([r.permutation(3000)[:, None], half + noise, half - noise], axis=1)  # scores differ by 1
+    ids = np.arange(3000)
+    exact = x.astype(object) @ q[0].astype(object)
+    best = sorted(range(3000), key=lambda i: (-exact[i], i))[:5]
+    if exact[best[0]] >= 1 << 63:
+        with pytest.raises(OverflowError):
+            topk.no_random_access(q, np.array([-1]), x, ids, 5)
+    else:
+        [(got, score)] = topk.no_random_access(q, np.array([-1]), x, ids, 5)
+        assert got.tolist() == best and score.tolist() == [exact[i] for i in best]
+
+
+def test_top_k_large_components(spark, tmp_path):
+    x = [[float(1 << 23), 1.0], [float(3 << 22), 0.5], [-float(1 << 23), 2.0], [1.0, float(1 << 24)]]
+    spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(x[0], x[i])), i) for i in (1, 2, 3))
+    got = topk.op2_top_k(spark, str(tmp_path)).orderBy("rank").collect()
+    assert [(-r["score"], r["vec_id"]) for r in got] == want
+
+
 def ids_by_tokenizers(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
