@@ -14,7 +14,7 @@ from lumenspec.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: No SQL can train the two models; tests hold the stages against brute force.
+#: No SQL can train the two models. Tests hold keep_one against expected rows; language ID, toxicity, mixing and packing within the pipeline have no brute force.
 ORACLE_SQL = None
 
 
