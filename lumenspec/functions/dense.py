@@ -60,11 +60,11 @@ def log_sum(vec: Column) -> Column:
 
 
 def weighted_dot(a: Column, b: Column) -> Column:
-    """Cosine of sqrt(a) (i + 1) and sqrt(b) (i + 1)."""
+    """Cosine of sqrt(a) (i + 1) and sqrt(b) (i + 1) (A14); 0 where a vector is zero."""
     w = lambda v: F.transform(v, lambda x, i: F.sqrt(x) * (i + 1))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     x, y = w(a), w(b)
-    return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
+    return F.coalesce(F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y))), F.when(dot(x, x) * dot(y, y) == 0, F.lit(0.0)))
 
 
 def squared_error(truth: Column, guess: Column) -> Column:

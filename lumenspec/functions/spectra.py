@@ -99,10 +99,10 @@ def sparse(vectors: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
 
 def unit_weighted(vec: Column, power: float = 1.0) -> Column:
-    """Vector times weights (1..n)^power / their sum, scaled to length 1 (P20)."""
+    """Vector times weights (1..n)^power / their sum, scaled to length 1 (P20); a zero vector stays zero."""
     w = F.transform(vec, lambda x, i: x * F.pow((i + 1).cast("double"), F.lit(power)))
     norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(w, lambda x: x / norm)
+    return F.transform(w, lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(F.try_divide(x, norm)))
 
 
 def bits_of(vec: Column) -> Column:

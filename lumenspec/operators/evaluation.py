@@ -39,11 +39,14 @@ def bit_metrics(rows: DataFrame) -> DataFrame:
 
 
 def mean_iou(rows: DataFrame) -> DataFrame:
-    """One row: the mean of both classes' intersection over union, from one confusion matrix of all rows."""
+    """One row: the mean of both classes' intersection over union, from one confusion matrix of all rows.
+    A class that neither truth nor guess holds does not count; null without rows."""
     n = lambda c: F.sum(c.cast("double"))
     t, g = F.col("truth") == 1, F.col("guess") == 1
     m = rows.agg(n(t & g).alias("tp"), n(~t & ~g).alias("tn"), n(t != g).alias("off"))
-    return m.select(F.round((F.col("tp") / (F.col("tp") + F.col("off")) + F.col("tn") / (F.col("tn") + F.col("off"))) / 2, 6).alias("mean_iou"))
+    iou = [F.try_divide(F.col(c), F.col(c) + F.col("off")) for c in ("tp", "tn")]
+    some = sum((x.isNotNull().cast("int") for x in iou), F.lit(0))
+    return m.select(F.round(F.try_divide(sum((F.coalesce(x, F.lit(0.0)) for x in iou), F.lit(0.0)), some), 6).alias("mean_iou"))
 
 
 def mean_and_error(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

@@ -10,8 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def share(part: Column, whole: Column) -> Column:
+    """part / whole; 0 where the whole is 0."""
+    return F.when(whole == 0, F.lit(0.0)).otherwise(F.try_divide(part, whole))
+
+
 def band_join(left: DataFrame, right: DataFrame, x: str, y: str, width: float) -> DataFrame:
-    """Pairs with |x - y| <= width, as an equi-join on cells of that width (J1, F1, F2): the left side goes to three cells."""
+    """Pairs with |x - y| <= width, as an equi-join on cells of that width (J1, F1, F2): the left side goes to three cells.
+    A width of 0 or less pairs equal values only."""
+    if width <= 0:
+        return left.join(right, F.col(x) == F.col(y))
     a = left.withColumn("_cell", F.explode(F.array(*[F.floor(F.col(x) / width) + k for k in (-1, 0, 1)])))
     b = right.withColumn("_own", F.floor(F.col(y) / width))
     return a.join(b, (F.col("_cell") == F.col("_own")) & (F.abs(F.col(x) - F.col(y)) <= width)).drop("_cell", "_own")
@@ -85,13 +93,14 @@ def match_bins(analytes: DataFrame, library: DataFrame, k: int | None = 100) ->
     """(analyte, rank, lib, score): squared cosine of sqrt(I m) over equal bins, the k best of each analyte.
 
     A pair meets once a shared bin; a frequent bin's postings are dealt by Spark's skew handling. Ties go to the smaller lib.
+    A spectrum without weight (no peak above m/z 0, or no intensity) scores 0.
     """
     weight = F.col("intensity") * F.col("mz")
     norms = lambda d, name: d.groupBy(F.col("spec_id").alias(name)).agg(F.sum(weight).alias(f"_{name}_norm"))
     a = analytes.select(F.col("spec_id").alias("analyte"), "mz", F.sqrt(weight).alias("_a"))
     b = library.select(F.col("spec_id").alias("lib"), "mz", F.sqrt(weight).alias("_b"))
     dots = a.join(b, "mz").groupBy("analyte", "lib").agg(F.sum(F.col("_a") * F.col("_b")).alias("_dot"))
-    score = F.round(F.col("_dot") * F.col("_dot") / (F.col("_analyte_norm") * F.col("_lib_norm")), 6)
+    score = F.round(share(F.col("_dot") * F.col("_dot"), F.col("_analyte_norm") * F.col("_lib_norm")), 6)
     scored = dots.join(norms(analytes, "analyte"), "analyte").join(norms(library, "lib"), "lib").select("analyte", "lib", score.alias("score"))
     return top_k(scored, k) if k else scored
 

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+BATCH_BYTES = "8m"  # of an Arrow batch
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -30,8 +31,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors this package as a zip file, once an application."""
+    """Give the executors this package as a zip file, once an application; bound what a Python worker holds of its input."""
     app = spark.sparkContext.applicationId
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if app not in _shipped:
         package = Path(__file__).parent
         path = os.path.join(tempfile.mkdtemp(prefix="lumenspec-code-"), "lumenspec.zip")
