@@ -14,27 +14,41 @@ from pyspark.sql.types import StructType
 
 _own_dirs: dict[str, str] = {}
 EDGES = 1 << 16  # edges that one task holds while it contracts them
+CHUNK = 1 << 19  # bytes of texts that are hashed at a time
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset (local tests)."""
+    """The folder that spark.checkpoint.dir names; a temporary one where it is unset, which only a local master may use."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lumenspec-")
     return _own_dirs[app]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder inside the shared one."""
+    return f"{shared_dir(spark)}/lumenspec/{spark.sparkContext.applicationId}"
+
+
 def as_table(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back: later plans start there and survive lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumenspec/{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete what as_table has written in this application, when no result that is still to be read starts there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_columns(schema: StructType, more: str) -> StructType:
     """The schema with more columns, given as DDL."""
     return StructType([*schema.fields, *StructType.fromDDL(more).fields])
@@ -52,7 +66,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def chunks(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most `most` bytes, or one row."""
     a, n = 0, len(offsets) - 1
     while a < n:
@@ -81,11 +95,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     n = len(data)
     if len(_powers[0]) <= n:
         for k, base in enumerate((_BASE, _INVERSE)):
-            step = np.full(max(n + 1, 2 << 20), base, np.uint64)
+            step = np.full(max(n + 1, CHUNK + 1), base, np.uint64)
             step[0] = 1
             _powers[k] = np.multiply.accumulate(step)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=total[1:])
+    np.add(data, np.uint64(1), out=total[1:])
+    total[1:] *= _powers[0][:n]
+    np.cumsum(total, out=total)
     return mix((total[ends] - total[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64))
 
 
