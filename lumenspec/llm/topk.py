@@ -6,8 +6,9 @@ component can add) and an upper bound (plus what stands at the list's frontier).
 the k-th lower bound are out; reading stops when few are left, and those get their final scores. Bounds are float64:
 exact while no inner product can reach 2**53, beyond that apart by more than their rounding error.
 
-Candidates lie in blocks of bounded size by a hash of their id, queries in blocks as well; each pair of blocks is one
-task, whose winners (k a query) meet in a ranking window.
+Candidates lie in blocks of bounded size by a hash of their id, queries in larger blocks; each pair of blocks is one
+task, which sorts its lists once, reads them for SLICE queries at a time, and gives its winners (k a query) to a ranking
+window.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import as_table
 
-CANDIDATES, QUERIES = 8192, 512
+CANDIDATES, QUERIES, SLICE = 8192, 16384, 512
 
 
 def finite(vector: Column) -> Column:
@@ -32,17 +33,26 @@ def top_rows(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def no_random_access(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, first_depth: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+class Lists:
+    """Each component's candidates by falling value: what a sequential reader finds at every depth."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+        n, dims = vectors.shape
+        self.vectors, self.ids, self.x = vectors, ids, vectors.astype(np.float64)
+        order = np.argsort(-self.x, axis=0, kind="stable")
+        self.rank = np.empty((n, dims), np.int32)
+        self.rank[order, np.arange(dims)] = np.arange(n, dtype=np.int32)[:, None]
+        self.values = np.take_along_axis(self.x, order, axis=0)
+        self.largest = np.abs(self.x).max(axis=0)
+
+
+def no_random_access(queries: np.ndarray, own: np.ndarray, read: Lists, k: int, first_depth: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the ids and exact scores of its k best candidates; rows of the query's own id take no part."""
+    vectors, ids, x, rank, lists = read.vectors, read.ids, read.x, read.rank, read.values
     n, dims = vectors.shape
-    x = vectors.astype(np.float64)
-    span = np.abs(queries.astype(np.float64)) @ np.abs(x).max(axis=0)  # no partial sum of a query is larger
+    span = np.abs(queries.astype(np.float64)) @ read.largest  # no partial sum of a query is larger
     slack = np.where(span < 2.0**52, 0.0, span * (dims + 8) * 2.0**-51)  # twice the error of a bound's dims products and sums
     wide = span >= 2.0**62  # int64 might wrap: Python integers
-    order = np.argsort(-x, axis=0, kind="stable")
-    rank = np.empty((n, dims), np.int32)
-    rank[order, np.arange(dims)] = np.arange(n, dtype=np.int32)[:, None]
-    lists = np.take_along_axis(x, order, axis=0)
     out: list = [None] * len(queries)
     active, depth = np.arange(len(queries)), min(n, first_depth)
     alive = np.arange(n)
@@ -75,7 +85,9 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFr
     """(id long, vec array<long>) twice -> query_id, rank, id, score: each query's k highest integer inner products.
 
     Ties go to the smaller id; a row never answers a query of its own id; with fewer candidates all are returned; a
-    query without candidates has no rows. Only vectors of one length meet. Repeated rows count as often as they occur.
+    query without candidates has no rows. Only vectors of one length meet. Repeated rows count as often as they occur:
+    as candidates each is one, and a repeated query shares one ranking with its copies. Empty tables give an empty one.
+    A score beyond 64 bits is an error.
     """
     n, q = (int(x.count()) for x in (candidates, queries))
     blocks, rounds = max(1, -(-n // CANDIDATES)), max(1, -(-q // QUERIES))
@@ -86,7 +98,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFr
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
         own, ids = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
-        found = no_random_access(np.stack(a["vec"].to_numpy()), own, np.stack(b["vec"].to_numpy()), ids, k)
+        wanted, lists = np.stack(a["vec"].to_numpy()), Lists(np.stack(b["vec"].to_numpy()), ids)
+        found = [x for s in range(0, len(own), SLICE) for x in no_random_access(wanted[s : s + SLICE], own[s : s + SLICE], lists, k)]
         return pd.DataFrame({"query_id": np.repeat(own, [len(i) for i, _ in found]), "id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])})
 
     keys = ["dims", "c", "q"]
