@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a robust-pruned directed graph for each shard, searched with a beam.
 
-Shards are dealt by a hash of the id and hold a bounded number of vectors; equal vectors of a shard are one node. A
-graph grows in batches: greedy searches from the medoid over the graph so far propose neighbours of each new node, and
+Shards are dealt by a hash of the id and hold a bounded number of vectors, more in larger tables, as a search opens few of
+a graph's nodes; equal vectors of a shard are one node. Graphs work on vectors scaled by a power of two, so any finite
+values do; scores are those of the original vectors. A graph grows in batches: greedy searches from the medoid over the graph so far propose neighbours of each new node, and
 robust pruning keeps an edge only if no kept neighbour is closer to its end by the factor alpha, so edges stay diverse.
 Every query searches every shard; the shards' answers meet in a ranking window. The index is a table of nodes.
 """
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import as_table
 from .topk import finite
 
-SHARD, QUERIES = 4096, 1024
-NODES = "shard long, node int, start int, ids array<long>, vec array<float>, edges array<int>"
+LEAST_SHARD, MOST_SHARD, SHARDS = 4096, 1 << 18, 64  # a shard's vectors; shards that smaller tables are cut into
+QUERIES = 8192
 
 
 def distances(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -26,6 +27,13 @@ def distances(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(at < 0, np.inf, np.einsum("bmd,bmd->bm", d, d))
 
 
+def scaled(x: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
+    """The arrays as float32 over one power of two that leaves all components at most 1."""
+    top = max((float(np.abs(a).max()) for a in (x, *others) if a.size), default=0.0)
+    shift = -int(np.frexp(top)[1])
+    return [np.ldexp(a.astype(np.float64), shift).astype(np.float32) for a in (x, *others)]
+
+
 def beam_search(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Greedy searches of all queries in step: (nodes, squared distances), each query's `beam` best, nearest first, padded with -1."""
     b = len(q)
@@ -109,21 +117,26 @@ def build(x: np.ndarray, degree: int = 24, beam: int = 48, alpha: float = 1.2, b
     return start, edges
 
 
-def index(vectors: DataFrame, shard_size: int = SHARD) -> DataFrame:
-    """(id long, vec array<float>) -> the graph's nodes, written to the shared folder."""
+def index(vectors: DataFrame, shard_size: int | None = None) -> DataFrame:
+    """(id long, vec array of float or double) -> the graph's nodes, written to the shared folder.
+
+    Repeated rows are ids of one node; an empty table gives an empty index. shard_size: by default as many as make
+    SHARDS shards, within LEAST_SHARD and MOST_SHARD.
+    """
+    kind = vectors.schema["vec"].dataType.simpleString()
     vectors = vectors.select("id", "vec", F.size("vec").alias("dims"))
     n = vectors.count()
-    shards = max(1, -(-n // shard_size))
+    shards = max(1, -(-n // (shard_size or min(MOST_SHARD, max(LEAST_SHARD, n // SHARDS)))))
 
     def graph(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x, back = np.unique(np.stack(rows["vec"].to_numpy()).astype(np.float32), axis=0, return_inverse=True)
-        start, edges = build(x)
+        x, back = np.unique(np.stack(rows["vec"].to_numpy()), axis=0, return_inverse=True)
+        start, edges = build(*scaled(x), batch=min(1024, max(256, len(x) // 64)))
         order = np.lexsort((rows["id"].to_numpy(), back.ravel()))
         ids = np.split(rows["id"].to_numpy()[order], np.flatnonzero(np.diff(back.ravel()[order])) + 1)
         return pd.DataFrame({"shard": key[0] * 100_000 + key[1] % 100_000, "node": np.arange(len(x)), "start": start, "ids": ids, "vec": list(x), "edges": [e[e >= 0] for e in edges]})
 
     dealt = vectors.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    return as_table(dealt.groupBy("s", "dims").applyInPandas(graph, NODES))
+    return as_table(dealt.groupBy("s", "dims").applyInPandas(graph, f"shard long, node int, start int, ids array<long>, vec {kind}, edges array<int>"))
 
 
 def search(nodes: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96) -> DataFrame:
@@ -131,7 +144,8 @@ def search(nodes: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96) ->
 
     score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id; with fewer
     candidates all found are returned. Only vectors of one length meet. Vectors that are equal share a node, of which
-    each query sees the k + 1 smallest ids: no more can be among its k nearest.
+    each query sees the k + 1 smallest ids: no more can be among its k nearest. A repeated query shares one ranking with
+    its copies; empty tables give an empty one.
     """
     blocks = max(1, -(-queries.count() // QUERIES))
     shards = nodes.select(F.col("shard").alias("to"), F.size("vec").alias("dims")).distinct()
@@ -142,16 +156,17 @@ def search(nodes: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96) ->
         out: list[tuple] = []
         if len(a) and len(b):
             a = a.sort_values("node")
-            x, ids = np.stack(a["vec"].to_numpy()).astype(np.float32), a["ids"].to_numpy()
+            whole, ids = np.stack(a["vec"].to_numpy()).astype(np.float64), a["ids"].to_numpy()
             edges = np.full((len(a), max(1, a["edges"].map(len).max())), -1, np.int32)
             for i, e in enumerate(a["edges"]):
                 edges[i, : len(e)] = e
-            q, own = np.stack(b["vec"].to_numpy()).astype(np.float32), b["id"].to_numpy()
+            wanted, own = np.stack(b["vec"].to_numpy()).astype(np.float64), b["id"].to_numpy()
+            x, q = scaled(whole, wanted)
             for s in range(0, len(q), 128):
                 found, _ = beam_search(x, edges, int(a["start"].iloc[0]), q[s : s + 128], max(beam, k + 1))
                 for i, row in enumerate(found, s):
                     row = row[row >= 0][: 2 * k + 2]
-                    score = np.sqrt(((x[row].astype(np.float64) - q[i].astype(np.float64)) ** 2).sum(1))
+                    score = np.sqrt(((whole[row] - wanted[i]) ** 2).sum(1))
                     hits = [(d, c) for d, r in zip(score.tolist(), row) for c in ids[r][: k + 1].tolist() if c != own[i]]
                     out += [(int(own[i]), c, d) for d, c in sorted(hits)[:k]]
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
@@ -162,9 +177,9 @@ def search(nodes: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96) ->
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec) of the rows whose vector is neither null nor zero and has finite components only, and whose id is not null."""
+    """(id, vec) of the rows whose vector is neither null nor zero and has finite components only, and whose id is not null; the type of its components stays."""
     v = F.col(vector_col)
-    return df.where(F.col(id_col).isNotNull() & finite(v) & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("id"), v.cast("array<float>").alias("vec"))
+    return df.where(F.col(id_col).isNotNull() & finite(v) & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("id"), v.alias("vec"))
 
 
 def op10_ann_graph(spark, sf_dir: str) -> DataFrame:
