@@ -27,7 +27,8 @@ LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
 ROWS = 1 << 15
 SAMPLE, SAMPLE_CHARS, EVIDENCE, WEIGHT = 300, 4000, 64, 8.0
-SMALL = 20_000  # rows of a table of priors up to which it is broadcast
+SMALL = 20_000  # rows of a table of priors up to which it is broadcast; beyond, Spark joins it by shuffles, with the same result
+MOST_HASH = (1 << 63) - 1
 
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = _LETTER[97:123] = _LETTER[65:91] = True
@@ -58,19 +59,37 @@ def fit(texts: dict[str, list[str]]) -> np.ndarray:
 
 
 def fit_on(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", languages: Sequence[str] = LANGUAGES) -> np.ndarray:
-    """Fit on at most SAMPLE rows a language, the first by a hash of their key; a language without rows is like "und"."""
-    rows = labelled.select(F.substring(text, 1, SAMPLE_CHARS).alias("t"), F.col(language).alias("l"), F.xxhash64(key).alias("h")).where(F.length("t") > 0)
-    return fit({k: [r["t"] for r in rows.where(F.col("l") == k).orderBy("h", "t").limit(SAMPLE).collect()] for k in languages})
+    """Fit on at most SAMPLE keys a language, the first by a hash of the key, of the first by order of a key's texts; a language
+    without rows is like "und".
+
+    The keys of each language are counted first; texts are read only below the hash that, by this count, holds twice
+    the sample (and below four times that again, should a count be far off), in one pass for all languages.
+    """
+    rows = labelled.select(F.col(text).alias("t"), F.col(language).alias("l"), F.xxhash64(key).alias("h")).where(F.col("l").isin(*languages) & (F.length("t") > 0))
+    keys = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    share = {k: 2 * SAMPLE / n for k, n in keys.items() if n}
+    found: dict[str, list[str]] = {k: [] for k in languages}
+    while share:
+        below = F.coalesce(*[F.when(F.col("l") == k, F.lit(min(MOST_HASH, int((2 * x - 1) * MOST_HASH)))) for k, x in share.items()])
+        some = rows.where(F.col("h") <= below).groupBy("l", "h").agg(F.min(F.substring("t", 1, SAMPLE_CHARS)).alias("t")).collect()
+        for k in list(share):
+            found[k] = [t for _, t in sorted((r["h"], r["t"]) for r in some if r["l"] == k)][:SAMPLE]
+            if len(found[k]) == SAMPLE or share[k] >= 1:
+                del share[k]
+        share = {k: 4 * x for k, x in share.items()}
+    return fit(found)
 
 
 def with_likelihoods(df: DataFrame, model: np.ndarray, text: str = "text", out: str = "_ll") -> DataFrame:
-    """A column more: log likelihoods of the whole text under each language and "und" (null where it has no letter)."""
-    place, shared = df.columns.index(text), df.sparkSession.sparkContext.broadcast(model)
+    """A column more: log likelihoods of the whole text under each language and "und" (null where it has no letter).
+    `text` is a column, or "column.field" of a struct."""
+    outer, _, inner = text.partition(".")
+    place, shared = df.columns.index(outer), df.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            data, offsets = text_buffers(b.column(place))
+            data, offsets = text_buffers(b.column(place).field(inner) if inner else b.column(place))
             ll, n = np.zeros((b.num_rows, m.shape[1])), np.zeros(b.num_rows, np.int64)
             for s, e in chunks(offsets):
                 gram, row = trigrams(data[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s])
@@ -161,12 +180,15 @@ def identify_pages(pages: DataFrame, model: np.ndarray, key: str = "page_id", ur
 
 
 def keep_languages(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` (text, lang as declared, source as host) whose text is in one of the languages, by the same fusion; the columns of `docs`."""
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"), F.coalesce("lang", F.lit("")).alias("declared"), F.coalesce("source", F.lit("")).alias("host"), F.lit("").alias("domain"), F.lit("").alias("suffix"))
+    """The rows of `docs` (text, lang as declared, source as host) whose text is in one of the languages, by the same fusion; the columns of `docs`.
+
+    Null, empty and other texts without letters are "und" and go; a null lang or source is the empty one; repeated rows
+    are rows of their own; an empty table gives an empty table; other columns pass through, whatever their names.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce("lang", F.lit("")).alias("declared"), F.coalesce("source", F.lit("")).alias("host"), F.lit("").alias("domain"), F.lit("").alias("suffix"))
     model = fit_on(docs)
-    slim = as_table(with_likelihoods(plain.drop("_row"), model, "_text").drop("_text"))
-    rows = with_likelihoods(plain, model, "_text").drop("_text")
-    return fuse(rows, *priors(slim, model.shape[1])).where(F.col("language") != UNKNOWN).select("_row.*")
+    rows = as_table(with_likelihoods(rows, model, "_row.text"))
+    return fuse(rows, *priors(rows, model.shape[1])).where(F.col("language") != UNKNOWN).select("_row.*")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
