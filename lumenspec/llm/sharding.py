@@ -18,6 +18,7 @@ from .common import as_table, with_columns
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 OUT = ("shard", "slot")
+BUCKETS = 1 << 16
 
 
 def spread_key(group: Column, row: Column) -> Column:
@@ -75,19 +76,20 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = 0.002, probes: i
 def shard(df: DataFrame, key: Column, size: Column, order: list[str], shards: int = 24, tolerance: float = 0.002, bucket_bytes: int = 32 << 20) -> DataFrame:
     """The rows of `df` with shard (0 to shards - 1) and slot (gapless from 0 in each shard, in key order).
 
-    A null key sorts as the least key and a null size counts 0; rows of one key stay together; an empty table gives an
-    empty table; columns of `df` named shard or slot give way. Shards are cut into buckets of about bucket_bytes (4096 a
-    shard at most) so that one exchange deals the rows to many tasks; a slot is its bucket's first slot, known from the
-    last histogram, plus the row's place in the bucket.
+    A null key sorts as the least key and a null size counts 0; rows of one key stay together, so rows that are repeated
+    whole cannot be parted and a shard may be larger by them; an empty table gives an empty table; columns of `df` named
+    shard or slot give way, others keep their names. Shards are cut into buckets of about bucket_bytes (BUCKETS in all at
+    most) by the same histogram, so that one exchange deals the rows to many tasks and a hot text's rows to several; a
+    slot is its bucket's first slot, known from the last histogram, plus the row's place in the bucket.
     """
     keep = [c for c in df.columns if c not in OUT]
-    rows = df.select(F.coalesce(key, F.lit(LEAST)).cast("long").alias("_key"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), *[F.col(f"`{c}`") for c in keep])
-    keyed = as_table(rows.select(F.col("_key").alias("key"), F.col("_size").alias("size")))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    rows = df.select(F.coalesce(key, F.lit(LEAST)).cast("long").alias("key"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), row)
+    keyed = as_table(rows.select("key", "size"))
     cut = splitters(keyed, shards, tolerance)
     total = int(keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-    m = min(4096, max(1, -(-total // (shards * bucket_bytes))))
-    ends = [LEAST, *cut, MOST]
-    bounds = sorted({*cut, *(a + (b - a) * j // m for a, b in zip(ends, ends[1:]) for j in range(1, m) if b > a)} - {LEAST})
+    buckets = min(BUCKETS, -(-total // bucket_bytes))
+    bounds = sorted({*cut, *(splitters(keyed, buckets, 0.25, 4) if buckets > shards else ())} - {LEAST})
     below = _counts(keyed, bounds)[1] if bounds else []
     shard_of = np.searchsorted(np.array(cut, np.int64), np.array([LEAST, *bounds], np.int64), "right")
     first_row = np.array([0, *below], np.int64)
@@ -98,11 +100,11 @@ def shard(df: DataFrame, key: Column, size: Column, order: list[str], shards: in
         at, of, start = tables
         for b in batches:
             bucket = np.searchsorted(at, b.column(0).to_numpy(zero_copy_only=False), "right")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bucket, pa.int64()), pa.array(of[bucket]), pa.array(start[bucket])], [*b.schema.names, "_bucket", "shard", "_start"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(bucket, pa.int64()), pa.array(of[bucket]), pa.array(start[bucket])], ["key", "row", "bucket", "shard", "start"])
 
-    dealt = rows.mapInArrow(deal, with_columns(rows.schema, "_bucket long, shard int, _start long"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", *[F.col(f"`{c}`") for c in order]))
-    return dealt.select(*[F.col(f"`{c}`") for c in keep], "shard", (F.col("_start") + place - 1).alias("slot"))
+    dealt = rows.mapInArrow(deal, with_columns(rows.select("key", "row").schema, "bucket long, shard int, start long"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("key", *[F.col(f"row.`{c}`") for c in order]))
+    return dealt.select("row", "shard", (F.col("start") + place - 1).alias("slot")).select("row.*", "shard", "slot")
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
