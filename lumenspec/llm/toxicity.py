@@ -5,13 +5,14 @@ unseen inflections of a known word are recognised. Both directions' gated recurr
 attention weighs their states; the pooled state gives the window's score. Windows overlap by half and cover every text
 to its end; a text's score is its highest window's. Inputs depend on the text alone.
 
-The network is fitted on the driver on a bounded sample of labelled rows (SAMPLE toxic and CLEAN times as many clean
-ones, each of at most SAMPLE_CHARS characters). A toxic text's label holds for it as a whole, so after the first pass only its windows with the
+The network is fitted by one task on a bounded sample of labelled rows (SAMPLE toxic and CLEAN times as many clean
+ones, each of at most SAMPLE_CHARS characters); the driver sees its parameters alone. A toxic text's label holds for it as a whole, so after the first pass only its windows with the
 highest score are taught as toxic. Scoring runs in Spark tasks over all rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -289,16 +290,26 @@ def fit_on(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     """Fit on at most `sample` toxic and CLEAN * sample clean rows, the first by a hash of their id, none of them held out.
 
     Candidates are 5 / 4 as many labelled ids, so that long texts and ids without a text may drop out; only their texts
-    are read, through a broadcast of these few ids.
+    are read, through a broadcast of these few ids, and of repeated ids one text each (the first by order) is used.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_toxic")).where(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1) & ~held_out(F.col("_id"))).distinct()
     known = known.withColumn("_h", F.xxhash64("_id"))
     some = [known.where(F.col("_toxic") == c).orderBy("_h", "_id").limit(n + n // 4) for c, n in ((1, sample), (0, CLEAN * sample))]
     texts = df.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text")).where(F.length("_text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(some[0].unionByName(some[1])), F.col("_own") == F.col("_id")).select("_toxic", "_h", "_text").collect()
-    rows = sorted((int(r["_toxic"]), r["_h"], r["_text"]) for r in rows)
-    used = [x for c, n in ((1, sample), (0, CLEAN * sample)) for x in [r for r in rows if r[0] == c][:n]]
-    return fit([r[2] for r in used], [r[0] for r in used])
+    rows = texts.join(F.broadcast(some[0].unionByName(some[1])), F.col("_own") == F.col("_id")).groupBy("_toxic", "_h", "_id").agg(F.min("_text").alias("_text"))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((int(c), h, t) for b in batches for c, h, t in zip(*(x.to_pylist() for x in b.columns)))
+        used = [x for c, n in ((1, sample), (0, CLEAN * sample)) for x in [r for r in found if r[0] == c][:n]]
+        net = fit([r[2] for r in used], [r[0] for r in used])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.p)], pa.binary())], ["parameters"])
+
+    fitted = rows.select("_toxic", "_h", "_text").repartition(1).mapInArrow(train, "parameters binary").first()
+    net = Network()
+    if fitted:
+        net.p = pickle.loads(fitted["parameters"])
+        return net
+    return fit([], [])
 
 
 def scored(df: DataFrame, net: Network, text_col: str = "text", out: str = "score") -> DataFrame:
