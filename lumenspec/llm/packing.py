@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import as_table, with_columns
 from .tokens import END, encode, vocabulary
 
-SALTS = 64
+RANKED = 1 << 17  # pieces of one length that a task ranks; more where a table would have over PARTS such tasks
+PARTS = 1 << 16
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -78,8 +79,9 @@ def pieces(df: DataFrame, path: str, capacity: int) -> DataFrame:
 def assign(rows: DataFrame, capacity: int) -> DataFrame:
     """Rows with a column length (1 to capacity), doc_id and start -> with sequence_id and offset.
 
-    `rows` is a written table. Pieces are ranked within their length in hash-dealt parts, so one frequent length is no
-    single task; ranks of a part follow those of the parts before it.
+    `rows` is a written table. Pieces are ranked within their length in hash-dealt parts, as many as the histogram says,
+    so one frequent length is no single task; ranks of a part follow those of the parts before it. What is broadcast has
+    at most capacity + PARTS rows.
     """
     histogram = {int(x): int(n) for x, n in rows.groupBy("length").count().collect()}
     table, taken, sequence = [], dict.fromkeys(histogram, 0), 0
@@ -93,11 +95,13 @@ def assign(rows: DataFrame, capacity: int) -> DataFrame:
     plan = np.array(sorted(table), np.int64).reshape(-1, 5)
     starts = (plan[:, 0] << 44) + plan[:, 1]
 
-    part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).alias("_part")
-    sizes = rows.groupBy("length", part).agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).drop("_n")
+    share = max(RANKED, -(-sum(histogram.values()) // PARTS))
+    parts = rows.sparkSession.createDataFrame([(x, -(-n // share)) for x, n in histogram.items()], "_length long, _parts long")
+    dealt = rows.join(F.broadcast(parts), F.col("length") == F.col("_length")).select(*rows.columns, F.pmod(F.xxhash64("doc_id", "start"), F.col("_parts")).alias("_part"))
+    sizes = dealt.groupBy(F.col("length").alias("_length"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_length").orderBy("_p")) - F.col("_n")).drop("_n")
     place = F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "start")) - 1
-    ranked = rows.withColumn("_part", part).withColumn("_place", place.cast("long")).join(sizes, ["length", "_part"])
+    ranked = dealt.withColumn("_place", place.cast("long")).join(F.broadcast(sizes), (F.col("length") == F.col("_length")) & (F.col("_part") == F.col("_p")))
     ranked = ranked.select(*rows.columns, (F.shiftleft(F.col("length"), 44) + F.col("_before") + F.col("_place")).alias("_key"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
