@@ -6,35 +6,38 @@ similarity reaches the threshold. The result is each document's component under
 1. A count sketch of all shingles gives a global order, rare first (any fixed order keeps prefix filtering exact; a
    good one keeps prefixes free of shared passages). Two sets that link share a shingle among the first
    n - ceil(t n) + 1 of each, at places early enough to leave room for the overlap they need. These prefix rows, with
-   size and place, are the one large shuffle.
-2. Similar documents become groups: in the posting of a prefix shingle each class is compared with the next smaller one,
-   and then, ROUNDS times, one class of each component with one of the posting. What links forms components, and these, cut
-   into parts of bounded size, are the groups.
-3. Token-group matrix: postings now hold groups, so the copies of a text count once. A query class meets the groups of
-   other components that its postings allow by size and place; the overlap of its set with the union of a group's sets
-   bounds its overlap with any member. Only groups whose bound reaches the threshold are opened, and their members
-   compared one by one.
-4. Components of all links found. A pair that links either lies in one component already or is found in step 3.
-
-Frequent shingles are dealt to several tasks each, joins on hot keys are left to Spark's skew handling, and texts, not
-sets, travel to comparisons.
+   size and place, are the one large shuffle; frequent shingles are dealt to several tasks each.
+2. Similar classes become groups of at most GROUP: a class goes to the group of the most frequent of its shared prefix
+   shingles, among classes of like size.
+3. Token-group matrix: a group's row holds the union of its members' shingles, each with a 64-bit mask of the members
+   that have it. Members are compared within the group by the product of the masks.
+4. Two groups are candidates when they share a prefix shingle that sizes and places allow, and enough of them. Each first
+   meets one other (the star round), which settles groups of copies; then all candidate pairs whose members do not yet lie
+   in one component. A member's overlap with the other group's union bounds its overlap with any member there; only rows
+   that reach the threshold are opened, and these are compared by the product of the masks.
+5. Components of all links found. A pair that links is in one group, or in a candidate pair of groups, or connected before.
+
+Postings hold groups, not documents, so copies count once and a large cluster of m classes costs (m / GROUP)^2 pairs at
+most, of which those inside one component are left out. SMALL changes the join's plan, never its result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_table, components, mix, shingle_sets, with_columns
 
 SKETCH_BITS, SLICES = 20, 64
-FREQUENT, GROUP, ROUNDS = 1000, 64, 4
+FREQUENT, GROUP = 1000, 64  # rows of a posting in one task; classes of a group (bits of a mask)
+GROUP_SHINGLES = 1 << 18  # shingles of a group's members, about
 SMALL = 100_000  # classes up to which their ids are broadcast to the scan of texts
 PASS = 64  # sketches that one task adds up
 
@@ -49,26 +52,22 @@ def at_least(n: np.ndarray | int, percent: int):
     return -(-n * percent // 100)
 
 
-def links(shared: int, n: int, m: int, percent: int) -> bool:
-    return 100 * shared >= percent * (n + m - shared)
-
-
 def describe(docs: DataFrame, width: int) -> DataFrame:
     """From (doc_id, text) of all rows: kind 0: (id = doc_id, n, sig); kind 1: a slice (id) of the task's counts of shingles by hash."""
     span = (1 << SKETCH_BITS) // SLICES
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
         names = ["kind", "id", "n", "sig", "part", "counts"]
         for b in batches:
-            n, sig, seen = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
+            n, sig, seen, held = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [], 0
             for i, tokens in shingle_sets(b.column(1), width):
                 n[i], sig[i] = len(tokens), set_id(tokens)
                 seen.append(tokens)
-                if i % 4096 == 4095 or i == b.num_rows - 1:
-                    bucket, times = np.unique((np.concatenate(seen) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
-                    counts[bucket] += times.astype(np.int32)
-                    seen = []
+                held += len(tokens)
+                if held >= 1 << 20 or i == b.num_rows - 1:
+                    counts += np.bincount((np.concatenate(seen) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                    seen, held = [], 0
             k = b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), b.column(0), pa.array(n), pa.array(sig), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
         if counts.any():
@@ -99,133 +98,183 @@ def sketch(described: DataFrame) -> np.ndarray:
     return out
 
 
-def needed(n, m, percent: int):
-    """The overlap that sets of these sizes need to link (numbers, arrays or columns; rounded down in columns' division)."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def postings(docs: DataFrame, shared, mean: float, width: int, percent: int, frequent: int = FREQUENT) -> DataFrame:
-    """(token, sig, n, pos, prev): prefix shingles that may be shared by two classes, the class's size, the shingle's place in
-    its order, and the next smaller class of the posting if it may link (in its part of the posting, for frequent shingles).
-    `shared` is the broadcast sketch, `mean` its mean."""
+    """(token, sig, n, pos, k): prefix shingles that may be shared by two classes, the class's size, the shingle's place in
+    its order, and the classes of the posting (of its part, for frequent shingles).
+
+    `shared` is the broadcast sketch, `mean` its mean. Postings reach a task sorted and are read batch by batch; only one
+    posting is held. Sets of up to 2**27 shingles have room in `meta`: part, size, place.
+    """
     bound = mean + 8 * np.sqrt(mean) + frequent
     bits = np.uint64(64 - SKETCH_BITS)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch_counts = shared.value
+        sketch_counts, known = shared.value, set()  # a task's copies of a text count once
         for b in batches:
             out: list = []
             for i, tokens in shingle_sets(b.column(0), width):
-                n = len(tokens)
-                if n:
+                n, sig = len(tokens), set_id(tokens)
+                if n and sig not in known:
+                    known.add(sig)
                     c = sketch_counts[(tokens >> bits).astype(np.int64)]
                     first = np.argsort(c, kind="stable")[: n - at_least(n, percent) + 1]
-                    out.append((tokens[first], np.full(len(first), set_id(tokens), np.int64), c[first], (n << 36) + (np.arange(len(first)) << 12)))
-                if out and (len(out) == 2048 or i == b.num_rows - 1):
-                    t, sig, c, meta = map(np.concatenate, zip(*out))
+                    out.append((tokens[first], np.full(len(first), sig, np.int64), c[first], (n << 24) + np.arange(len(first))))
+                if out and (len(out) == 1024 or i == b.num_rows - 1):
+                    t, sigs, c, meta = map(np.concatenate, zip(*out))
                     salts = np.clip(1 + (c - mean) // frequent, 1, 4094).astype(np.uint64)
-                    salt = np.where(c > bound, mix(sig.view(np.uint64)) % salts + np.uint64(1), 0).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(sig), pa.array(meta + salt)], ["token", "sig", "meta"])
+                    salt = np.where(c > bound, mix(sigs.view(np.uint64)) % salts + np.uint64(1), 0).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(sigs), pa.array(meta + (salt << 51))], ["token", "sig", "meta"])
                     out = []
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches]
-        if not held:
-            return
-        t, sig, meta = map(np.concatenate, zip(*held))
-        n, pos, salt = meta >> 36, meta >> 12 & 0xFFFFFF, meta & 0xFFF
-        order = np.lexsort((sig, n, salt, t))
-        t, sig, n, pos, salt = (x[order] for x in (t, sig, n, pos, salt))
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])
-        once = new.copy()
-        once[1:] |= sig[1:] != sig[:-1]
-        t, sig, n, pos, salt, new = (x[once] for x in (t, sig, n, pos, salt, new))
-        k = len(t)
-        near = np.zeros(k + 1, bool)  # the row before is of this posting, and of a size that may link
-        near[1:k] = ~new[1:] & (100 * n[:-1] >= percent * n[1:])
-        keep = np.flatnonzero(near[:-1] | near[1:] | (salt > 0))
-        prev = np.concatenate([[0], sig[:-1]])
-        m, q = np.concatenate([[0], n[:-1]]), np.concatenate([[0], pos[:-1]])
-        want = needed(n, m, percent)
-        pair = ~new & (100 * m >= percent * n) & (n - pos >= want) & (m - q >= want)
-        for a in range(0, len(keep), 1 << 16):
-            s = keep[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(t[s]), pa.array(sig[s]), pa.array(n[s]), pa.array(pos[s]), pa.array(prev[s], mask=~pair[s])], ["token", "sig", "n", "pos", "prev"])
-
-    rows = docs.select("text").mapInArrow(prefixes, "token long, sig long, meta long")
-    return rows.repartition("token", F.col("meta").bitwiseAND(0xFFF)).mapInArrow(gather, "token long, sig long, n long, pos long, prev long")
+    def shared_only(t, sig, meta) -> pa.RecordBatch:
+        """Of whole postings in order the rows that have a neighbour of a size that may link (of frequent ones, all)."""
+        n, salt = meta >> 24 & 0x7FFFFFF, meta >> 51
+        new = np.ones(len(t) + 1, bool)
+        new[1:-1] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])
+        near = np.zeros(len(t) + 1, bool)  # the row before is of this posting, and near in size
+        near[1:-1] = ~new[1:-1] & (100 * n[:-1] >= percent * n[1:])
+        first = np.flatnonzero(new)
+        k = np.repeat(np.diff(first), np.diff(first))
+        s = np.flatnonzero(near[:-1] | near[1:] | (salt > 0))
+        return pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (t, sig, n, meta & 0xFFFFFF, k)], ["token", "sig", "n", "pos", "k"])
 
-
-def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs (u, v) of classes those that link, found from the classes' texts."""
-    both = pairs.join(texts.select(F.col("sig").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("sig").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
         for b in batches:
-            left, right = (t for _, t in shingle_sets(b.column(2), width)), (t for _, t in shingle_sets(b.column(3), width))
-            keep = [links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent) for x, y in zip(left, right)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(check, "u long, v long")
+            t, sig, meta = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip(held, b.columns))
+            once = np.ones(len(t), bool)
+            once[1:] = (t[1:] != t[:-1]) | (sig[1:] != sig[:-1])
+            t, sig, meta = t[once], sig[once], meta[once]
+            last = int(np.searchsorted(t, t[-1])) if len(t) else 0  # parts of a posting stay together until it ends
+            if last:
+                yield shared_only(t[:last], sig[:last], meta[:last])
+            held = [t[last:], sig[last:], meta[last:]]
+        if len(held[0]):
+            yield shared_only(*held)
 
-
-def may_link(n, pos, m, at, percent: int):
-    """Whether sets of sizes n and m, with a shared shingle at these places, can overlap enough (columns)."""
-    want = F.ceil((n + m) * (percent / (100 + percent)) - F.lit(1e-6))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (n - pos >= want) & (m - at >= want)
-
-
-def stars(posts: DataFrame, label: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Pairs (u, v): in each posting of several components, one class of each with one class of the posting."""
-    rows = posts.select("token", "sig", "n", "pos").join(label.select("sig", "label"), "sig")
-    heads = rows.groupBy("token", "label").agg(F.min(F.struct(F.xxhash64("sig", F.lit(seed)).alias("h"), "sig", "n", "pos")).alias("a"))
-    centre = heads.groupBy("token").agg(F.min("a").alias("b"), F.count("*").alias("k")).where("k > 1")
-    pairs = heads.join(centre, "token").where((F.col("a.sig") != F.col("b.sig")) & may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), percent))
-    return pairs.select(F.col("a.sig").alias("u"), F.col("b.sig").alias("v")).distinct()
+    rows = docs.select("text").mapInArrow(prefixes, "token long, sig long, meta long")
+    dealt = rows.repartition("token", F.shiftright("meta", 51)).sortWithinPartitions("token", "meta", "sig")
+    return dealt.mapInArrow(gather, "token long, sig long, n long, pos long, k long")
 
 
-def opened(posts: DataFrame, label: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int, percent: int, group: int = GROUP) -> DataFrame:
-    """Links between classes of different components, through the token-group matrix.
+def grouped(posts: DataFrame, percent: int, most: int = GROUP) -> DataFrame:
+    """(sig, n, gid, slot, members, least, most): each class's group, its place there, and the group's number and range of sizes.
 
-    Before texts are read, a group must share enough of the query's prefix shingles: sets that need an overlap of `want`
-    share at least want - ceil(t n) + 1 of their prefixes, for the smaller n - prefix of the two.
+    A group takes classes of one leading shingle and size band, dealt by hash to parts of about half of `most` classes
+    and at most GROUP_SHINGLES shingles; a part that is larger is cut. A group's id is the least of its classes.
+    """
+    base = max(100 / percent, 1.05)
+    one = posts.groupBy("sig").agg(F.max(F.struct("k", "token")).alias("_lead"), F.min("n").alias("n"))
+    band = F.floor(F.log("n") / math.log(base))
+    parts = F.ceil(F.greatest(F.lit(1.0), F.col("_lead.k") * F.greatest(F.lit(2.0 / most), F.pow(F.lit(base), band) / float(GROUP_SHINGLES))))
+    placed = one.select("sig", "n", F.col("_lead.token").alias("_token"), band.alias("_band"), F.pmod(F.xxhash64("sig"), parts.cast("long")).alias("_part"))
+    keys = ["_token", "_band", "_part"]
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("sig")) - 1
+    placed = placed.withColumn("_at", at).withColumn("_cut", F.floor(F.col("_at") / most))
+    whole = Window.partitionBy(*keys, "_cut")
+    return placed.select("sig", "n", F.min("sig").over(whole).alias("gid"), (F.col("_at") % most).alias("slot"), F.count("*").over(whole).alias("members"), F.min("n").over(whole).alias("least"), F.max("n").over(whole).alias("most"))
+
+
+def bits(masks: np.ndarray, members: int) -> np.ndarray:
+    """The masks as a 0/1 matrix, a column for each member."""
+    return np.unpackbits(masks.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :members].astype(np.float32)
+
+
+def overlaps(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
+    """[n, m]: shingles shared by members of two groups, from the masks of the shingles that both have."""
+    return sum((bits(a[s : s + 65536], n).T @ bits(b[s : s + 65536], m)).astype(np.int64) for s in range(0, max(len(a), 1), 65536))
+
+
+def linked(shared: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return (100 * shared >= percent * (n[:, None] + m[None, :] - shared)) & (shared > 0)
+
+
+def matrix(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows of the token-group matrix from (gid, slot, sig, text, crossed): the members' classes and sizes, for each the slot
+    that represents what it links with inside the group, and, where `crossed`, the union of shingles with masks of members."""
+
+    def build(rows: pa.Table) -> pa.Table:
+        slot = rows["slot"].to_numpy()
+        rows = rows.take(pa.array(np.unique(slot, return_index=True)[1]))  # a class whose row is repeated counts once
+        sets = [t for _, t in shingle_sets(rows["text"], width)]
+        c, sizes = len(sets), np.array([len(t) for t in sets], np.int64)
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        tokens, bit = tokens[order], np.repeat(np.uint64(1) << np.arange(c, dtype=np.uint64), sizes)[order]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        tokens, masks = tokens[first], np.add.reduceat(bit, first)
+        root = np.arange(c)
+        if c > 1:
+            link = linked(overlaps(masks, masks, c, c), sizes, sizes, percent) | np.eye(c, dtype=bool)
+            while True:
+                now = np.where(link, root[None, :], c).min(1)
+                if (now == root).all():
+                    break
+                root = now
+        if not rows["crossed"][0].as_py():
+            tokens = masks = tokens[:0]
+        lists = [pa.array([x.tolist() if k < 3 else x.view(np.int64)], pa.list_(pa.int64())) for k, x in enumerate((rows["sig"].to_numpy(), sizes, root, tokens, masks))]
+        return pa.Table.from_arrays([rows["gid"].combine_chunks()[:1], *lists], ["gid", "sigs", "sizes", "roots", "tokens", "masks"])
+
+    return members.groupBy("gid").applyInArrow(build, "gid long, sigs array<long>, sizes array<long>, roots array<long>, tokens array<long>, masks array<long>")
+
+
+def fits(a: str, b: str, percent: int) -> Column:
+    """Whether sizes from `from` to `to` of columns a and b come near enough to link."""
+    return (100 * F.col(f"{a}.to") >= percent * F.col(f"{b}.from")) & (100 * F.col(f"{b}.to") >= percent * F.col(f"{a}.from"))
+
+
+def room(a: str, b: str, percent: int) -> Column:
+    """Whether the places of a shared shingle leave room for the overlap that the smallest sizes need."""
+    want = F.expr(f"{percent} * ({a}.from + {b}.from)") / (100 + percent)
+    return (F.col(f"{a}.room") >= want) & (F.col(f"{b}.room") >= want)
+
+
+def candidates(columns: DataFrame, percent: int, only: DataFrame | None = None) -> DataFrame:
+    """Pairs of groups (g, h) that may hold a link, from (token, gid, from, to, room, least, most, star), columns of shared
+    shingles: without `only` each group with one other, the least of most of its shingles; with it (gid, only: the label
+    of all its members, or null) all pairs that do not lie in one component.
+
+    Sets that need an overlap of `want` share want - ceil(t n) + 1 prefix shingles at least, n the larger size.
     """
-    sizes = label.groupBy("label").agg(F.count("*").alias("members"))
-    member = as_table(label.join(sizes, "label").select("sig", "n", "label", F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / group)).alias("part")))
-    spans = member.groupBy(F.col("label").alias("group_label"), F.col("part").alias("group_part")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    rows = posts.select("token", "sig").join(member, "sig")
-    several = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
-    rows = as_table(rows.join(several, "token"))
-    columns = rows.groupBy("token", F.col("label").alias("group_label"), F.col("part").alias("group_part")).agg(F.min("n").alias("from"), F.max("n").alias("to"))
-    met = rows.join(columns, "token").where((F.col("label") < F.col("group_label")) & F.expr(f"100 * to >= {percent} * n and 100 * n >= {percent} * from"))
-    met = met.groupBy("sig", "n", "group_label", "group_part").agg(F.count("*").alias("hits")).join(spans, ["group_label", "group_part"])
     t = percent / 100
-    low, high = F.greatest("least", F.col("n") * t), F.least("most", F.col("n") / t)
-    need = F.least((F.col("n") + low) * (t / (1 + t)) - F.col("n") * t, (F.col("n") + high) * (t / (1 + t)) - high * t)
-    met = as_table(met.where((F.col("hits") >= need - 1) & (low <= high + 1)).select("sig", "n", "group_label", "group_part", "least"))
-    wanted = met.select(F.col("group_label").alias("label"), F.col("group_part").alias("part")).distinct()
-    members = member.join(wanted, ["label", "part"])
-    texts = texts_of(met.select("sig").unionByName(members.select("sig"))).select("sig", "text")
-
-    def union(key, rows):
-        sets = [t for _, t in shingle_sets(pa.array(rows["text"], pa.string()), width)]
-        return rows.iloc[:1][["label", "part"]].assign(tokens=[np.unique(np.concatenate(sets)).view(np.int64)])
-
-    matrix = members.join(texts, "sig").groupBy("label", "part").applyInPandas(union, "label long, part long, tokens array<long>")
-    bound = met.join(texts, "sig").join(matrix.withColumnsRenamed({"label": "group_label", "part": "group_part"}), ["group_label", "group_part"]).select("sig", "group_label", "group_part", "least", "text", "tokens")
-
-    def qualify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for (_, x), least, tokens in zip(shingle_sets(b.column(4), width), b.column(3).to_pylist(), b.column(5)):
-                shared = len(np.intersect1d(x, tokens.values.to_numpy().view(np.uint64), assume_unique=True))
-                keep.append(shared >= at_least(max(len(x), least), percent))
-            yield pa.RecordBatch.from_arrays(b.columns[:3], b.schema.names[:3]).filter(pa.array(keep, pa.bool_()))
-
-    open_ = as_table(bound.mapInArrow(qualify, "sig long, group_label long, group_part long"))
-    pairs = open_.join(member.select(F.col("sig").alias("v"), F.col("label").alias("group_label"), F.col("part").alias("group_part")), ["group_label", "group_part"]).select(F.col("sig").alias("u"), "v")
-    return compared(pairs, texts, width, percent)
+    if only is None:
+        met = columns.select(F.struct("gid", "from", "to", "room", "least", "most").alias("a"), F.col("star").alias("b")).where("a.gid <> b.gid")
+    else:
+        side = columns.join(only, "gid").select("token", F.struct("gid", "from", "to", "room", "least", "most", "only").alias("a"))
+        met = side.join(side.withColumnRenamed("a", "b"), "token").where((F.col("a.gid") < F.col("b.gid")) & ~F.coalesce(F.col("a.only") == F.col("b.only"), F.lit(False)) & fits("a", "b", percent))
+    need = (F.least("a.least", "b.least") - t * F.greatest("a.most", "b.most")) * (t / (1 + t)) - 1
+    pairs = met.where(fits("a", "b", percent)).groupBy(F.col("a.gid").alias("g"), F.col("b.gid").alias("h")).agg(F.count("*").alias("hits"), F.max(room("a", "b", percent)).alias("room"), F.max(need).alias("need"))
+    pairs = pairs.where("room and hits >= need")
+    if only is None:
+        return pairs.groupBy("g").agg(F.max(F.struct("hits", "h")).alias("b")).select("g", F.col("b.h").alias("h"))
+    return pairs.select("g", "h")
+
+
+def across(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members of the pairs of groups (g, h): one for each two sets of linked members."""
+    row = F.struct("sigs", "sizes", "roots", "tokens", "masks")
+    groups = groups.where("size(tokens) > 0")
+    both = pairs.join(groups.select(F.col("gid").alias("g"), row.alias("a")), "g").join(groups.select(F.col("gid").alias("h"), row.alias("b")), "h").select("a.*", *[F.col(f"b.{c}").alias(f"b_{c}") for c in ("sigs", "sizes", "roots", "tokens", "masks")])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                sig_a, size_a, root_a, tok_a, mask_a, sig_b, size_b, root_b, tok_b, mask_b = (c[i].values.to_numpy() for c in batch.columns)
+                _, at_a, at_b = np.intersect1d(tok_a.view(np.uint64), tok_b.view(np.uint64), assume_unique=True, return_indices=True)
+                a, b = mask_a.view(np.uint64)[at_a], mask_b.view(np.uint64)[at_b]
+                one = np.full(len(a), 1, np.uint64)
+                open_a = overlaps(a, one, len(sig_a), 1)[:, 0] >= at_least(np.maximum(size_a, size_b.min()), percent)
+                open_b = overlaps(b, one, len(sig_b), 1)[:, 0] >= at_least(np.maximum(size_b, size_a.min()), percent)
+                if open_a.any() and open_b.any():
+                    link = linked(overlaps(a, b, len(sig_a), len(sig_b)), size_a, size_b, percent)
+                    x, y = np.nonzero(link & open_a[:, None] & open_b[None, :])
+                    found += zip(sig_a[root_a[x]].tolist(), sig_b[root_b[y]].tolist())
+            found = list(set(found))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return both.mapInArrow(compare, "u long, v long")
 
 
 def join_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,7 +286,7 @@ def join_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     hashes of shingles and of sets.
     """
     named = _labelled(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), width, percent)
-    least = named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = as_table(named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id")))
     return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -249,48 +298,72 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
     posts = as_table(postings(docs, shared, float(counts.mean()), width, percent))
     shared.destroy()
-    classes = as_table(rows.join(posts.select("sig").distinct(), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
-    texts_of = lambda sigs: as_table(_texts(docs, classes.join(sigs.distinct(), "sig"), width))
-    pairs = as_table(posts.select(F.col("sig").alias("u"), F.col("prev").alias("v")).where("v is not null").distinct())
-    texts = texts_of(pairs.select(F.col("u").alias("sig")).union(pairs.select("v")))
-    found = as_table(compared(pairs, texts, width, percent))
-    near = texts.select("sig", "n").distinct()
-    label = as_table(_labels(near, components(found)))
-    for seed in range(ROUNDS):
-        more = as_table(compared(stars(posts, label, percent, seed), texts, width, percent))
-        if not more.take(1):
-            break
-        label = as_table(_joined(label, more))
-    label = as_table(_labels(classes, label.withColumnRenamed("sig", "node").drop("n")))
-    more = as_table(opened(posts, label, texts_of, width, percent))
-    if more.take(1):
-        label = _joined(label, more)
-    return as_table(rows.join(label.select("sig", "label"), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), "sig", F.coalesce("label", "sig").alias("label")))
-
-
-def _labels(classes: DataFrame, found: DataFrame) -> DataFrame:
-    return classes.join(found.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n", F.coalesce("label", "sig").alias("label"))
-
-
-def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels (sig, n, label) after more links (u, v) between classes: components of labels, taken for the classes."""
-    ends = [label.select(F.col("sig").alias(k), F.col("label").alias(name)) for k, name in (("u", "a"), ("v", "b"))]
-    found = components(links.join(ends[0], "u").join(ends[1], "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    found = found.select(F.col("node").alias("label"), F.col("label").alias("_new"))
-    return label.join(found, "label", "left").select("sig", "n", F.coalesce("_new", "label").alias("label"))
-
-
-def _texts(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
-    """(sig, n, text), one row a class, for the classes in `named` (sig, n, doc_id)."""
-    named = named.select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), "n")
-    near = docs.join(F.broadcast(named) if named.count() <= SMALL else named, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "_sig", "n")
+    label = _labels(docs, rows, posts, width, percent)
+    return as_table(rows.join(label, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), "sig", F.coalesce("label", "sig").alias("label")))
+
+
+def _labels(docs: DataFrame, rows: DataFrame, posts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(sig, label) of the classes that link with others: the smallest class reachable."""
+    members = as_table(grouped(posts, percent))
+    mine = members.select("sig", "gid", "least", "most")
+    columns = as_table(posts.select("token", "sig", "n", "pos").join(mine, "sig").groupBy("token", "gid").agg(F.min("n").alias("from"), F.max("n").alias("to"), F.max(F.col("n") - F.col("pos")).alias("room"), F.min("least").alias("least"), F.max("most").alias("most")))
+    star = F.min(F.struct("gid", "from", "to", "room", "least", "most"))
+    several = columns.groupBy("token").agg(star.alias("star"), F.max("gid").alias("_last")).where("star.gid <> _last").drop("_last")
+    columns = as_table(columns.join(several, "token"))
+
+    first = as_table(candidates(columns, percent))
+    crossed = _ends(first).withColumn("crossed", F.lit(True))
+    wanted = members.join(crossed, "gid", "left").where("members > 1 or crossed").select("sig", "gid", "slot", F.coalesce("crossed", F.lit(False)).alias("crossed"))
+    groups = as_table(matrix(_with_texts(docs, rows, wanted, width), width, percent))
+    inside = groups.select("sigs", F.posexplode("roots").alias("slot", "root")).where("slot <> root").select(F.col("sigs")[F.col("slot")].alias("u"), F.col("sigs")[F.col("root").cast("int")].alias("v"))
+    links = as_table(inside.unionByName(across(first, groups, percent)))
+    label = as_table(components(links))
+
+    of_group = members.select("sig", "gid").join(label.withColumnRenamed("node", "sig"), "sig", "left").groupBy("gid").agg(F.min(F.coalesce("label", "sig")).alias("a"), F.max(F.coalesce("label", "sig")).alias("b"))
+    only = of_group.select("gid", F.when(F.col("a") == F.col("b"), F.col("a")).alias("only"))
+    done = first.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"))
+    rest = as_table(candidates(columns, percent, only).join(done, ["g", "h"], "left_anti"))
+    if rest.take(1):
+        wanted = members.join(_ends(rest), "gid", "left_semi").select("sig", "gid", "slot", F.lit(True).alias("crossed"))
+        groups = as_table(matrix(_with_texts(docs, rows, wanted, width), width, percent))
+        more = as_table(across(rest, groups, percent))
+        label = as_table(components(links.unionByName(more)))
+    return label.select(F.col("node").alias("sig"), "label")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("g").alias("gid")).unionByName(pairs.select(F.col("h").alias("gid"))).distinct()
+
+
+def _with_texts(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """`classes` (sig, ...) with the text of one row of each (repeated rows may give it twice).
+
+    A class is found by the doc_id of a row that alone has that id; where it has none, by its set.
+    """
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 or doc_id is null").select(F.col("doc_id").alias("_again"))
+    some = bool(repeated.take(1))
+    if some:
+        repeated = as_table(repeated)
+        rows = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti")
+    one = rows.groupBy("sig").agg(F.min("doc_id").alias("_id"))
+    found = as_table(classes.join(one, "sig", "left"))
+    n = found.count()
+    small = F.broadcast if n <= SMALL else lambda d: d
+    texts = docs.join(small(found.where("_id is not null")), F.col("doc_id") == F.col("_id")).select(*classes.columns, "text")
+    if not some:
+        return texts
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = pa.array([set_id(t) for _, t in shingle_sets(b.column(0), width)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0)], ["sig", "n", "text"]).filter(pa.compute.equal(sig, b.column(1)))
+            known: dict[int, int] = {}
+            for i, t in shingle_sets(b.column(0), width):
+                known.setdefault(set_id(t), i)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(list(known.values()), pa.int64())), pa.array(list(known), pa.int64())], ["text", "_set"])
 
-    return near.mapInArrow(same, "sig long, n long, text string")
+    again = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").select("text").mapInArrow(sets, "text string, _set long")
+    missing = found.where("_id is null")
+    more = again.join(small(missing), F.col("_set") == F.col("sig")).select(*classes.columns, "text")
+    return texts.unionByName(more.groupBy(*classes.columns).agg(F.min("text").alias("text")))
 
 
 def keep_one(df: DataFrame, percent: int = 80) -> DataFrame:
@@ -299,30 +372,30 @@ def keep_one(df: DataFrame, percent: int = 80) -> DataFrame:
     That is the one of the smallest doc_id; null ids come last, repeated rows (of one id, and one text if it has no
     shingles) count as one. A doc_id of a single row finds its row alone; other rows are told apart by id and set.
     """
-    width, id_ = 5, F.col("doc_id").cast("long")
-    named = _labelled(df.select(id_.alias("doc_id"), "text"), width, percent)
+    width = 5
+    base = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    named = _labelled(base.select(F.col("id").alias("doc_id"), "text"), width, percent)
     first = named.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "sig")).alias("a")).select("a.doc_id", "a.sig")
     first = first.unionByName(named.where("n_shingles = 0").select("doc_id", "sig").distinct())
     rows = named.groupBy("doc_id").agg(F.count("*").alias("k")).where("doc_id is not null and k > 1")
     several = first.where("doc_id is not null").join(rows, "doc_id", "left").select("doc_id", "sig", F.isnotnull("k").alias("several"))
     kept = as_table(several.unionByName(first.where("doc_id is null").withColumn("several", F.lit(True))))
-    alone = df.join(kept.where("not several").select(F.col("doc_id").alias("_kept")), id_ == F.col("_kept"), "left_semi")
-    kept = kept.where("several").select(F.col("doc_id").alias("_kept"), F.col("sig").alias("_set"))
+    alone = base.join(kept.where("not several").select(F.col("doc_id").alias("kept")), F.col("id") == F.col("kept"), "left_semi").select("row")
+    kept = kept.where("several").select(F.col("doc_id").alias("kept"), F.col("sig").alias("set"))
     n = kept.count()
     if not n:
-        return alone
+        return alone.select("row.*")
     small = F.broadcast if n <= SMALL else lambda d: d
-    text = df.columns.index("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = pa.array([set_id(t) for _, t in shingle_sets(b.column(text), width)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, sig], [*b.schema.names, "_sig"])
+            sig = pa.array([set_id(t) for _, t in shingle_sets(b.column(2), width)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, sig], [*b.schema.names, "sig"])
 
-    near = df.join(small(kept.select("_kept").distinct()), id_.eqNullSafe(F.col("_kept")), "left_semi").mapInArrow(sets, with_columns(df.schema, "_sig long"))
-    near = near.join(small(kept), id_.eqNullSafe(F.col("_kept")) & (F.col("_sig") == F.col("_set")), "left_semi")
-    one = near.groupBy(id_.alias("_id"), "_sig", F.when(F.col("_sig") == 0, F.col("text")).alias("_text")).agg(F.min_by(F.struct(*df.columns), F.coalesce("text", F.lit(""))).alias("_row"))
-    return alone.unionByName(one.select("_row.*"))
+    near = base.join(small(kept.select("kept").distinct()), F.col("id").eqNullSafe(F.col("kept")), "left_semi").mapInArrow(sets, with_columns(base.schema, "sig long"))
+    near = near.join(small(kept), F.col("id").eqNullSafe(F.col("kept")) & (F.col("sig") == F.col("set")), "left_semi")
+    one = near.groupBy("id", "sig", F.when(F.col("sig") == 0, F.col("text")).alias("blank")).agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+    return alone.unionByName(one.select("row")).select("row.*")
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
