@@ -49,7 +49,7 @@ def test_top_k_brute_force():
     x = r.integers(-9, 9, (700, 8))
     ids = np.arange(700)
     x[100:300] = x[5]
-    for q, (got, score) in zip(range(9), topk.no_random_access(x[:9], ids[:9], x, ids, 5, 8)):
+    for q, (got, score) in zip(range(9), topk.no_random_access(x[:9], ids[:9], topk.Lists(x, ids), 5, 8)):
         s = x @ x[q]
         best = [i for i in np.lexsort((ids, -s)) if i != q][:5]
         assert list(got) == best and list(score) == list(s[best])
@@ -67,9 +67,9 @@ def test_top_k_near_ties_of_large_vectors(scale):
     best = sorted(range(3000), key=lambda i: (-exact[i], i))[:5]
     if exact[best[0]] >= 1 << 63:
         with pytest.raises(OverflowError):
-            topk.no_random_access(q, np.array([-1]), x, ids, 5)
+            topk.no_random_access(q, np.array([-1]), topk.Lists(x, ids), 5)
     else:
-        [(got, score)] = topk.no_random_access(q, np.array([-1]), x, ids, 5)
+        [(got, score)] = topk.no_random_access(q, np.array([-1]), topk.Lists(x, ids), 5)
         assert got.tolist() == best and score.tolist() == [exact[i] for i in best]
 
 
