@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenspec.tables import written
+
 
 def scale_annotations(rows: DataFrame, peak: Sequence[str] = ("spec_id", "mz"), frag: str = "frag") -> DataFrame:
-    """Annotations (peak, intensity, frag, score) of a peak scaled to sum to intensity / 100, with their place by falling score (P10)."""
+    """Annotations (peak, intensity, frag, score) of a peak scaled to sum to intensity / 100, with their place by falling score (P10). Scores
+    may be decimals, whose sum does not depend on the order of rows."""
     s = F.sum("score").over(Window.partitionBy(*peak))
     place = F.row_number().over(Window.partitionBy(*peak).orderBy(F.desc("score"), frag))
-    return rows.withColumn("place", place).withColumn("score", F.when(s > 0, F.col("score") * F.col("intensity") / 100 / s).otherwise(F.lit(0.0)))
+    return rows.withColumn("place", place).withColumn("score", F.when(s > 0, F.col("score").cast("double") * F.col("intensity") / 100 / s.cast("double")).otherwise(F.lit(0.0)))
 
 
 def merge_exact(rows: DataFrame, key: Sequence[str] = ("spec_id",), frag: str = "frag") -> DataFrame:
@@ -45,14 +48,15 @@ def gaussian_weights(peaks: DataFrame, fragments: DataFrame, tolerance: float, s
 
 
 def depths(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
-    """(mol, node, depth): fewest steps from the nodes of `start` (mol, node) over edges (mol, src, dst), up to `most`."""
-    steps = edges.select(F.col("mol").alias("_mol"), "src", "dst").distinct()
-    level = start.select("mol", "node").distinct()
-    reached = level.withColumn("depth", F.lit(0))
-    for k in range(1, most + 1):
-        level = level.join(steps, (F.col("mol") == F.col("_mol")) & (F.col("node") == F.col("src"))).select("mol", F.col("dst").alias("node")).distinct()
-        reached = reached.unionByName(level.withColumn("depth", F.lit(k)))
-    return reached.groupBy("mol", "node").agg(F.min("depth").alias("depth"))
+    """(mol, node, depth): fewest steps from the nodes of `start` (mol, node) over edges (mol, src, dst), up to `most`.
+    A node also steps to itself, at no cost, so a round is one join and one minimum."""
+    loops = edges.select("mol", F.col("src").alias("node")).unionByName(edges.select("mol", F.col("dst").alias("node"))).unionByName(start.select("mol", "node")).distinct()
+    steps = edges.select("mol", F.col("src").alias("node"), F.col("dst").alias("_to")).distinct().withColumn("_cost", F.lit(1))
+    steps = steps.unionByName(loops.select("mol", "node", F.col("node").alias("_to"), F.lit(0).alias("_cost")))
+    reached = start.select("mol", "node").distinct().withColumn("depth", F.lit(0))
+    for _ in range(most):
+        reached = reached.join(steps, ["mol", "node"]).groupBy("mol", F.col("_to").alias("node")).agg(F.min(F.col("depth") + F.col("_cost")).alias("depth"))
+    return reached
 
 
 def without_detours(edges: DataFrame, depth: DataFrame) -> DataFrame:
@@ -61,13 +65,19 @@ def without_detours(edges: DataFrame, depth: DataFrame) -> DataFrame:
     return edges.join(at("src"), ["mol", "src"]).join(at("dst"), ["mol", "dst"]).where("_src < _dst").drop("_src", "_dst")
 
 
-def evidence(edges: DataFrame, belief: DataFrame, least: float, keep: DataFrame, rounds: int) -> DataFrame:
+def evidence(edges: DataFrame, belief: DataFrame, least: float, keep: DataFrame, rounds: int = 1000) -> DataFrame:
     """Edges between nodes of at least this belief (mol, node, belief), less dead ends: nodes without edges out that are
-    not in `keep` (mol, node), taken away `rounds` times (I11)."""
-    sure = belief.where(F.col("belief") >= least).select("mol", "node")
-    is_ = lambda end, nodes: edges.join(nodes.withColumnRenamed("node", end), ["mol", end], "left_semi")
-    edges = is_("src", sure)
-    edges = is_("dst", sure)
+    not in `keep` (mol, node), taken away again and again until none is left (I11). Each round is written."""
+    sure = written(belief.where(F.col("belief") >= least).select("mol", "node"))
+    keep = written(keep.select("mol", "node").distinct())
+    now = edges.join(sure.withColumnRenamed("node", "src"), ["mol", "src"], "left_semi").join(sure.withColumnRenamed("node", "dst"), ["mol", "dst"], "left_semi")
+    now = written(now.select(*edges.columns))
+    n = now.count()
     for _ in range(rounds):
-        edges = is_("dst", edges.select("mol", F.col("src").alias("node")).unionByName(keep.select("mol", "node")).distinct())
-    return edges
+        alive = now.select("mol", F.col("src").alias("dst")).unionByName(keep.withColumnRenamed("node", "dst")).distinct()
+        now = written(now.join(alive, ["mol", "dst"], "left_semi").select(*edges.columns))
+        left = now.count()
+        if left == n:
+            break
+        n = left
+    return now

@@ -61,18 +61,26 @@ def split_by_hash(keys: DataFrame, key: str, test_share: float, seed: str = "42"
 
 
 def transition_log_probs(edges: DataFrame) -> DataFrame:
-    """(mol, src, dst, theta) -> log_p = theta - log(1 + sum of exp(theta)) over a source's edges."""
-    return edges.withColumn("log_p", F.col("theta") - F.log1p(F.sum(F.exp("theta")).over(Window.partitionBy("mol", "src"))))
+    """(mol, src, dst, theta) -> log_p = theta - log(1 + sum of exp(theta)) over a source's edges, without overflow."""
+    own = Window.partitionBy("mol", "src")
+    top = F.greatest(F.max("theta").over(own), F.lit(0.0))
+    rows = edges.withColumn("_top", top)
+    whole = F.exp(-F.col("_top")) + F.sum(F.exp(F.col("theta") - F.col("_top"))).over(own)
+    return rows.withColumn("log_p", F.col("theta") - F.col("_top") - F.log(whole)).drop("_top")
 
 
 def forward_pass(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(mol, node, p) after `depth` steps over (mol, src, dst, log_p); what stays at a source is 1 - the sum of its edges."""
-    stay = edges.groupBy(F.col("mol").alias("_mol"), F.col("src").alias("_node")).agg((1 - F.sum(F.exp("log_p"))).alias("stay"))
-    steps = edges.select(F.col("mol").alias("_mol"), F.col("src").alias("_node"), "dst", F.exp("log_p").alias("_p"))
-    at = (F.col("mol") == F.col("_mol")) & (F.col("node") == F.col("_node"))
-    now = start
+    """(mol, node, p) after `depth` steps over (mol, src, dst, log_p); what stays at a source is 1 - the sum of its edges.
+
+    Staying is a step like the others, from a node to itself, so each step is one join and one sum.
+    """
+    moves = edges.select("mol", "src", "dst", F.exp("log_p").alias("_p"))
+    stay = moves.groupBy("mol", "src").agg((1 - F.sum("_p")).alias("_p"))
+    ends = edges.select("mol", F.col("dst").alias("src")).unionByName(start.select("mol", F.col("node").alias("src"))).distinct()
+    sinks = ends.join(stay, ["mol", "src"], "left_anti").withColumn("_p", F.lit(1.0))
+    loops = stay.unionByName(sinks).select("mol", "src", F.col("src").alias("dst"), "_p")
+    steps = moves.unionByName(loops).withColumnRenamed("src", "node")
+    now = start.select("mol", "node", "p")
     for _ in range(depth):
-        moved = now.join(steps, at).select("mol", F.col("dst").alias("node"), (F.col("p") * F.col("_p")).alias("p"))
-        kept = now.join(stay, at, "left").select("mol", "node", (F.col("p") * F.coalesce("stay", F.lit(1.0))).alias("p"))
-        now = moved.unionByName(kept).groupBy("mol", "node").agg(F.sum("p").alias("p"))
+        now = now.join(steps, ["mol", "node"]).groupBy("mol", F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("_p")).alias("p"))
     return now

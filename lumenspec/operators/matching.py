@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -89,22 +89,79 @@ def as_arrays(peaks: DataFrame, name: str, key: str = "spec_id") -> DataFrame:
     return peaks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("mz").cast("double").alias("mz"), F.col("intensity").cast("double").alias("intensity")))).alias(name))
 
 
-def match_bins(analytes: DataFrame, library: DataFrame, k: int | None = 100) -> DataFrame:
+def match_bins(analytes: DataFrame, library: DataFrame, k: int | None = 100, pairs: DataFrame | None = None) -> DataFrame:
     """(analyte, rank, lib, score): squared cosine of sqrt(I m) over equal bins, the k best of each analyte.
 
-    A pair meets once a shared bin; a frequent bin's postings are dealt by Spark's skew handling. Ties go to the smaller lib.
-    A spectrum without weight (no peak above m/z 0, or no intensity) scores 0.
+    With `pairs` (analyte, lib), such as those of a mass window, only they meet. Else a pair meets once a shared bin; a
+    frequent bin's postings are dealt by Spark's skew handling. Ties go to the smaller lib. Pairs without a shared bin
+    have no row; a spectrum without weight (no peak above m/z 0, or no intensity) scores 0.
     """
     weight = F.col("intensity") * F.col("mz")
-    norms = lambda d, name: d.groupBy(F.col("spec_id").alias(name)).agg(F.sum(weight).alias(f"_{name}_norm"))
-    a = analytes.select(F.col("spec_id").alias("analyte"), "mz", F.sqrt(weight).alias("_a"))
-    b = library.select(F.col("spec_id").alias("lib"), "mz", F.sqrt(weight).alias("_b"))
-    dots = a.join(b, "mz").groupBy("analyte", "lib").agg(F.sum(F.col("_a") * F.col("_b")).alias("_dot"))
-    score = F.round(share(F.col("_dot") * F.col("_dot"), F.col("_analyte_norm") * F.col("_lib_norm")), 6)
-    scored = dots.join(norms(analytes, "analyte"), "analyte").join(norms(library, "lib"), "lib").select("analyte", "lib", score.alias("score"))
+    side = lambda d, name: d.select(F.col("spec_id").alias(name), "mz", F.sqrt(weight).alias(f"_{name}"), F.sum(weight).over(Window.partitionBy("spec_id")).alias(f"_{name}_norm"))
+    a, b = side(analytes, "analyte"), side(library, "lib")
+    met = a.join(b, "mz") if pairs is None else pairs.select("analyte", "lib").join(a, "analyte").join(b, ["lib", "mz"])
+    norms = [F.max(f"_{name}_norm").alias(f"_{name}_norm") for name in ("analyte", "lib")]
+    dots = met.groupBy("analyte", "lib").agg(F.sum(F.col("_analyte") * F.col("_lib")).alias("_dot"), *norms)
+    scored = dots.select("analyte", "lib", F.round(share(F.col("_dot") * F.col("_dot"), F.col("_analyte_norm") * F.col("_lib_norm")), 6).alias("score"))
     return top_k(scored, k) if k else scored
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of a with each of b; 0 where one is zero."""
+    whole = np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1)[None, :])
+    return np.divide(a @ b.T, whole, out=np.zeros_like(whole), where=whole != 0)
+
+
+def bit_jaccards(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of 0/1 rows; NaN if both are empty (A10)."""
+    both = a @ b.T
+    either = a.sum(1)[:, None] + b.sum(1)[None, :] - both
+    return np.divide(both, either, out=np.full_like(both, np.nan), where=either != 0)
+
+
+def bit_dices(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """2 |a & b| / (|a| + |b|) of 0/1 rows; NaN if both are empty."""
+    whole = a.sum(1)[:, None] + b.sum(1)[None, :]
+    return np.divide(2 * (a @ b.T), whole, out=np.full_like(whole, np.nan), where=whole != 0)
+
+
+def bit_matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of places that agree, of 0/1 rows."""
+    return 1 - (a.sum(1)[:, None] + b.sum(1)[None, :] - 2 * (a @ b.T)) / float(a.shape[1])
+
+
+QUERY_BLOCK, LIBRARY_BLOCK = 256, 4096
+
+
+def block_scores(queries: DataFrame, library: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(query, lib, score, and the other columns of both sides) for queries (query, vec, ...) and a library (lib, vec, ...).
+
+    Both sides lie in blocks by a hash of their id; a task scores one block of queries against one of the library by a
+    product of matrices, in Arrow batches. A row does not meet its own id, only vectors of one length meet, and NaN is null.
+    """
+    n, q = library.count(), queries.count()
+    rounds, blocks = max(1, -(-q // QUERY_BLOCK)), max(1, -(-n // LIBRARY_BLOCK))
+    others = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = lambda d, own, parts, mine, k, theirs: d.select(F.size("vec").alias("_dims"), F.pmod(F.xxhash64(own), F.lit(parts)).cast("int").alias(mine), others(k).alias(theirs), *[F.col(c).alias(c) for c in d.columns])  # noqa: E731  (new aliases: both sides may come from one table)
+    left, right = dealt(queries, "query", rounds, "_q", blocks, "_b"), dealt(library, "lib", blocks, "_b", rounds, "_q")
+    left_more, right_more = ([c for c in d.columns if c not in (own, "vec")] for d, own in ((queries, "query"), (library, "lib")))
+    names = ["query", "lib", "score", *left_more, *right_more]
+    schema = ", ".join(["query long", "lib long", "score double", *[f"`{c}` {d.schema[c].dataType.simpleString()}" for d, some in ((queries, left_more), (library, right_more)) for c in some]])
+
+    def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in names})
+        x, y = (np.stack(d["vec"].to_numpy()).astype(float) for d in (a, b))
+        out = {"query": np.repeat(a["query"].to_numpy(), len(b)), "lib": np.tile(b["lib"].to_numpy(), len(a)), "score": score(x, y).ravel()}
+        out |= {c: np.repeat(a[c].to_numpy(), len(b)) for c in left_more} | {c: np.tile(b[c].to_numpy(), len(a)) for c in right_more}
+        rows = pd.DataFrame(out)
+        return rows[rows["query"] != rows["lib"]]
+
+    keys = ["_q", "_b", "_dims"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pairs, schema)
+    return scored.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+
+
 def top_k(scored: DataFrame, k: int, by: str = "analyte", tie: str = "lib") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), tie))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lumenspec.functions import spectra as S
+from lumenspec.operators import detection as D
 from lumenspec.operators import evaluation as E
 from lumenspec.operators import matching as M
+from lumenspec.operators import relations as R
 from lumenspec.plans.registry import registry, rounded
-from lumenspec.plans.views import peaks, spec_meta, table, vectors, with_views
+from lumenspec.plans.views import bit_vectors, peaks, spec_meta, table, vectors, with_views
+from lumenspec.tables import shared_path, written
 
 QUERIES, ORACLES, query = registry()
 
@@ -119,9 +119,43 @@ def mass_window_join(spark, sf_dir):
 SELECT analyte, lib, score, row_number() OVER (PARTITION BY analyte ORDER BY score DESC, lib)::INT AS rank FROM m WHERE near QUALIFY rank <= 100""")
 def match_topk_mass_window(spark, sf_dir):
     bins, meta = S.bin_integer(peaks(spark, sf_dir)), spec_meta(spark, sf_dir)
-    scored = M.match_bins(bins.where("spec_id % 50 = 0"), bins.where("spec_id % 50 <> 0"), None)
-    near = scored.join(meta.select(F.col("spec_id").alias("analyte"), F.col("mass").alias("_x")), "analyte").join(meta.select(F.col("spec_id").alias("lib"), F.col("mass").alias("_y")), "lib")
-    return M.top_k(near.where(F.abs(F.col("_x") - F.col("_y")) <= 5).drop("_x", "_y"), 100)
+    a, b = meta.where("spec_id % 50 = 0").select(F.col("spec_id").alias("analyte"), F.col("mass").alias("_x")), meta.where("spec_id % 50 <> 0").select(F.col("spec_id").alias("lib"), F.col("mass").alias("_y"))
+    return M.match_bins(bins.where("spec_id % 50 = 0"), bins.where("spec_id % 50 <> 0"), 100, M.band_join(a, b, "_x", "_y", 5.0))
+
+
+_SMSF = with_views("peaks", "merged", "bins", "meta", "vecs") + """,
+n AS (SELECT spec_id, sum(intensity * mz) AS norm, list(mz ORDER BY intensity DESC, mz)[1:10] AS top FROM bins GROUP BY spec_id),
+f AS (SELECT vec_id, any_value(bits) AS bits FROM vecs GROUP BY vec_id),
+w AS (SELECT n.*, mass, bits FROM n JOIN meta USING (spec_id) LEFT JOIN f ON spec_id = vec_id),
+c AS (SELECT a.spec_id AS analyte, b.spec_id AS lib, a.norm AS na, b.norm AS nb, len(list_intersect(a.top, b.top)) / len(list_distinct(list_concat(a.top, b.top)))::DOUBLE AS shared,
+             CASE WHEN a.bits IS NOT NULL AND b.bits IS NOT NULL THEN list_sum(list_transform(range(1, 65), lambda i: (a.bits[i] AND b.bits[i])::INT)) / nullif(list_sum(list_transform(range(1, 65), lambda i: (a.bits[i] OR b.bits[i])::INT)), 0)::DOUBLE END AS fp
+      FROM w a JOIN w b ON a.spec_id % 50 = 0 AND b.spec_id % 50 <> 0 AND abs(a.mass - b.mass) <= 1),
+d AS (SELECT analyte, lib, sum(sqrt(x.intensity * x.mz) * sqrt(y.intensity * y.mz)) AS dot FROM c JOIN bins x ON x.spec_id = analyte JOIN bins y ON y.spec_id = lib AND y.mz = x.mz GROUP BY ALL),
+a AS (SELECT analyte, lib, shared, fp, CASE WHEN na * nb = 0 THEN 0 ELSE coalesce(dot * dot / (na * nb), 0) END AS cosine FROM c LEFT JOIN d USING (analyte, lib)),"""
+
+
+@query(_SMSF + " s AS (SELECT analyte, lib, round(CASE WHEN fp IS NULL THEN sqrt(cosine * shared) ELSE 0.7::DOUBLE * sqrt(cosine * shared) + 0.3::DOUBLE * fp END, 6) AS score FROM a) SELECT analyte, lib, score, row_number() OVER (PARTITION BY analyte ORDER BY score DESC, lib)::INT AS rank FROM s QUALIFY rank <= 100")
+def smsf_topk_window(spark, sf_dir):
+    return _smsf(spark, sf_dir, 10)
+
+
+@query(_SMSF + " s AS (SELECT analyte, lib, round(CASE WHEN fp IS NULL THEN cosine ELSE 0.7::DOUBLE * cosine + 0.3::DOUBLE * fp END, 6) AS score FROM a) SELECT analyte, lib, score, row_number() OVER (PARTITION BY analyte ORDER BY score DESC, lib)::INT AS rank FROM s QUALIFY rank <= 100")
+def cosine_fp_topk_window(spark, sf_dir):
+    return _smsf(spark, sf_dir, 0)
+
+
+def _smsf(spark, sf_dir, top_n):
+    bins = S.bin_integer(peaks(spark, sf_dir))
+    bits = vectors(spark, sf_dir).select(F.col("vec_id").alias("spec_id"), S.set_bits(F.col("bits")).alias("set")).dropDuplicates(["spec_id"])
+    return D.search(bins.where("spec_id % 50 = 0"), bins.where("spec_id % 50 <> 0"), spec_meta(spark, sf_dir), bits, 1.0, top_n)
+
+
+@query(with_views("peaks", "merged") + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY intensity DESC, mz) AS n, sum(floor(intensity)) OVER (PARTITION BY spec_id) AS total FROM merged)
+SELECT spec_id, mz, intensity FROM r WHERE n <= 2 OR intensity > 0.3::DOUBLE * total""")
+def filtered_peaks(spark, sf_dir):
+    merged = peaks(spark, sf_dir).groupBy("spec_id", F.round("mz").cast("int").alias("mz")).agg(F.sum("intensity").alias("intensity"))
+    return D.filter_peaks(merged, 0.3, 2)
 
 
 _BITS = with_views("vecs") + """,
@@ -131,9 +165,8 @@ p AS (SELECT a.vec_id AS query, b.vec_id AS lib, a.label AS query_key, b.label A
 
 @query(_BITS + " SELECT query, lib, round(i / nullif(u, 0)::DOUBLE, 6) AS score FROM p")
 def fp_jaccard(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("vec_id", S.set_bits(F.col("bits")).alias("b"))
-    a, b = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("b").alias("_a")), v.select(F.col("vec_id").alias("lib"), "b")
-    return a.join(b, F.col("query") != F.col("lib")).select("query", "lib", F.round(M.bit_jaccard(F.col("_a"), F.col("b")), 6).alias("score"))
+    a, b = bit_vectors(spark, sf_dir)
+    return rounded(M.block_scores(a, b, M.bit_jaccards), "score")
 
 
 _DENSE = with_views("vecs") + """,
@@ -145,10 +178,9 @@ k AS (SELECT query, min(place) AS best, max(place) AS worst, round(avg(place), 6
 
 def _dense_scored(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    a = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("query_key"), F.col("vec").alias("_a"))
-    b = v.select(F.col("vec_id").alias("lib"), F.col("label").alias("lib_key"), F.col("vec").alias("_b"))
-    score = M.inner(F.col("_a"), F.col("_b")) / F.sqrt(M.inner(F.col("_a"), F.col("_a")) * M.inner(F.col("_b"), F.col("_b")))
-    return a.join(b, F.col("query") != F.col("lib")).select("query", "query_key", "lib", "lib_key", F.round(score, 6).alias("score"))
+    a = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("query_key"), "vec")
+    b = v.select(F.col("vec_id").alias("lib"), F.col("label").alias("lib_key"), "vec")
+    return written(rounded(M.block_scores(a, b, M.cosines), "score"))
 
 
 @query(_DENSE + " SELECT * FROM k")
@@ -170,8 +202,7 @@ def answer_rank(spark, sf_dir):
 
 @query(with_views("vecs") + ", b AS (SELECT i - 1 AS bit, avg(bits[i]::INT) AS share FROM vecs, range(1, 65) r(i) GROUP BY i) SELECT bit, round(share, 6) AS share FROM b WHERE share BETWEEN 0.1 AND 0.9")
 def bit_balance(spark, sf_dir):
-    v = vectors(spark, sf_dir).select(F.posexplode(F.split("bits", "")).alias("bit", "b"))
-    return v.groupBy(F.col("bit").cast("long").alias("bit")).agg(F.avg(F.col("b").cast("int")).alias("share")).where("share between 0.1 and 0.9").withColumn("share", F.round("share", 6))
+    return rounded(R.balanced_bits(vectors(spark, sf_dir)), "share")
 
 
 _GUESS = with_views("vecs") + ", g AS (SELECT i - 1 AS bit, bits[i]::INT AS truth, (vec[i] > 0.1)::INT AS guess FROM vecs, range(1, 65) r(i))"
@@ -200,7 +231,7 @@ def score_stats(spark, sf_dir):
 
 @query("SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
 def dup_keys(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    return R.duplicate_keys(table(spark, sf_dir, "orders"), "o_custkey")
 
 
 @query("SELECT c_custkey AS key, CASE WHEN ('0x' || substr(md5('42:' || c_custkey::VARCHAR), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE < 0.2 THEN 'test' ELSE 'train' END AS part FROM customer")
@@ -210,23 +241,21 @@ def train_test_split(spark, sf_dir):
 
 @query("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey % 97 = 0)")
 def holdout_antijoin(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).join(table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0"), F.col("key") == F.col("o_custkey"), "left_anti")
+    return R.exclude(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), "key", table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0"), "o_custkey")
 
 
 @query(with_views("meta", "vecs") + ", f AS (SELECT vec_id, any_value(array_to_string(list_transform(bits, lambda x: x::INT), '')) AS fp FROM vecs GROUP BY vec_id) SELECT spec_id, cls, fp FROM meta LEFT JOIN f ON spec_id = vec_id")
 def left_merge_fp(spark, sf_dir):
-    fp = vectors(spark, sf_dir).select("vec_id", F.col("bits").alias("fp")).dropDuplicates(["vec_id"])
-    return spec_meta(spark, sf_dir).join(fp, F.col("spec_id") == F.col("vec_id"), "left").select("spec_id", "cls", "fp")
+    fp = vectors(spark, sf_dir).select("vec_id", F.col("bits").alias("fp"))
+    return R.merge_first(spec_meta(spark, sf_dir), fp, "spec_id", "vec_id").select("spec_id", "cls", "fp")
 
 
 @query(with_views("peaks") + """, f AS (SELECT spec_id, mz + 0.25 AS mass FROM peaks WHERE intensity > 40)
 SELECT spec_id, mz, intensity, count(*) AS fragments FROM peaks JOIN f USING (spec_id) WHERE abs(mz - mass) <= 3 GROUP BY ALL""")
 def peak_fragment_band(spark, sf_dir):
     p = peaks(spark, sf_dir)
-    cells = F.explode(F.array(*[F.floor(F.col("mass") / 3) + k for k in (-1, 0, 1)]))
-    f = p.where("intensity > 40").select(F.col("spec_id").alias("_spec"), (F.col("mz") + 0.25).alias("mass")).withColumn("_cell", cells)
-    near = p.join(f, (F.col("spec_id") == F.col("_spec")) & (F.floor(F.col("mz") / 3) == F.col("_cell")) & (F.abs(F.col("mz") - F.col("mass")) <= 3))
-    return near.groupBy("spec_id", "mz", "intensity").agg(F.count("*").alias("fragments"))
+    f = p.where("intensity > 40").select("spec_id", F.col("mz").alias("frag"), (F.col("mz") + 0.25).alias("mass"))
+    return R.fragments_near(p, f, 3.0).drop("frags")
 
 
 _EDGES = "WITH e AS (SELECT l_suppkey AS mol, l_partkey % 20 AS src, l_partkey % 20 + 1 + l_linenumber % 3 AS dst, avg(l_discount::DOUBLE) AS theta FROM lineitem GROUP BY ALL), t AS (SELECT mol, src, dst, theta - ln(1 + sum(exp(theta)) OVER (PARTITION BY mol, src)) AS log_p FROM e)"
@@ -261,15 +290,80 @@ def peak_alignment(spark, sf_dir):
     return rounded(M.score_aligned(a.join(b, F.col("spec_id") + 1 == F.col("other")), 1.1, 0), "dot", "combined")
 
 
-@query()
+@query("SELECT l_orderkey AS spec_id, count(*)::INT AS num_peaks, count(*)::INT AS n FROM lineitem GROUP BY 1")
 def msp_roundtrip(spark, sf_dir):
-    """Spectra written as MSP text and read back (rows only)."""
+    """Spectra written as MSP text and read back."""
     from lumenspec.sources import libraries as L
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumenspec-")
-    path = f"{base}/msp-{uuid.uuid4().hex}"
+    path = shared_path(spark, "msp")
     p = M.as_arrays(peaks(spark, sf_dir), "peaks")
     none = F.lit(None).cast("string")
     L.write_msp(p.select(F.concat(F.lit("spec "), "spec_id").alias("name"), F.col("spec_id").cast("string").alias("id"), F.lit(0).alias("energy"), none.alias("mw"), none.alias("fp"), "peaks"), path)
     back = L.read_msp(spark, path)
     return back.select(F.col("id").cast("long").alias("spec_id"), "num_peaks", F.size("peaks").alias("n"))
+
+
+@query(with_views("meta", "vecs") + " SELECT spec_id, spec_id IN (SELECT vec_id FROM vecs WHERE label = 1) AS known FROM meta")
+def known_flag(spark, sf_dir):
+    return R.flag_known(spec_meta(spark, sf_dir).select("spec_id"), "spec_id", vectors(spark, sf_dir).where("label = 1"), "vec_id")
+
+
+@query(with_views("meta") + " SELECT spec_id, mass, 'predicted' AS origin, 0 AS origin_rank FROM meta WHERE spec_id % 3 = 0 UNION ALL SELECT spec_id, NULL, 'measured', 1 FROM meta WHERE spec_id % 5 = 0")
+def library_union(spark, sf_dir):
+    m = spec_meta(spark, sf_dir)
+    return R.union_with_origin(m.where("spec_id % 3 = 0").select("spec_id", "mass"), m.where("spec_id % 5 = 0").select("spec_id"))
+
+
+@query("SELECT o_custkey AS key, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS members FROM orders GROUP BY 1")
+def keyed_lists(spark, sf_dir):
+    m = R.members_by_key(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id")), "key", "id")
+    return m.withColumn("members", F.array_join("members", ","))
+
+
+@query("""WITH e AS (SELECT event_type AS energy, user_id AS id, count(*) AS n FROM events GROUP BY ALL), q AS (SELECT energy, id, n FROM e WHERE id % 2 = 0)
+SELECT e.id, e.energy, e.n AS p, q.n AS q FROM e JOIN q USING (id, energy)""")
+def paired_spectra(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("energy"), F.col("user_id").alias("id")).agg(F.count("*").alias("peaks"))
+    return R.paired(e, e.where("id % 2 = 0"))
+
+
+@query("""WITH f AS (SELECT p_partkey AS frag_id, floor(p_retailprice::DOUBLE * 10000.0::DOUBLE + 0.5)::BIGINT AS m, p_size AS structure FROM part),
+k AS (SELECT m, structure, min(frag_id) AS frag_id FROM f GROUP BY ALL), q AS (SELECT p_partkey AS id, floor((p_retailprice::DOUBLE + 0.00001) * 10000.0::DOUBLE + 0.5)::BIGINT AS m, p_size AS structure FROM part)
+SELECT q.id, k.frag_id FROM q LEFT JOIN k USING (m, structure)""")
+def fragment_lookup(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("frag_id"), F.col("p_retailprice").cast("double").alias("mass"), F.col("p_size").alias("structure"))
+    asked = parts.select(F.col("frag_id").alias("id"), (F.col("mass") + 0.00001).alias("mass"), "structure")
+    return R.by_rounded_mass(asked, parts).select("id", "frag_id")
+
+
+@query("SELECT DISTINCT p_brand AS key FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 45) ")
+def unseen_keys(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), "p_size")
+    return R.unseen(p, "key", p.where("p_size > 45")).select("key")
+
+
+@query("SELECT p_partkey AS id, p_name LIKE '%a%' AS holds FROM part WHERE p_partkey % 7 = 0")
+def property_filter(spark, sf_dir):
+    p = R.every_nth(table(spark, sf_dir, "part"), "p_partkey", 7)
+    return p.select(F.col("p_partkey").alias("id"), R.property_contains(F.col("p_name"), "a").alias("holds"))
+
+
+@query("""WITH m AS (SELECT l_extendedprice::DOUBLE / 1000 AS truth, l_quantity::DOUBLE AS guess FROM lineitem)
+SELECT round(avg(abs(truth - guess)), 6) AS mae, round(1 - sum((truth - guess) * (truth - guess)) / (var_pop(truth) * count(*)), 6) AS r2 FROM m""")
+def regression_metrics(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice").cast("double") / 1000).alias("truth"), F.col("l_quantity").cast("double").alias("guess"))
+    return R.regression_metrics(rows)
+
+
+@query(_DENSE + """, t AS (SELECT query, max(score) AS t FROM s WHERE lib = query + 1 GROUP BY query)
+SELECT query, round(0.5::DOUBLE * (1 + (sum((score > t)::INT) - sum((score < t)::INT)) / (count(*) - 1)::DOUBLE), 6) AS position FROM s JOIN t USING (query) GROUP BY query""")
+def ranking_position(spark, sf_dir):
+    return R.ranking_position(_dense_scored(spark, sf_dir).withColumn("answer", F.col("query") + 1))
+
+
+@query("""WITH n AS (SELECT l_suppkey AS mol, l_linenumber AS frag, count(*) AS n FROM lineitem GROUP BY ALL) SELECT mol, frag || ' ' || n || ' C' || n AS line FROM n""")
+def fragment_list(spark, sf_dir):
+    from lumenspec.sources import reports as P
+
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("mol"), F.col("l_linenumber").alias("frag")).agg(F.count("*").alias("n"))
+    return n.select("mol", P.fragment_line(F.col("frag"), F.col("n"), F.concat(F.lit("C"), F.col("n").cast("string"))).alias("line"))

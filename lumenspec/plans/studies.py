@@ -11,8 +11,10 @@ from lumenspec.operators import evaluation as E
 from lumenspec.operators import matching as M
 from lumenspec.operators import studies as T
 from lumenspec.plans.registry import registry, rounded
-from lumenspec.plans.views import peaks, table, vectors, with_views
+from lumenspec.plans.views import bit_vectors, peaks, table, vectors, with_views
+from lumenspec.operators import relations as K
 from lumenspec.sources import reports as R
+from lumenspec.tables import written
 
 QUERIES, ORACLES, query = registry()
 
@@ -24,10 +26,9 @@ s AS (SELECT a.vec_id AS query, b.vec_id AS lib, b.label AS lib_key, a.vec_id +
 def _pairs(spark, sf_dir):
     """The stated queries against all vectors, with the next vector as the right answer."""
     v = vectors(spark, sf_dir)
-    a = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), (F.col("vec_id") + 1).alias("answer"), F.col("vec").alias("_a"))
-    b = v.select(F.col("vec_id").alias("lib"), F.col("label").alias("lib_key"), F.col("vec").alias("_b"))
-    score = M.inner(F.col("_a"), F.col("_b")) / F.sqrt(M.inner(F.col("_a"), F.col("_a")) * M.inner(F.col("_b"), F.col("_b")))
-    return a.join(b, F.col("query") != F.col("lib")).select("query", "lib", "lib_key", "answer", (F.col("lib") % 3 != 0).alias("measured"), F.round(score, 6).alias("score"))
+    a = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), (F.col("vec_id") + 1).alias("answer"), "vec")
+    b = v.select(F.col("vec_id").alias("lib"), F.col("label").alias("lib_key"), (F.col("vec_id") % 3 != 0).alias("measured"), "vec")
+    return written(rounded(M.block_scores(a, b, M.cosines), "score"))
 
 
 @query(with_views("vecs") + """, m AS (SELECT *, (vec_id % 200)::DOUBLE AS mass FROM vecs),
@@ -37,11 +38,11 @@ p AS (SELECT a.vec_id AS query, b.vec_id AS lib, list_dot_product(a.vec, b.vec)
 s AS (SELECT query, lib, round(0.3::DOUBLE * c + 0.7::DOUBLE * j, 6) AS score FROM p), t AS (SELECT query, max(score) AS t FROM s WHERE lib = query + 1 GROUP BY query)
 SELECT query, 1 + sum((score > t)::INT)::BIGINT AS rank, count(*) AS candidates FROM s JOIN t USING (query) GROUP BY query""")
 def candidate_study(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("vec_id", (F.col("vec_id") % 200).cast("double").alias("mass"), "vec", S.set_bits(F.col("bits")).alias("set"))
-    a = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("mass").alias("_x"), F.col("vec").alias("_a"), F.col("set").alias("_sa"))
-    b = v.select(F.col("vec_id").alias("lib"), F.col("mass").alias("_y"), F.col("vec").alias("_b"), F.col("set").alias("_sb"))
+    v = vectors(spark, sf_dir).select("vec_id", (F.col("vec_id") % 200).cast("double").alias("mass"), "vec", M.inner(F.col("vec"), F.col("vec")).alias("norm"), S.set_bits(F.col("bits")).alias("set"))
+    a = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("mass").alias("_x"), F.col("vec").alias("_a"), F.col("norm").alias("_na"), F.col("set").alias("_sa"))
+    b = v.select(F.col("vec_id").alias("lib"), F.col("mass").alias("_y"), F.col("vec").alias("_b"), F.col("norm").alias("_nb"), F.col("set").alias("_sb"))
     near = M.band_join(a, b, "_x", "_y", 5.0).where((F.abs(F.col("_x") - F.col("_y")) < 5) & (F.col("query") != F.col("lib")))
-    cosine = M.inner(F.col("_a"), F.col("_b")) / F.sqrt(M.inner(F.col("_a"), F.col("_a")) * M.inner(F.col("_b"), F.col("_b")))
+    cosine = M.share(M.inner(F.col("_a"), F.col("_b")), F.sqrt(F.col("_na") * F.col("_nb")))
     score = F.round(T.mixed_score(cosine, M.bit_jaccard(F.col("_sa"), F.col("_sb"))), 6)
     return T.study_ranks(near.select("query", "lib", (F.col("query") + 1).alias("answer"), score.alias("score")))
 
@@ -78,20 +79,14 @@ _SETS = with_views("vecs") + """, p AS (SELECT a.vec_id AS query, b.vec_id AS li
   list_sum(list_transform(a.bits, lambda x: x::INT)) AS x, list_sum(list_transform(b.bits, lambda x: x::INT)) AS y FROM vecs a JOIN vecs b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)"""
 
 
-def _sets(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("vec_id", S.set_bits(F.col("bits")).alias("set"))
-    a, b = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("set").alias("_a")), v.select(F.col("vec_id").alias("lib"), F.col("set").alias("_b"))
-    return a.join(b, F.col("query") != F.col("lib"))
-
-
 @query(_SETS + " SELECT query, count(*) FILTER (WHERE 2 * i / (x + y)::DOUBLE > 0.6) AS similar FROM p GROUP BY query")
 def dice_counts(spark, sf_dir):
-    return _sets(spark, sf_dir).groupBy("query").agg(F.count_if(T.dice(F.col("_a"), F.col("_b")) > 0.6).alias("similar"))
+    return M.block_scores(*bit_vectors(spark, sf_dir), M.bit_dices).groupBy("query").agg(F.count_if(F.col("score") > 0.6).alias("similar"))
 
 
 @query(_SETS + " SELECT query, lib, round(1 - (x + y - 2 * i) / 64.0::DOUBLE, 6) AS score FROM p")
 def simple_matching(spark, sf_dir):
-    return _sets(spark, sf_dir).select("query", "lib", F.round(T.simple_matching(F.col("_a"), F.col("_b"), 64), 6).alias("score"))
+    return rounded(M.block_scores(*bit_vectors(spark, sf_dir), M.bit_matches), "score")
 
 
 @query(with_views("peaks", "merged") + """, t AS (SELECT spec_id, list(mz) AS top FROM (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY spec_id ORDER BY intensity DESC, mz) <= 3) GROUP BY spec_id)
@@ -120,11 +115,11 @@ def ranked_over_energies(spark, sf_dir):
     return T.ranked_over_energies(e, 10).withColumn("score", F.col("score").cast("double"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS spec_id, (l_partkey % 3)::INT AS mz, l_linenumber AS frag, sum(l_quantity::DOUBLE) AS intensity, max(l_tax::DOUBLE) + 0.01::DOUBLE AS score FROM lineitem GROUP BY ALL)
-SELECT spec_id, mz, frag, intensity, row_number() OVER (PARTITION BY spec_id, mz ORDER BY score DESC, frag)::INT AS place, round(score * intensity / 100 / sum(score) OVER (PARTITION BY spec_id, mz), 6) AS score FROM a""")
+@query("""WITH a AS (SELECT l_orderkey AS spec_id, (l_partkey % 3)::INT AS mz, l_linenumber AS frag, sum(l_quantity::DOUBLE) AS intensity, (max(l_tax) + 0.01)::DECIMAL(18, 2) AS score FROM lineitem GROUP BY ALL)
+SELECT spec_id, mz, frag, intensity, row_number() OVER (PARTITION BY spec_id, mz ORDER BY score DESC, frag)::INT AS place, round(score::DOUBLE * intensity / 100 / (sum(score) OVER (PARTITION BY spec_id, mz))::DOUBLE, 6) AS score FROM a""")
 def annotation_scale(spark, sf_dir):
     keys = F.col("l_orderkey").alias("spec_id"), (F.col("l_partkey") % 3).cast("int").alias("mz"), F.col("l_linenumber").alias("frag")
-    a = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.sum(F.col("l_quantity").cast("double")).alias("intensity"), (F.max(F.col("l_tax").cast("double")) + 0.01).alias("score"))
+    a = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.sum(F.col("l_quantity").cast("double")).alias("intensity"), (F.max(F.col("l_tax").cast("decimal(18,2)")) + F.lit("0.01").cast("decimal(18,2)")).cast("decimal(18,2)").alias("score"))
     return rounded(N.scale_annotations(a), "score")
 
 
@@ -200,7 +195,8 @@ def dense_losses(spark, sf_dir):
 
 @query("SELECT max(l_linenumber) AS atoms, max(l_partkey) AS number, max(l_quantity)::DOUBLE AS peak FROM lineitem")
 def global_maxima(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.max("l_linenumber").alias("atoms"), F.max("l_partkey").alias("number"), F.max("l_quantity").cast("double").alias("peak"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("double"))
+    return K.maxima(rows, atoms="l_linenumber", number="l_partkey", peak="l_quantity")
 
 
 @query("WITH p AS (SELECT l_suppkey AS key, CASE WHEN l_partkey % 40 = 0 THEN 'test' ELSE 'train' END AS part FROM lineitem) SELECT key, string_agg(DISTINCT part, ',' ORDER BY part) AS parts FROM p GROUP BY key HAVING count(DISTINCT part) > 1")
@@ -227,7 +223,7 @@ def candidate_report(spark, sf_dir):
 
 @query("SELECT l_returnflag AS reason, count(*) AS n FROM lineitem GROUP BY 1")
 def reason_counts(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("reason")).agg(F.count("*").alias("n"))
+    return K.counts_by(table(spark, sf_dir, "lineitem"), "l_returnflag")
 
 
 @query("SELECT vec_id, round(score, 6) AS score FROM (" + with_views("vecs") + """, w AS (SELECT vec_id, list_transform(vec, lambda x, i: sqrt(x) * i) AS w FROM vecs)
@@ -246,4 +242,4 @@ def evidence_edges(spark, sf_dir):
     e = E.transition_log_probs(e).drop("theta")
     start = e.select("mol", F.lit(0).cast("long").alias("node"), F.lit(1.0).alias("p")).distinct()
     belief = E.forward_pass(e, start, 3).withColumnRenamed("p", "belief")
-    return N.evidence(e.select("mol", "src", "dst"), belief, 0.01, belief.where("belief >= 0.05").select("mol", "node"), 2)
+    return N.evidence(e.select("mol", "src", "dst"), belief, 0.01, belief.where("belief >= 0.05").select("mol", "node"))

@@ -26,6 +26,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", "label", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("vec"), bits_of(F.col("embedding")).alias("bits"))
 
 
+def bit_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stated queries (query, vec) and all vectors (lib, vec), as 0/1 arrays of their signs."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x > 0).cast("double")).alias("vec"))
+    return v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query"), v.withColumnRenamed("vec_id", "lib")
+
+
 #: Common table expressions for the SQL side.
 SQL = {
     "peaks": "peaks AS (SELECT l_orderkey AS spec_id, (l_partkey % 500 + (l_suppkey % 10) / 10.0::DOUBLE)::DOUBLE AS mz, l_quantity::DOUBLE AS intensity FROM lineitem)",

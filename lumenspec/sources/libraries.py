@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PEAK = r"[-+0-9.eE]+[ \t]+[-+0-9.eE]+"
+NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+PEAK = rf"{NUMBER}[ \t]+{NUMBER}"
 
 
 def _field(name: str):
@@ -18,20 +19,21 @@ def _peaks(text):
 
 
 def read_msp(spark: SparkSession, path: str) -> DataFrame:
-    """name, id, energy, mw, fp, num_peaks, peaks of each record (S1, S2, S9, S10). Records end with a blank line; keys have
-    any case; peaks stand one or several (with ;) to a line; energy comes from "Comment: Energy<n>", else 0."""
-    rows = spark.read.option("lineSep", "\n\n").text(path).where("trim(value) <> ''")
+    """name, id, energy, mw, fp, num_peaks, peaks of each record (S1, S2, S9, S10). Records end at a line of
+    less than 3 characters; files are cut at empty lines, so one whose lines end in CR LF is read by one task; keys have any case; peaks stand one or several (with ;) to a line; energy comes from "Comment: Energy<n>", else 0."""
+    rows = spark.read.option("lineSep", "\n\n").text(path)
+    rows = rows.select(F.explode(F.split(F.regexp_replace("value", "\r", ""), r"\n.{0,2}(?:\n|$)")).alias("value")).where("trim(value) <> ''")
     body = F.regexp_extract("value", r"(?is)num peaks[ \t]*:[^\n]*\n(.*)$", 1)
     energy = F.coalesce(F.nullif(F.regexp_extract("value", r"(?m)^Comment:.*Energy(\d+)", 1), F.lit("")).cast("int"), F.lit(0))
     return rows.select(_field("name").alias("name"), F.coalesce(_field("id"), _field("name")).alias("id"), energy.alias("energy"), _field("mw").cast("double").alias("mw"), _field("fp").alias("fp"), _field("num peaks").cast("int").alias("num_peaks"), _peaks(body).alias("peaks"))
 
 
 def write_msp(library: DataFrame, path: str) -> None:
-    """Records with the keys in the order Name, ID, FP, MW, Comment, Num Peaks (K2, K4, K5)."""
+    """Records with the keys in the order Name, ID, FP, MW, Comment, Num Peaks (K2, K5), by id and energy (K4)."""
     line = lambda key, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{key}: "), F.col(c).cast("string"), F.lit("\n"))).otherwise("")
     peaks = F.array_join(F.transform("peaks", lambda p: F.concat_ws(" ", p["mz"].cast("string"), p["intensity"].cast("string"))), "\n")
     head = F.concat(line("Name", "name"), line("ID", "id"), line("FP", "fp"), line("MW", "mw"), F.concat(F.lit("Comment: Energy"), F.col("energy").cast("string"), F.lit("\n")))
-    library.select(F.concat(head, F.lit("Num Peaks: "), F.size("peaks").cast("string"), F.lit("\n"), peaks).alias("value")).write.option("lineSep", "\n\n").text(path)
+    library.orderBy("id", "energy").select(F.concat(head, F.lit("Num Peaks: "), F.size("peaks").cast("string"), F.lit("\n"), peaks).alias("value")).write.option("lineSep", "\n\n").text(path)
 
 
 def read_peak_lists(spark: SparkSession, path: str) -> DataFrame:
@@ -53,3 +55,23 @@ def read_sdf(spark: SparkSession, path: str) -> DataFrame:
 def read_pairs(spark: SparkSession, path: str, columns: str = "id string, smiles string, grp int") -> DataFrame:
     """Space-separated lists: molecules, candidates, name-value settings."""
     return spark.read.csv(path, sep=" ", schema=columns, comment="#")
+
+
+def spectra_of(library: DataFrame, id: str) -> DataFrame:
+    """The records of one id; an id that the library lacks is an error."""
+    found = library.where(F.col("id") == id)
+    if not found.take(1):
+        raise KeyError(id)
+    return found
+
+
+READERS = {".msp": read_msp, ".sdf": read_sdf}
+
+
+def read_library(spark: SparkSession, path: str) -> DataFrame:
+    """The reader that the suffix names: .msp exactly, .sdf in any case; another suffix is an error."""
+    suffix = "." + path.rstrip("/").rsplit(".", 1)[-1]
+    for known, read in READERS.items():
+        if suffix == known or known == ".sdf" and suffix.lower() == known:
+            return read(spark, path)
+    raise ValueError(f"no reader for {path}")

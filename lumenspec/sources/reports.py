@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def significant(x: Column, digits: int = 10) -> Column:
+    """A number in `digits` significant digits, without trailing zeros."""
+    text = F.format_string(f"%.{digits}g", x.cast("double"))
+    return F.when(x == 0, "0").otherwise(F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1"))
+
+
+def peak_line(p: Column) -> Column:
+    return F.concat_ws(" ", significant(p["mz"]), significant(p["intensity"]))
+
+
 def peak_lines(peaks: Column) -> Column:
-    """Lines "m/z intensity" of an array of peaks (K1)."""
-    return F.array_join(F.transform(peaks, lambda p: F.concat_ws(" ", p["mz"].cast("string"), p["intensity"].cast("string"))), "\n")
+    """Lines "m/z intensity" of an array of peaks, in 10 significant digits (K1)."""
+    return F.array_join(F.transform(peaks, peak_line), "\n")
 
 
 def annotated_lines(peaks: Column) -> Column:
     """The same with each peak's fragments and, in brackets, their scores in percent; peaks (mz, intensity, notes (frag, score)) (K1)."""
     notes = lambda p: F.concat(F.lit(" "), F.array_join(F.transform(p["notes"], lambda a: a["frag"].cast("string")), " "), F.lit(" ("), F.array_join(F.transform(p["notes"], lambda a: F.format_string("%.5g", a["score"] * 100)), " "), F.lit(")"))
-    return F.array_join(F.transform(peaks, lambda p: F.concat(F.concat_ws(" ", p["mz"].cast("string"), p["intensity"].cast("string")), F.when(F.size(p["notes"]) > 0, notes(p)).otherwise(""))), "\n")
+    return F.array_join(F.transform(peaks, lambda p: F.concat(peak_line(p), F.when(F.size(p["notes"]) > 0, notes(p)).otherwise(""))), "\n")
 
 
 def mgf_record(name: Column, energy: Column, mass: Column, peaks: Column, charge: str = "1+", kind: str = "[M]+;") -> Column:
@@ -66,3 +76,38 @@ def sdf_block(name: Column, props: Column) -> Column:
     """A molecule block with its properties, without atoms (K7)."""
     fields = F.transform(F.map_entries(props), lambda x: F.concat(F.lit(">  <"), x["key"], F.lit(">\n"), x["value"], F.lit("\n")))
     return F.concat(name, F.lit("\n\n\n  0  0  0  0  0  0  0  0  0  0999 V2000\nM  END\n"), F.array_join(fields, "\n"), F.lit("\n$$$$"))
+
+
+def peak_pair_lines(pairs: Column) -> Column:
+    """Lines "m/z intensity m/z intensity" of matched peaks (p, q), for a scatter log."""
+    return F.array_join(F.transform(pairs, lambda x: F.concat_ws(" ", peak_line(x["p"]), peak_line(x["q"]))), "\n")
+
+
+def fragment_line(frag: Column, mass: Column, structure: Column) -> Column:
+    """"id mass structure" (K16)."""
+    return F.concat_ws(" ", frag.cast("string"), significant(mass), structure)
+
+
+def transition_line(src: Column, dst: Column, loss: Column) -> Column:
+    """"from to loss" (K16)."""
+    return F.concat_ws(" ", src.cast("string"), dst.cast("string"), loss)
+
+
+def write_lines(rows: DataFrame, column: str, path: str) -> None:
+    """One text a line, appended to what the folder holds: candidate structures (K9), match logs."""
+    rows.select(F.col(column).cast("string").alias("value")).write.mode("append").text(path)
+
+
+def match_line(truth: Column, guess: Column, rank: Column) -> Column:
+    """"true predicted rank" (K19)."""
+    return F.concat_ws(" ", truth, guess, rank.cast("string"))
+
+
+def write_fingerprints(rows: DataFrame, path: str) -> None:
+    """CSV of smiles and fingerprint, with a header."""
+    rows.select("smiles", "fingerprint").write.option("header", True).csv(path)
+
+
+def read_bit_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The tab-separated result file of bit models."""
+    return spark.read.csv(path, sep="\t", schema="id int, accuracy double, precision double, recall double, f1 double")

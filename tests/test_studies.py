@@ -88,6 +88,6 @@ def test_reports(spark, tmp_path):
     assert text.startswith("a\n1.000000: 10; 0.500000: 20; 0.333333: 30; 0.250000: 40; 0.200000: 50; \n0.166667: 60; 0.142857: 70; \n")
     spectrum = spark.createDataFrame([("x", [(50.5, 40.0), (60.0, 60.0)])], "id string, peaks array<struct<mz: double, intensity: double>>")
     record = spectrum.select(R.mgf_record(F.col("id"), F.lit(1), F.lit(100.25), F.col("peaks")).alias("r")).first()["r"]
-    assert record == "BEGIN IONS\nPEPMASS=100.25\nCHARGE=1+\nTITLE=x;Energy1;[M]+;\n50.5 40.0\n60.0 60.0\nEND IONS"
+    assert record == "BEGIN IONS\nPEPMASS=100.25\nCHARGE=1+\nTITLE=x;Energy1;[M]+;\n50.5 40\n60 60\nEND IONS"
     old = spark.createDataFrame([("a", 1)], "name string, v int")
     assert sorted(r["name"] for r in R.insert_ignore(spark.createDataFrame([("a", 2), ("b", 3)], "name string, v int"), old, "name").collect()) == ["a", "b"]
