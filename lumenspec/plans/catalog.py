@@ -78,7 +78,7 @@ def clean_neighbors(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT l_orderkey AS spec_id, l_linenumber * 1000 + l_quantity::DOUBLE AS pos, (l_partkey % 500)::INT AS mz, l_quantity::DOUBLE AS intensity FROM lineitem WHERE l_partkey % 500 < 200),
+WITH b AS (SELECT l_orderkey AS spec_id, l_linenumber * 1000 + l_quantity::DOUBLE AS pos, (l_partkey % 500)::INT AS mz, l_quantity::DOUBLE AS intensity FROM lineitem),
 c AS (SELECT spec_id, mz, arg_max(intensity, pos) AS v FROM b GROUP BY ALL)
 SELECT spec_id, mz, round(v / (max(v) OVER (PARTITION BY spec_id) + 1e-6), 6) AS intensity FROM c""")
 def dense_sparse_roundtrip(spark, sf_dir):
