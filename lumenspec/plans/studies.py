@@ -116,11 +116,11 @@ def ranked_over_energies(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT l_orderkey AS spec_id, (l_partkey % 3)::INT AS mz, l_linenumber AS frag, sum(l_quantity::DOUBLE) AS intensity, (max(l_tax) + 0.01)::DECIMAL(18, 2) AS score FROM lineitem GROUP BY ALL)
-SELECT spec_id, mz, frag, intensity, row_number() OVER (PARTITION BY spec_id, mz ORDER BY score DESC, frag)::INT AS place, round(score::DOUBLE * intensity / 100 / (sum(score) OVER (PARTITION BY spec_id, mz))::DOUBLE, 6) AS score FROM a""")
+SELECT spec_id, mz, frag, intensity, row_number() OVER (PARTITION BY spec_id, mz ORDER BY score DESC, frag)::INT AS place, round(score::DOUBLE * intensity / 100 / (sum(score) OVER (PARTITION BY spec_id, mz))::DOUBLE, 9) AS score FROM a""")
 def annotation_scale(spark, sf_dir):
     keys = F.col("l_orderkey").alias("spec_id"), (F.col("l_partkey") % 3).cast("int").alias("mz"), F.col("l_linenumber").alias("frag")
     a = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.sum(F.col("l_quantity").cast("double")).alias("intensity"), (F.max(F.col("l_tax").cast("decimal(18,2)")) + F.lit("0.01").cast("decimal(18,2)")).cast("decimal(18,2)").alias("score"))
-    return rounded(N.scale_annotations(a), "score")
+    return N.scale_annotations(a).withColumn("score", F.round("score", 9))
 
 
 @query("""WITH a AS (SELECT l_suppkey AS spec_id, (l_partkey % 50)::INT AS mz, l_linenumber AS frag, l_quantity::DOUBLE AS intensity FROM lineitem)
