@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import as_table, with_columns
 from .tokens import END, encode, vocabulary
 
-RANKED = 1 << 17  # pieces of one length that a task ranks; more where a table would have over PARTS such tasks
+RANKED = 512  # pieces of one length that a task ranks; more where a table would have over PARTS such tasks
 PARTS = 1 << 16
 
 
