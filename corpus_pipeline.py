@@ -1,6 +1,9 @@
 """A corpus pipeline over `documents`: language ID, toxicity, near duplicates, mixing, packing.
 
-Each stage works on all that its predecessor kept, and is written before the next one reads it.
+Each stage works on all that its predecessor kept, and is written before the next one reads it. An empty table gives an
+empty one in every stage. Null, empty and blank texts have no language, so the first stage drops them; by themselves the
+others keep them: not toxic, near no other, never taken by the mix (no words), one closing id in packing. Repeated rows
+are rows of their own until the near-copy stage, which keeps one. Null ids, languages and sources are values like others.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from lumenspec.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: No SQL can train the two models. Tests hold keep_one against expected rows; language ID, toxicity, mixing and packing within the pipeline have no brute force.
+#: No SQL can train the two models. Tests hold each operator against brute force, and run every stage on edge rows.
 ORACLE_SQL = None
 
 
