@@ -2,7 +2,7 @@
 
 Each stage works on all that its predecessor kept, and is written before the next one reads it. An empty table gives an
 empty one in every stage. Null, empty and blank texts have no language, so the first stage drops them; by themselves the
-others keep them: not toxic, near no other, never taken by the mix (no words), one closing id in packing. Repeated rows
+others keep them: not toxic, near no other, in the mix repeated like others of their source, one closing id in packing. Repeated rows
 are rows of their own until the near-copy stage, which keeps one. Null ids, languages and sources are values like others.
 """
 
