@@ -13,7 +13,7 @@ The last three come from sums of the text's posteriors over all rows, grouped by
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -104,9 +104,14 @@ def with_likelihoods(df: DataFrame, model: np.ndarray, text: str = "text", out:
     return df.mapInArrow(score, with_columns(df.schema, f"`{out}` array<double>"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with `value` computed once a row, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _posterior(ll: Column) -> Column:
-    e = F.transform(ll, lambda x: F.exp(x - F.array_max(ll)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    e = _once(F.array_max(ll), lambda top: F.transform(ll, lambda x: F.exp(x - top)))
+    return _once(e, lambda e: _once(_total(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def _sums(rows: DataFrame, keys: Sequence[str], n: int, name: str) -> DataFrame:
@@ -119,7 +124,7 @@ def _total(a: Column) -> Column:
 
 
 def _smooth(sums: Column, towards: Column) -> Column:
-    return F.zip_with(sums, towards, lambda s, t: (s + WEIGHT * t) / (_total(sums) + WEIGHT))
+    return _once(_total(sums), lambda total: F.zip_with(sums, towards, lambda s, t: (s + WEIGHT * t) / (total + WEIGHT)))
 
 
 def priors(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -141,16 +146,18 @@ def fuse(rows: DataFrame, addresses: DataFrame, declared: DataFrame, languages:
     """The rows with language (the most probable, ties to the first; "und" where the text has no letter) and probability."""
     small = lambda d: F.broadcast(d) if d.limit(SMALL + 1).count() <= SMALL else d
     joined = rows.join(small(addresses), ["host", "domain", "suffix"], "left").join(small(declared), "declared", "left")
-    p = _posterior(F.col("_ll"))
-    rest = F.zip_with(F.col("sums"), p, lambda s, own: F.greatest(s - own, F.lit(0.0)))
-    terms = F.array("_ll", F.transform(_smooth(rest, F.col("domain_prior")), lambda x: F.log(x)), F.col("suffix_log"), F.col("declared_log"))
-    n = len(languages) + 1
-    log = F.array(*[sum((terms[j][k] for j in range(1, 4)), terms[0][k]) for k in range(n)])
-    joined = joined.withColumn("_log", log)
-    joined = joined.withColumn("_post", _posterior(F.col("_log"))).withColumn("probability", F.when(F.col("_ll").isNotNull(), F.array_max("_post")).otherwise(1.0))
+    rest = _once(_posterior(F.col("_ll")), lambda p: F.zip_with("sums", p, lambda s, own: F.greatest(s - own, F.lit(0.0))))
+    prior = _once(rest, lambda sums: _smooth(sums, F.col("domain_prior")))
+    log = F.zip_with("_ll", prior, lambda x, y: x + F.log(y))
+    for more in ("suffix_log", "declared_log"):
+        log = F.zip_with(log, more, lambda x, y: x + y)
     names = F.array(*[F.lit(x) for x in (*languages, UNKNOWN)])
-    best = F.element_at(names, F.array_position("_log", F.array_max("_log")).cast("int"))
-    return joined.withColumn("language", F.when(F.col("_ll").isNull(), UNKNOWN).otherwise(best)).drop("_log", "_post", "_ll", *[c for c in addresses.columns if c not in ("host", "domain", "suffix")], "declared_log")
+    best = lambda log: F.element_at(names, F.array_position(log, F.array_max(log)).cast("int"))
+    answer = _once(log, lambda log: F.struct(best(log).alias("language"), F.array_max(_posterior(log)).alias("probability")))
+    known = F.col("_ll").isNotNull()
+    joined = joined.withColumn("_answer", F.when(known, answer))
+    joined = joined.withColumn("language", F.when(known, F.col("_answer.language")).otherwise(UNKNOWN)).withColumn("probability", F.when(known, F.col("_answer.probability")).otherwise(1.0))
+    return joined.drop("_answer", "_ll", *[c for c in addresses.columns if c not in ("host", "domain", "suffix")], "declared_log")
 
 
 def address(url: Column) -> tuple[Column, Column, Column]:
