@@ -49,6 +49,11 @@ def keep_most_intense(peaks: DataFrame, percent: float = 80, least: int = 5, mos
     return marked.withColumn("_first", first).where(F.col("_first").isNull() | (F.col("_n") <= F.col("_first"))).drop("_n", "_stop", "_first")
 
 
+def postprocess(peaks: DataFrame, digits: int = 10, percent: float = 80, least: int = 5, most: int = 30, key: Sequence[str] = KEY) -> DataFrame:
+    """Peaks of one mass merged at `digits` digits, the most intense kept, and these normalised (P5)."""
+    return normalize(keep_most_intense(quantise(peaks, digits, key), percent, least, most, key), key=key)
+
+
 def keep_above(peaks: DataFrame, share: float = 0.1, least: int = 5, key: Sequence[str] = KEY) -> DataFrame:
     """By falling intensity, up to and including the first peak below share * highest once `least` are kept."""
     w = Window.partitionBy(*key).orderBy(F.desc("intensity"), "mz")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenspec.tables import written
+
 
 def rank_of_answers(scored: DataFrame, answers: DataFrame) -> DataFrame:
     """(query, answer) and (query, lib, score) -> rank = 1 + number of other rows with a higher score (J2, J3, W2, W4). Unknown answers drop out."""
@@ -38,6 +41,12 @@ def bit_metrics(rows: DataFrame) -> DataFrame:
     return out.select("bit", ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def predicted_bits(rows: DataFrame, key: str = "id") -> DataFrame:
+    """(key, bit, p) -> bits: the probabilities rounded to 0 or 1 (a half to 0), by ascending bit."""
+    bits = F.array_sort(F.collect_list(F.struct("bit", F.bround("p").cast("int").alias("on"))))
+    return rows.groupBy(key).agg(F.transform(bits, lambda b: b["on"]).alias("bits"))
+
+
 def mean_iou(rows: DataFrame) -> DataFrame:
     """One row: the mean of both classes' intersection over union, from one confusion matrix of all rows.
     A class that neither truth nor guess holds does not count; null without rows."""
@@ -69,18 +78,50 @@ def transition_log_probs(edges: DataFrame) -> DataFrame:
     return rows.withColumn("log_p", F.col("theta") - F.col("_top") - F.log(whole)).drop("_top")
 
 
+def linear_theta(features: DataFrame, weights: DataFrame, key: Sequence[str] = ("mol", "src", "dst")) -> DataFrame:
+    """(key, feature) of set features and (feature, weight) -> theta, the sum of the weights; a feature without a weight adds 0."""
+    return features.join(weights, "feature", "left").groupBy(*key).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("theta"))
+
+
+def _steps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(mol, src, dst, _p): the edges, and from every node of them and of `nodes` (mol, node) a step to itself with what its edges leave."""
+    moves = edges.select("mol", "src", "dst", F.exp("log_p").alias("_p"))
+    stay = moves.groupBy("mol", "src").agg((1 - F.sum("_p")).alias("_p"))
+    ends = edges.select("mol", F.col("dst").alias("src")).unionByName(nodes.select("mol", F.col("node").alias("src"))).distinct()
+    sinks = ends.join(stay, ["mol", "src"], "left_anti").withColumn("_p", F.lit(1.0))
+    return moves.unionByName(stay.unionByName(sinks).select("mol", "src", F.col("src").alias("dst"), "_p"))
+
+
 def forward_pass(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(mol, node, p) after `depth` steps over (mol, src, dst, log_p); what stays at a source is 1 - the sum of its edges.
 
     Staying is a step like the others, from a node to itself, so each step is one join and one sum.
     """
-    moves = edges.select("mol", "src", "dst", F.exp("log_p").alias("_p"))
-    stay = moves.groupBy("mol", "src").agg((1 - F.sum("_p")).alias("_p"))
-    ends = edges.select("mol", F.col("dst").alias("src")).unionByName(start.select("mol", F.col("node").alias("src"))).distinct()
-    sinks = ends.join(stay, ["mol", "src"], "left_anti").withColumn("_p", F.lit(1.0))
-    loops = stay.unionByName(sinks).select("mol", "src", F.col("src").alias("dst"), "_p")
-    steps = moves.unionByName(loops).withColumnRenamed("src", "node")
-    now = start.select("mol", "node", "p")
+    return _pass(_steps(edges, start), start.select("mol", "node", "p"), "src", "dst", depth)[-1]
+
+
+def _pass(steps: DataFrame, now: DataFrame, from_: str, to: str, depth: int) -> list[DataFrame]:
+    """(mol, node, p) before the first and after each of `depth` steps from one end of them to the other."""
+    steps = steps.select("mol", F.col(from_).alias("node"), F.col(to).alias("_to"), "_p")
+    out = [now]
+    for _ in range(depth):
+        now = now.join(steps, ["mol", "node"]).groupBy("mol", F.col("_to").alias("node")).agg(F.sum(F.col("p") * F.col("_p")).alias("p"))
+        out.append(now)
+    return out
+
+
+def beliefs(edges: DataFrame, start: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
+    """(mol, step, node, belief): messages down from `start` (mol, node, p) times messages up from what is seen after
+    `depth` steps (mol, node, p: its likelihood, 0 for other nodes), each step's beliefs summing to 1 (I8).
+
+    Only nodes that both reach are returned. Each message is written, so a plan holds one step at a time.
+    """
+    steps = written(_steps(edges, start))
+    down, up = written(start.select("mol", "node", "p")), written(seen.select("mol", "node", "p"))
+    downs, ups = [down], [up]
     for _ in range(depth):
-        now = now.join(steps, ["mol", "node"]).groupBy("mol", F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("_p")).alias("p"))
-    return now
+        downs.append(written(_pass(steps, downs[-1], "src", "dst", 1)[-1]))
+        ups.append(written(_pass(steps, ups[-1], "dst", "src", 1)[-1]))
+    both = [d.join(u.withColumnRenamed("p", "_up"), ["mol", "node"]).select("mol", F.lit(k).alias("step"), "node", (F.col("p") * F.col("_up")).alias("_b")) for k, (d, u) in enumerate(zip(downs, reversed(ups)))]
+    rows = functools.reduce(DataFrame.unionByName, both).where("_b > 0")
+    return rows.select("mol", "step", "node", (F.col("_b") / F.sum("_b").over(Window.partitionBy("mol", "step"))).alias("belief"))

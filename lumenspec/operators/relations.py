@@ -143,3 +143,9 @@ def ranking_position(scored: DataFrame, answer: str = "answer") -> DataFrame:
     rows = scored.withColumn("_true", true).where("_true is not null")
     n = rows.groupBy("query").agg(F.sum((F.col("score") > F.col("_true")).cast("long")).alias("b"), F.sum((F.col("score") < F.col("_true")).cast("long")).alias("w"), F.count("*").alias("n"))
     return n.select("query", F.round(0.5 * (1 + F.coalesce(F.try_divide(F.col("b") - F.col("w"), F.col("n") - 1), F.lit(0.0))), 6).alias("position"))
+
+
+def uncancelled(matches: DataFrame, exceptions: DataFrame, key: str, atoms: str = "atoms") -> DataFrame:
+    """The matches (key, atoms as an array) without those whose atoms all lie inside one exception (key, atoms) of their key."""
+    e = exceptions.select(F.col(key).alias("_key"), F.col(atoms).alias("_atoms")).distinct()
+    return matches.join(e, (F.col(key) == F.col("_key")) & (F.size(F.array_except(atoms, "_atoms")) == 0), "left_anti")

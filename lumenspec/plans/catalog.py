@@ -282,6 +282,22 @@ def forward_pass_depth3(spark, sf_dir):
     return rounded(E.forward_pass(e, start, 3), "p")
 
 
+@query(_EDGES + """, k AS (SELECT mol, src, 1 - sum(exp(log_p)) AS w FROM t GROUP BY ALL),
+o AS (SELECT mol, src FROM t UNION SELECT mol, dst FROM t UNION SELECT mol, 0::BIGINT FROM t),
+g AS (SELECT mol, src, dst, exp(log_p) AS w FROM t UNION ALL SELECT o.mol, o.src, o.src, coalesce(w, 1) FROM o LEFT JOIN k ON o.mol = k.mol AND o.src = k.src),
+d0 AS (SELECT DISTINCT mol, 0::BIGINT AS node, 1.0::DOUBLE AS p FROM t), d1 AS (SELECT g.mol, dst AS node, sum(p * w) AS p FROM d0 JOIN g ON d0.mol = g.mol AND node = src GROUP BY ALL),
+d2 AS (SELECT g.mol, dst AS node, sum(p * w) AS p FROM d1 JOIN g ON d1.mol = g.mol AND node = src GROUP BY ALL),
+u2 AS (SELECT DISTINCT mol, dst AS node, 1.0::DOUBLE / (1 + dst) AS p FROM t), u1 AS (SELECT g.mol, src AS node, sum(p * w) AS p FROM u2 JOIN g ON u2.mol = g.mol AND node = dst GROUP BY ALL),
+u0 AS (SELECT g.mol, src AS node, sum(p * w) AS p FROM u1 JOIN g ON u1.mol = g.mol AND node = dst GROUP BY ALL),
+b AS (""" + " UNION ALL ".join(f"SELECT d.mol, {i} AS step, d.node, d.p * u.p AS b FROM d{i} d JOIN u{i} u ON d.mol = u.mol AND d.node = u.node" for i in (0, 1, 2)) + """)
+SELECT mol, step::INT AS step, node, round(b / sum(b) OVER (PARTITION BY mol, step), 6) AS belief FROM b WHERE b > 0""")
+def beliefs_depth2(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    start = e.select("mol", F.lit(0).cast("long").alias("node"), F.lit(1.0).alias("p")).distinct()
+    seen = e.select("mol", F.col("dst").alias("node"), (F.lit(1.0) / (1 + F.col("dst"))).alias("p")).distinct()
+    return rounded(E.beliefs(e, start, seen, 2), "belief")
+
+
 @query()
 def peak_alignment(spark, sf_dir):
     """Full one-to-one alignment with 1.1 Da, of neighbouring spectra; not SQL: tests hold it against brute force."""

@@ -243,3 +243,36 @@ def evidence_edges(spark, sf_dir):
     start = e.select("mol", F.lit(0).cast("long").alias("node"), F.lit(1.0).alias("p")).distinct()
     belief = E.forward_pass(e, start, 3).withColumnRenamed("p", "belief")
     return N.evidence(e.select("mol", "src", "dst"), belief, 0.01, belief.where("belief >= 0.05").select("mol", "node"))
+
+
+@query(with_views("peaks", "norm") + """, q AS (SELECT spec_id, floor(mz * 1e10::DOUBLE + 0.5::DOUBLE) / 1e10::DOUBLE AS mz, sum(intensity) AS intensity FROM norm GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS n, sum(intensity) OVER (w ROWS UNBOUNDED PRECEDING) AS run FROM q WINDOW w AS (PARTITION BY spec_id ORDER BY intensity DESC, mz)),
+f AS (SELECT *, min(CASE WHEN (round(run, 6) > 80 AND n > 5) OR n > 30 THEN n END) OVER (PARTITION BY spec_id) AS stop FROM r),
+k AS (SELECT spec_id, mz, intensity FROM f WHERE stop IS NULL OR n <= stop)
+SELECT spec_id, round(mz, 6) AS mz, round(intensity * 100.0::DOUBLE / sum(intensity) OVER (PARTITION BY spec_id), 6) AS intensity FROM k""")
+def postprocess_chain(spark, sf_dir):
+    return rounded(S.postprocess(peaks(spark, sf_dir), percent=80 + 5e-7), "mz", "intensity").select("spec_id", "mz", "intensity")
+
+
+@query("""SELECT l_orderkey AS mol, l_linenumber AS src, sum(((p_size * 7) % 11 - 5)::DOUBLE) AS theta FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
+def linear_theta(spark, sf_dir):
+    """Parts as the set features of each line, with weights by their size."""
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mol"), F.col("l_linenumber").alias("src"), F.col("l_partkey").alias("feature"))
+    w = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature"), ((F.col("p_size") * 7) % 11 - 5).cast("double").alias("weight"))
+    return E.linear_theta(f, w, ("mol", "src"))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: (1 / (1 + exp(-x::DOUBLE)) > 0.5)::INT), '') AS bits FROM embeddings")
+def predicted_bits(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("bit", "x"))
+    bits = E.predicted_bits(rows.select("vec_id", "bit", (1 / (1 + F.exp(-F.col("x").cast("double")))).alias("p")), "vec_id")
+    return bits.select("vec_id", F.array_join("bits", "").alias("bits"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS mol, l_linenumber AS hit, list_distinct([l_partkey % 3, l_suppkey % 3]) AS atoms FROM lineitem)
+SELECT mol, hit FROM l WHERE NOT EXISTS (SELECT 1 FROM l e WHERE e.mol = l.mol AND e.hit % 3 = 0 AND list_has_all(e.atoms, l.atoms))""")
+def matches_with_exceptions(spark, sf_dir):
+    """Two residues of each line as a match's atoms; every third line is an exception."""
+    atoms = F.array_distinct(F.array(F.col("l_partkey") % 3, F.col("l_suppkey") % 3))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mol"), F.col("l_linenumber").alias("hit"), atoms.alias("atoms"))
+    return K.uncancelled(rows, rows.where("hit % 3 = 0"), "mol").select("mol", "hit")

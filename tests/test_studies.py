@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from lumenspec.functions import dense as D
 from lumenspec.functions import molecules as C
 from lumenspec.operators import annotation as N
+from lumenspec.operators import evaluation as E
+from lumenspec.operators import relations as K
 from lumenspec.operators import studies as T
 from lumenspec.sources import reports as R
 
@@ -91,3 +93,35 @@ def test_reports(spark, tmp_path):
     assert record == "BEGIN IONS\nPEPMASS=100.25\nCHARGE=1+\nTITLE=x;Energy1;[M]+;\n50.5 40\n60 60\nEND IONS"
     old = spark.createDataFrame([("a", 1)], "name string, v int")
     assert sorted(r["name"] for r in R.insert_ignore(spark.createDataFrame([("a", 2), ("b", 3)], "name string, v int"), old, "name").collect()) == ["a", "b"]
+
+
+def test_exceptions_cancel_only_whole_matches(spark):
+    matches = spark.createDataFrame([(1, [1, 2]), (1, [2, 3]), (1, []), (2, [1]), (None, [1])], "mol long, atoms array<int>")
+    exceptions = spark.createDataFrame([(1, [1, 2, 4]), (1, [3]), (None, [1])], "mol long, atoms array<int>")
+    left = {(r["mol"], tuple(r["atoms"])) for r in K.uncancelled(matches, exceptions, "mol").collect()}
+    assert left == {(1, (2, 3)), (2, (1,)), (None, (1,))}  # no atoms lie inside any exception; null keys match none
+    assert K.uncancelled(matches, exceptions.limit(0), "mol").count() == 5
+
+
+def test_theta_and_bits_on_edge_rows(spark):
+    features = spark.createDataFrame([(1, 0, 1, 7), (1, 0, 1, 8), (1, 0, 2, 9), (1, 0, 2, None)], "mol long, src long, dst long, feature long")
+    weights = spark.createDataFrame([(7, 0.5), (8, -2.0)], "feature long, weight double")
+    assert sorted((r["dst"], r["theta"]) for r in E.linear_theta(features, weights).collect()) == [(1, -1.5), (2, 0.0)]
+    rows = spark.createDataFrame([(1, 2, 0.9), (1, 0, 0.5), (1, 1, 0.51)], "id long, bit int, p double")
+    assert [r["bits"] for r in E.predicted_bits(rows).collect()] == [[0, 1, 1]]
+
+
+def test_beliefs_against_all_paths(spark):
+    edges = [(1, 0, 1, 0.5), (1, 0, 2, 0.2), (1, 1, 3, 0.6), (1, 2, 3, 1.0)]
+    seen = {1: 0.3, 3: 0.9}
+    steps = {(a, b): p for _, a, b, p in edges}
+    steps |= {(a, a): 1 - sum(p for (x, _), p in steps.items() if x == a) for a in range(4)}
+    want: dict = {}
+    for a, b in [(a, b) for a in range(4) for b in range(4)]:
+        w = steps.get((0, a), 0) * steps.get((a, b), 0) * seen.get(b, 0)
+        for at in ((0, 0), (1, a), (2, b)):
+            want[at] = want.get(at, 0) + w
+    whole = sum(w for (k, _), w in want.items() if k == 0)
+    e = spark.createDataFrame([(m, a, b, math.log(p)) for m, a, b, p in edges], "mol long, src long, dst long, log_p double")
+    got = E.beliefs(e, spark.createDataFrame([(1, 0, 1.0)], "mol long, node long, p double"), spark.createDataFrame([(1, k, p) for k, p in seen.items()], "mol long, node long, p double"), 2)
+    assert {(r["step"], r["node"]): r["belief"] for r in got.collect()} == pytest.approx({k: w / whole for k, w in want.items() if w > 1e-12})
