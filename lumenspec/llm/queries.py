@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import ann, chat, jaccard, language, mixing, packing, sharding, tokens, topk, toxicity
+from . import ann, chat, jaccard, language, merkle, mixing, packing, sharding, tokens, topk, toxicity
 
 QUERIES: dict[str, Callable] = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable] = {
         chat.op8_chat_perspectives,
         toxicity.op9_toxicity,
         ann.op10_ann_graph,
+        merkle.op11_merkle_manifest,
     )
 }
 
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op2_top_k": topk.ORACLE,
     "op6_ngram_jaccard": jaccard.ORACLE,
     "op8_chat_perspectives": chat.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
