@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import ann, chat, jaccard, language, merkle, mixing, packing, sharding, tokens, topk, toxicity
+from . import ann, chat, divergence, jaccard, language, merkle, mixing, packing, repetition, sharding, tokens, topk, toxicity
 
 QUERIES: dict[str, Callable] = {
     f.__name__: f
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable] = {
         toxicity.op9_toxicity,
         ann.op10_ann_graph,
         merkle.op11_merkle_manifest,
+        divergence.op12_source_divergence,
+        repetition.op13_quality_repetition,
     )
 }
 
@@ -29,4 +31,6 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard": jaccard.ORACLE,
     "op8_chat_perspectives": chat.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
+    "op13_quality_repetition": repetition.ORACLE,
 }
