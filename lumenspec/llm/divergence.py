@@ -10,6 +10,7 @@ rows are sparse: pairs of sources differ from what absent terms give only where
 from __future__ import annotations
 
 import functools
+import operator
 import uuid
 import zlib
 from collections import Counter
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from .common import as_table
 
 SCALE = 1_000_000_000
-HEAD = 2 << 20  # bytes of terms in one automaton
+HEAD = 8 << 20  # bytes of terms in one automaton, which takes about ten times as much in each Python worker
 LONGEST = 64  # bytes of a term in the broadcast automaton
-FLUSH = 1 << 18  # counts that a task holds
+FLUSH = 1 << 19  # counts that a task holds
+WORDS = 1 << 21  # bytes of words for the parts of the rest that a task holds
 PAIRS = 1 << 20  # pairs that a task holds
 #: Letters are A-Z, a-z and all beyond ASCII; every other byte delimits. A-Z become lower case.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
@@ -40,19 +42,19 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     """(lang, term, docs): in how many documents (lang, text) of its language a term stands."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[str, Counter] = {}
 
-        def flush() -> pa.RecordBatch:
-            out = [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1].decode() for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())]
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, c in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array([w.decode() for w in c], pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "term", "docs"])
             seen.clear()
-            return pa.RecordBatch.from_arrays(out, ["lang", "term", "docs"])
 
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen.update((lang, w) for w in set(words_of(text)))
-                if len(seen) > FLUSH:
-                    yield flush()
-        yield flush()
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+                seen.setdefault(lang, Counter()).update(set(words_of(text.as_py())))
+                if sum(map(len, seen.values())) > FLUSH:
+                    yield from flush()
+        yield from flush()
 
     return docs.select("lang", "text").mapInArrow(part, "lang string, term string, docs long").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
@@ -66,64 +68,68 @@ def automaton(terms: list[str]) -> ahocorasick.Automaton:
     return a
 
 
-_built: dict[str, dict[str, tuple[list[str], ahocorasick.Automaton]]] = {}
+_built: dict[str, dict[str, tuple[np.ndarray, ahocorasick.Automaton, set[bytes]]]] = {}
 
 
-def _automata(key: str, shared) -> dict[str, tuple[list[str], ahocorasick.Automaton]]:
-    """By language, the terms and their automaton; a worker keeps those of its last tasks."""
+def _automata(key: str, shared) -> dict[str, tuple[np.ndarray, ahocorasick.Automaton, set[bytes]]]:
+    """By language, the numbers of the terms, their automaton and the terms; a worker keeps those of its last tasks."""
     if key not in _built:
-        if len(_built) > 1:
-            _built.clear()
-        _built[key] = {lang: (terms, automaton(terms)) for lang, terms in shared.value.items()}
+        _built.clear()
+        _built[key] = {lang: (ids, automaton(terms), {t.encode() for t in terms}) for lang, (ids, terms) in shared.value.items()}
     return _built[key]
 
 
 def recount(texts: DataFrame, kept: DataFrame, rest: int = 0) -> DataFrame:
-    """(lang, source, part, term, n): occurrences in texts (lang, source, text) of the kept terms (lang, term), which fit one automaton.
+    """(g, t, n, lang, part, words): occurrences n in texts (g, lang, text) of the kept terms (t, lang, term), which fit one automaton.
 
-    With `rest` above 0, words that are not kept come as rows too: n is null, part (0 to rest - 1) is where a word belongs
-    and term has such words, with delimiters between them, repeated as they stand.
+    With `rest` above 0, words that are not kept come as rows too: t and n are null, part (0 to rest - 1) is where a word
+    belongs, and `words` has such words with delimiters between them, repeated as they stand. For other rows these are null.
     """
-    terms: dict[str, list[str]] = {}
-    for lang, term in kept.select("lang", "term").collect():
-        terms.setdefault(lang, []).append(term)
-    shared, key = texts.sparkSession.sparkContext.broadcast(terms), uuid.uuid4().hex
+    table = kept.select("lang", "t", "term").toArrow()
+    langs, ids, terms = table["lang"].to_pylist(), table["t"].to_numpy(), table["term"].to_pylist()
+    places: dict[str, list[int]] = {}
+    for k, lang in enumerate(langs):
+        places.setdefault(lang, []).append(k)
+    shared = texts.sparkSession.sparkContext.broadcast({lang: (ids[k], [terms[i] for i in k]) for lang, k in places.items()})
+    key = uuid.uuid4().hex
+    kinds = {"g": pa.int64(), "t": pa.int64(), "n": pa.int64(), "lang": pa.string(), "part": pa.int32(), "words": pa.string()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(key, shared)
-        seen: Counter = Counter()
-        others: dict[tuple[str, str, int], list[bytes]] = {}
+        seen: dict[tuple[int, str], Counter] = {}
+        others: dict[tuple[int, str, int], list[bytes]] = {}
         held = 0
 
-        def flush() -> pa.RecordBatch:
-            rows = [(lang, source, None, automata[lang][0][k], n) for (lang, source, k), n in seen.items()] + [(*k, b" ".join(w).decode(), None) for k, w in others.items()]
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (g, lang), c in seen.items():
+                t = automata[lang][0][np.fromiter(c.keys(), np.int64, len(c))]
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(c), pa.int64()), pa.array(t), pa.array(list(c.values()), pa.int64()), *[pa.nulls(len(c), kinds[k]) for k in ("lang", "part", "words")]], list(kinds))
+            if others:
+                rows = [(g, None, None, lang, part, b" ".join(w).decode()) for (g, lang, part), w in others.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], list(kinds))
             seen.clear()
             others.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64()))], ["lang", "source", "part", "term", "n"])
 
         for b in batches:
-            for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                data = b" " + (text or "").encode().translate(FOLD) + b" "
-                own, found = automata.get(lang, ([], None))
-                hits = Counter(k for _, k in found.iter(data.decode())) if found is not None else Counter()
-                for k, n in hits.items():
-                    seen[lang, source, k] += n
+            for g, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                data = b" " + (text.as_py() or "").encode().translate(FOLD) + b" "
+                _, found, own = automata.get(lang, (None, None, ()))
+                if found is not None:
+                    seen.setdefault((g, lang), Counter()).update(map(operator.itemgetter(1), found.iter(data.decode())))
                 if rest:
-                    known = {own[k].encode() for k in hits}
-                    for w in data.split():
-                        if w not in known:
-                            others.setdefault((lang, source, zlib.crc32(w) * rest >> 32), []).append(w)
-                            held += len(w)
-                if len(seen) > FLUSH or held > HEAD:
-                    yield flush()
+                    for w in [w for w in data.split() if w not in own]:
+                        others.setdefault((g, lang, zlib.crc32(w) * rest >> 32), []).append(w)
+                        held += len(w)
+                if held > WORDS or sum(map(len, seen.values())) > FLUSH:
+                    yield from flush()
                     held = 0
-        yield flush()
+        yield from flush()
 
-    return texts.select("lang", "source", "text").mapInArrow(scan, "lang string, source string, part int, term string, n long")
+    return texts.select("g", "lang", "text").mapInArrow(scan, "g long, t long, n long, lang string, part int, words string")
 
 
 def occurrences(docs: DataFrame, kept: DataFrame, head_bytes: int = HEAD, longest: int = LONGEST) -> DataFrame:
-    """(lang, source, term, n): how often each kept term (lang, term, docs) occurs in the documents (lang, source, text); n > 0.
+    """(g, t, n): how often each kept term (t, lang, term, docs) occurs in the documents (g, lang, text); n > 0.
 
     The terms of the most documents, up to head_bytes, are broadcast; a term longer than `longest` bytes is not among
     them. Where terms are left, words that the first automaton does not hold are written by parts of the rest, each small
@@ -144,11 +150,12 @@ def occurrences(docs: DataFrame, kept: DataFrame, head_bytes: int = HEAD, longes
     found = recount(docs, kept.where(in_head), parts)
     if parts:
         first = as_table(found)
-        tail = as_table(kept.where(~in_head).select("lang", "term", F.shiftright(F.crc32(F.col("term").cast("binary")) * parts, 32).alias("part")))
-        rest = first.where("n is null").select("lang", "source", F.col("term").alias("text"), "part")
+        part = F.shiftright(F.crc32(F.col("term").cast("binary")) * parts, 32).cast("int")
+        tail = as_table(kept.where(~in_head).withColumn("part", part))
+        rest = as_table(first.where("t is null").select("g", "lang", F.col("words").alias("text"), "part"))
         own = [as_table(recount(rest.where(F.col("part") == k), tail.where(F.col("part") == k))) for k in range(parts)]
-        found = functools.reduce(DataFrame.unionByName, own, first.where("n is not null"))
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+        found = functools.reduce(DataFrame.unionByName, own, first.where("t is not null"))
+    return found.groupBy("g", "t").agg(F.sum("n").alias("n"))
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -189,19 +196,19 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(ends)
         first, size = np.repeat(ends[:-1], n), np.repeat(n, n)  # of each entry, its list
         a, done = 0, np.concatenate([[0], np.cumsum(size)])
+        names, g = np.unique(g[ends[0] : ends[-1]], return_inverse=True)
+        p, z, first, many = p[ends[0] : ends[-1]], z[ends[0] : ends[-1]], first - ends[0], len(names)
         while a < len(first):
             e = max(a + 1, int(np.searchsorted(done, done[a] + PAIRS, "right")) - 1)
-            here = np.arange(a, e)
-            x = np.repeat(here, size[here])
-            y = np.arange(len(x)) - np.repeat(done[here] - done[a], size[here]) + first[x]
-            x, y = x + ends[0], y
+            x = np.repeat(np.arange(a, e), size[a:e])
+            y = np.arange(len(x)) - np.repeat(done[a:e] - done[a], size[a:e]) + first[x]
             some = g[x] != g[y]
             x, y = x[some], y[some]
             value = gap(p[x], p[y]) - gap(p[x], z[y]) - gap(z[x], p[y]) + gap(z[x], z[y])
-            pair, where = np.unique(np.stack([g[x], g[y]]), axis=1, return_inverse=True)
-            total = np.zeros(pair.shape[1], np.int64)
-            np.add.at(total, where.ravel(), value)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(total)], ["g", "i", "value"])
+            pair, where = np.unique(g[x] * many + g[y], return_inverse=True)
+            total = np.zeros(len(pair), np.int64)
+            np.add.at(total, where, value)
+            yield pa.RecordBatch.from_arrays([pa.array(names[pair // many]), pa.array(names[pair % many]), pa.array(total)], ["g", "i", "value"])
             a = e
 
 
@@ -216,19 +223,22 @@ def divergence(df: DataFrame, least_docs: int = 3, most_terms: int = 200, head_b
     has pairs like others; V = 0 gives pairs of value 0 and no terms; repeated rows count each; an empty table gives an
     empty table; other columns are ignored.
     """
-    docs = df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    kept = as_table(document_frequencies(docs).where(F.col("docs") >= least_docs))
+    docs = df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")]).withColumn("g", F.xxhash64("lang", "source"))
+    kept = as_table(document_frequencies(docs).where(F.col("docs") >= least_docs).withColumn("t", F.monotonically_increasing_id()))
     counts = as_table(occurrences(docs, kept, head_bytes, longest))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(kept.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left")
+    groups = docs.select("lang", "source", "g").distinct().join(counts.groupBy("g").agg(F.sum("n").alias("n")), "g", "left").join(kept.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     of_lang = Window.partitionBy("lang")
-    groups = groups.select("lang", "source", zero("v").alias("v"), F.greatest(zero("n") + zero("v"), F.lit(1)).alias("total"), F.greatest(F.sum(zero("n")).over(of_lang) + zero("v"), F.lit(1)).alias("lang_total"), F.monotonically_increasing_id().alias("g"))
+    groups = groups.select("lang", "source", "g", zero("v").alias("v"), F.greatest(zero("n") + zero("v"), F.lit(1)).alias("total"), F.greatest(F.sum(zero("n")).over(of_lang) + zero("v"), F.lit(1)).alias("lang_total"))
     groups = as_table(groups.withColumn("z", _share(F.lit(0).cast("long"), F.col("total"))))
-    rows = as_table(counts.join(groups, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total"))))
+    if groups.groupBy("g").count().where("count > 1").take(1):
+        raise RuntimeError("two sources share a hash")
+    rows = as_table(counts.join(groups.select("g", "total", "lang_total", "z"), "g").select("g", "t", "n", "lang_total", "z", _share(F.col("n"), F.col("total")).alias("p")))
 
-    q = _share(F.sum("n").over(Window.partitionBy("lang", "term")), F.col("lang_total"))
-    terms = rows.withColumn("q", q).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _div((F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q")).alias("value"))
+    q = _share(F.sum("n").over(Window.partitionBy("t")), F.col("lang_total"))
+    above = rows.withColumn("q", q).where("p > q").select("g", "t", _div((F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q")).alias("value"))
+    named = groups.select("lang", "source", "g")
+    terms = above.join(kept.select("t", F.col("term").alias("item")), "t").join(named, "g").select("lang", "source", F.lit("term").alias("part"), "item", "value")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     terms = terms.withColumn("rank", rank).where(F.col("rank") <= most_terms)
 
@@ -236,10 +246,9 @@ def divergence(df: DataFrame, least_docs: int = 3, most_terms: int = 200, head_b
     profile = as_table(groups.join(alike, "g", "left").select("lang", "g", "z", "v", "own", zero("terms").alias("terms")))
     other = profile.select("lang", F.col("g").alias("i"), F.col("z").alias("y"), F.col("own").alias("other"), F.col("terms").alias("more"))
     met = profile.join(other, "lang").where("g <> i").select("g", "i", "own", "other", "z", "y", (F.col("v") - F.col("terms") - F.col("more")).alias("rest"))
-    lists = rows.groupBy("lang", "term").agg(F.collect_list(F.struct("g", "p", "z")).alias("own")).where(F.size("own") > 1).select("own")
+    lists = rows.groupBy("t").agg(F.collect_list(F.struct("g", "p", "z")).alias("own")).where(F.size("own") > 1).select("own")
     parts = met.mapInArrow(_without_common, "g long, i long, value long").unionByName(lists.mapInArrow(_common, "g long, i long, value long"))
     sums = parts.groupBy("g", "i").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("long").alias("value"))
-    named = groups.select("lang", "source", "g")
     pairs = sums.join(named, "g").join(named.select(F.col("g").alias("i"), F.col("source").alias("item")), "i")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", rank)
     return terms.unionByName(pairs)
