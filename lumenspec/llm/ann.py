@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: a robust-pruned directed graph for each shard, searched with a beam.
 
 Shards are dealt by a hash of the id and hold a bounded number of vectors, more in larger tables, as a search opens few of
-a graph's nodes; equal vectors of a shard are one node. Graphs work on vectors scaled by a power of two, so any finite
-values do; scores are those of the original vectors. A graph grows in batches: greedy searches from the medoid over the graph so far propose neighbours of each new node, and
+a graph's nodes; equal vectors of a shard are one node. Vectors of one graph have largest components within a factor of
+2^BAND and are scaled by a power of two, so any finite values do, side by side; scores are those of the original vectors. A graph grows in batches: greedy searches from the medoid over the graph so far propose neighbours of each new node, and
 robust pruning keeps an edge only if no kept neighbour is closer to its end by the factor alpha, so edges stay diverse.
 Every query searches every shard; the shards' answers meet in a ranking window. The index is a table of nodes.
 """
@@ -19,6 +19,8 @@ from .topk import finite
 
 LEAST_SHARD, MOST_SHARD, SHARDS = 4096, 1 << 18, 64  # a shard's vectors; shards that smaller tables are cut into
 QUERIES = 8192
+BAND = 8  # powers of two that the largest components of a graph's vectors span
+FAR = 2.0**40  # a graph's components are at most 1; to a query farther off than this, all its nodes are alike
 
 
 def distances(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -28,10 +30,10 @@ def distances(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def scaled(x: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
-    """The arrays as float32 over one power of two that leaves all components at most 1."""
-    top = max((float(np.abs(a).max()) for a in (x, *others) if a.size), default=0.0)
-    shift = -int(np.frexp(top)[1])
-    return [np.ldexp(a.astype(np.float64), shift).astype(np.float32) for a in (x, *others)]
+    """The arrays as float32 over one power of two that leaves all components of x at most 1, and those of the others at most FAR."""
+    shift = -int(np.frexp(float(np.abs(x).max()) if x.size else 0.0)[1])
+    with np.errstate(over="ignore"):
+        return [np.clip(np.ldexp(a.astype(np.float64), shift), -FAR, FAR).astype(np.float32) for a in (x, *others)]
 
 
 def beam_search(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +126,9 @@ def index(vectors: DataFrame, shard_size: int | None = None) -> DataFrame:
     SHARDS shards, within LEAST_SHARD and MOST_SHARD.
     """
     kind = vectors.schema["vec"].dataType.simpleString()
-    vectors = vectors.select("id", "vec", F.size("vec").alias("dims"))
+    top = F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))
+    band = F.coalesce(F.floor((F.log2(F.when(top > 0, top)) + BAND // 2) / BAND), F.lit(-9999)).cast("int")
+    vectors = vectors.select("id", "vec", F.size("vec").alias("dims"), band.alias("band"))
     n = vectors.count()
     shards = max(1, -(-n // (shard_size or min(MOST_SHARD, max(LEAST_SHARD, n // SHARDS)))))
 
@@ -133,10 +137,10 @@ def index(vectors: DataFrame, shard_size: int | None = None) -> DataFrame:
         start, edges = build(*scaled(x), batch=min(1024, max(256, len(x) // 64)))
         order = np.lexsort((rows["id"].to_numpy(), back.ravel()))
         ids = np.split(rows["id"].to_numpy()[order], np.flatnonzero(np.diff(back.ravel()[order])) + 1)
-        return pd.DataFrame({"shard": key[0] * 100_000 + key[1] % 100_000, "node": np.arange(len(x)), "start": start, "ids": ids, "vec": list(x), "edges": [e[e >= 0] for e in edges]})
+        return pd.DataFrame({"shard": key[0], "dims": key[1], "band": key[2], "node": np.arange(len(x)), "start": start, "ids": ids, "vec": list(x), "edges": [e[e >= 0] for e in edges]})
 
     dealt = vectors.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    return as_table(dealt.groupBy("s", "dims").applyInPandas(graph, f"shard long, node int, start int, ids array<long>, vec {kind}, edges array<int>"))
+    return as_table(dealt.groupBy("s", "dims", "band").applyInPandas(graph, f"shard long, dims int, band int, node int, start int, ids array<long>, vec {kind}, edges array<int>"))
 
 
 def search(nodes: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96) -> DataFrame:
@@ -148,7 +152,8 @@ def search(nodes: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96) ->
     its copies; empty tables give an empty one.
     """
     blocks = max(1, -(-queries.count() // QUERIES))
-    shards = nodes.select(F.col("shard").alias("to"), F.size("vec").alias("dims")).distinct()
+    graph = ["shard", "dims", "band"]
+    shards = nodes.select(*graph).distinct()
     left = nodes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     right = queries.select("id", "vec", F.size("vec").alias("dims"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("part")).join(shards, "dims")
 
@@ -171,7 +176,7 @@ def search(nodes: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96) ->
                     out += [(int(own[i]), c, d) for d, c in sorted(hits)[:k]]
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("to", "part")).applyInPandas(find, "query_id long, id long, score double")
+    found = left.groupBy(*graph, "block").cogroup(right.groupBy(*graph, "part")).applyInPandas(find, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
@@ -183,5 +188,6 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def op10_ann_graph(spark, sf_dir: str) -> DataFrame:
+    """Edge rows: see usable, index and search. Distances that double precision can't tell apart may fall to any of their ids."""
     rows = as_table(usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding"))
     return search(index(rows), rows.where("id % 100 = 0")).withColumnRenamed("id", "vec_id")
