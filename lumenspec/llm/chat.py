@@ -8,13 +8,20 @@ over the blocks, so a dialogue of any length is dealt to many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 64
 END_MARK = "<|end|>\n"
 
 
+def escaped(text: Column, name: bool = False) -> Column:
+    """A text in which no mark can be forged: <| becomes <\\|, and one that is already so gets a backslash more; in a name so does |>.
+    Taking one backslash out of each such place gives the text back."""
+    text = F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+    return F.regexp_replace(text, r"\|(\\*)>", r"|\\$1>") if name else text
+
+
 def perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
     """conv_id, speaker, turn, header, body, start, body_start, end, trained: the segments of all renderings.
 
@@ -22,14 +29,15 @@ def perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     (conv_id, speaker), whose turns follow each other by number, then role, then text. `trained` says whether
     [body_start, end) counts in the loss. A null text is empty; a null role is the participant "unknown"; a null turn
     comes first; rows of a null conv_id make one dialogue; repeated rows are turns of their own; a dialogue of system
-    turns only has no perspective and no rows; an empty table gives an empty table; other columns are ignored.
+    turns only has no perspective and no rows; an empty table gives an empty table; other columns are ignored. Marks in texts
+    and names are escaped, so cutting a rendering at the marks gives back exactly its turns.
     """
-    turns = df.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    turns = df.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), escaped(F.coalesce(F.col(text), F.lit(""))).alias("body"))
     turns = turns.withColumn("_block", F.floor(F.coalesce(F.col("turn"), F.lit(-(1 << 60))) / block))
     speakers = turns.where("role <> 'system'").select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()
     seen = turns.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     mine = F.col("role") == F.col("speaker")
-    header = F.when(F.col("role") == "system", F.lit("<|system|>\n")).when(mine, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), "role", F.lit("|>\n")))
+    header = F.when(F.col("role") == "system", F.lit("<|system|>\n")).when(mine, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), escaped(F.col("role"), True), F.lit("|>\n")))
     seen = seen.withColumn("header", header).withColumn("_size", F.length("header") + F.length("body") + len(END_MARK))
     blocks = seen.groupBy("conv_id", "speaker", "_block").agg(F.sum("_size").alias("_sum"))
     before = Window.partitionBy("conv_id", "speaker").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,10 +61,10 @@ def op8_chat_perspectives(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body FROM conversations),
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS body FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
 h AS (SELECT t.conv_id, speaker, turn, role, body, role = speaker AS trained,
-             CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS header
+             CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>' ELSE '<|user name=' || regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') || '|>' END || chr(10) AS header
       FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 z AS (SELECT *, length(header) + length(body) + 8 AS size FROM h),
 r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, body
