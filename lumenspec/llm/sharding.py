@@ -50,33 +50,31 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = 0.002, probes: i
     """shards - 1 keys; rows below the k-th hold (k + 1) / shards of all bytes, to within tolerance of a shard, or as near as one key allows."""
     total, n = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     total = int(total)
-    goal = [total * (k + 1) / shards for k in range(shards - 1)]
-    low, high = [(LEAST, 0, 0)] * len(goal), [(MOST, total, int(n))] * len(goal)  # key, bytes below, rows below
+    goal = np.array([total * (k + 1) / shards for k in range(shards - 1)])
+    low, high = (np.tile(np.array([[key], [size], [rows]], object), (1, len(goal))) for key, size, rows in ((LEAST, 0, 0), (MOST, total, int(n))))  # key, bytes below, rows below
     slack = tolerance * total / shards
     while True:
-        wide = [k for k, g in enumerate(goal) if min(g - low[k][1], high[k][1] - g) > slack and high[k][2] - low[k][2] > 1 and high[k][0] - low[k][0] > 1]
-        if not wide:
+        near = np.minimum(goal - low[1].astype(float), high[1].astype(float) - goal) <= slack
+        wide = np.flatnonzero(~near & (high[2] - low[2] > 1).astype(bool) & (high[0] - low[0] > 1).astype(bool))
+        if not len(wide):
             break
-        tried = sorted({x for k in wide for j in range(1, probes + 1) if low[k][0] < (x := low[k][0] + (high[k][0] - low[k][0]) * j // (probes + 1)) < high[k][0]})
-        size, rows = _counts(keyed, tried)
-        for key, s, r in zip(tried, size, rows):
-            for k in wide:
-                if low[k][0] < key < high[k][0]:
-                    if s <= goal[k]:
-                        low[k] = max(low[k], (key, s, r))
-                    else:
-                        high[k] = min(high[k], (key, s, r))
-    out: list[int] = []
-    for k, g in enumerate(goal):
-        key = low[k][0] if g - low[k][1] <= high[k][1] - g else high[k][0]
-        out.append(max([key, *out[-1:]]))
-    return out
+        ranges = {(low[0, k], high[0, k]) for k in wide}  # many goals may still share one
+        tried = sorted({x for a, b in ranges for j in range(1, probes + 1) if a < (x := a + (b - a) * j // (probes + 1)) < b})
+        below = np.array([tried, *_counts(keyed, tried)], object)
+        at = np.searchsorted(below[1].astype(float), goal[wide], "right")  # probes with at most the goal's bytes below them
+        left, right = at > 0, at < len(tried)
+        for side, some, j, better in ((low, left, at - 1, np.greater), (high, right, at, np.less)):
+            k, new = wide[some], below[:, j[some]]
+            nearer = better(new[0], side[0, k]).astype(bool)
+            side[:, k[nearer]] = new[:, nearer]
+    pick = goal - low[1].astype(float) <= high[1].astype(float) - goal
+    return np.maximum.accumulate(np.where(pick, low[0], high[0])).tolist() if len(goal) else []
 
 
 def shard(df: DataFrame, key: Column, size: Column, order: list[str], shards: int = 24, tolerance: float = 0.002, bucket_bytes: int = 32 << 20) -> DataFrame:
     """The rows of `df` with shard (0 to shards - 1) and slot (gapless from 0 in each shard, in key order).
 
-    A null key sorts as the least key and a null size counts 0; rows of one key stay together, so rows that are repeated
+    A null key sorts as the least key, a null in `order` first, and a null size counts 0; rows of one key stay together, so rows that are repeated
     whole cannot be parted and a shard may be larger by them; an empty table gives an empty table; columns of `df` named
     shard or slot give way, others keep their names. Shards are cut into buckets of about bucket_bytes (BUCKETS in all at
     most) by the same histogram, so that one exchange deals the rows to many tasks and a hot text's rows to several; a
@@ -108,6 +106,7 @@ def shard(df: DataFrame, key: Column, size: Column, order: list[str], shards: in
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
+    """Documents without an id are rows like others: of equal texts they come first. Edge rows otherwise: see shard."""
     text = F.coalesce("text", F.lit(""))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), spread_key(text, F.col("doc_id")).alias("key"))
     out = shard(as_table(docs), F.col("key"), F.col("size"), ["doc_id", "text_crc32"])
