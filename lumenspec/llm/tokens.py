@@ -230,7 +230,8 @@ def materialise(df: DataFrame, out: str, path: str, length: int = 256, rows_per_
     s // rows_per_shard, and reading can resume at any slot. Returns a written table of doc_id, start, length, slot,
     shard, ids_crc32 (of the unpadded ids as stored). A shard is written, then moved to its name, by the task that gives
     its rows, so a task that runs again writes the same bytes; at most `tasks` tasks take ranges of whole shards. The
-    manifest comes last, so that a folder with one is complete.
+    manifest comes last, and what attempts that failed have left is deleted before, so that a folder with one is
+    complete and holds nothing else. A folder that holds anything is refused: it may have another run's manifest.
 
     `df` is a scan or written table: it is read twice (to number the sequences, then to write them), and both reads must
     deal the same rows to the same partitions, which checksums of ids and texts verify. Null texts have the closing id
@@ -254,6 +255,8 @@ def materialise(df: DataFrame, out: str, path: str, length: int = 256, rows_per_
         first[p], total = total, total + seen[p][0]
     fs, root = pafs.FileSystem.from_uri(out)
     fs.create_dir(root, recursive=True)
+    if fs.get_file_info(pafs.FileSelector(root)):
+        raise FileExistsError(f"{out} is not empty")
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -301,6 +304,9 @@ def materialise(df: DataFrame, out: str, path: str, length: int = 256, rows_per_
     rows = docs.mapInArrow(sequences, "doc_id long, start long, length long, slot long, shard long, ids binary")
     dealt = rows.repartitionById(parts, F.expr(f"cast(shard * {parts} div {shards} as int)")).sortWithinPartitions("slot")
     index = as_table(dealt.mapInArrow(write, "doc_id long, start long, length long, slot long, shard long, ids_crc32 long"))
+    for file in fs.get_file_info(pafs.FileSelector(root)):
+        if file.base_name.startswith(".writing-"):
+            fs.delete_file(file.path)
     with fs.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps({"sequences": total, "shards": -(-total // rows_per_shard), "length": length, "dtype": dtype.str, "rows_per_shard": rows_per_shard, "key": key, "rounds": 4}).encode())
     return index

@@ -109,6 +109,7 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFr
 
 
 def op2_top_k(spark, sf_dir: str) -> DataFrame:
+    """A vector that takes part and has a component of 2^55 or more (2^63 times 1/256) is an error, as is a score beyond 64 bits; other edge rows: see exact_top_k."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(finite(F.col("embedding")) & F.col("vec_id").isNotNull())
     scaled = lambda x: F.when(F.abs(x) < 2.0**55, F.floor(F.lit(256.0) * x.cast("double"))).otherwise(F.raise_error(F.lit("256 times a component is no long")).cast("long"))
     rows = as_table(rows.select(F.col("vec_id").alias("id"), F.transform("embedding", scaled).alias("vec")))
