@@ -152,10 +152,10 @@ def search(nodes: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96) ->
     its copies; empty tables give an empty one.
     """
     blocks = max(1, -(-queries.count() // QUERIES))
-    graph = ["shard", "dims", "band"]
-    shards = nodes.select(*graph).distinct()
+    graph, to = ["shard", "dims", "band"], ["_shard", "_dims", "_band"]
+    shards = nodes.select(*[F.col(c).alias(t) for c, t in zip(graph, to)]).distinct()
     left = nodes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    right = queries.select("id", "vec", F.size("vec").alias("dims"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("part")).join(shards, "dims")
+    right = queries.select("id", "vec", F.size("vec").alias("_dims"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("part")).join(shards, "_dims")
 
     def find(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -176,7 +176,7 @@ def search(nodes: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96) ->
                     out += [(int(own[i]), c, d) for d, c in sorted(hits)[:k]]
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
 
-    found = left.groupBy(*graph, "block").cogroup(right.groupBy(*graph, "part")).applyInPandas(find, "query_id long, id long, score double")
+    found = left.groupBy(*graph, "block").cogroup(right.groupBy(*to, "part")).applyInPandas(find, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

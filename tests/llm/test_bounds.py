@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenspec.llm import ann, chat, language, sharding, tokens
+from tests.llm.test_brute_force import plain_likelihoods
 
 
 @pytest.mark.parametrize("kinds", [(1.0, 1e25), (1e-20, 1.0, 1e25, 1e100), (1.0, 30.0, 900.0, 27000.0)])
@@ -53,7 +54,10 @@ def test_prior_decides(spark):
     model = language.fit_on(docs)
     prose = {lang: [r[0][:3000] for r in docs.where(F.col("lang") == lang).orderBy("doc_id").limit(12).collect() for r in [(r["text"],)]] for lang in ("de", "fr")}
     rows = [(100 * k + i, f"https://www.{lang}host.org/{i}", f"<p>{t}") for k, lang in enumerate(prose) for i, t in enumerate(prose[lang])]
-    rows += [(900, "https://www.dehost.org/x", "<p>No. 3"), (901, "https://www.frhost.org/x", "<p>No. 3")]
+    at = [language.LANGUAGES.index(x) for x in ("de", "fr")]
+    words = ["a", "e", "on", "in", "la", "de", "des", "die", "en", "par", "tor", "son", "mon", "vier", "main", "port", "ton", "il", "elle", "fort"]
+    word = max(words, key=lambda w: min(plain_likelihoods(w, model)[at]) - max(plain_likelihoods(w, model)))  # as likely in both
+    rows += [(900, "https://www.dehost.org/x", f"<p>{word} 3"), (901, "https://www.frhost.org/x", f"<p>{word} 3")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["language"] for r in language.identify_pages(pages, model).collect()}
     assert (got[900], got[901]) == ("de", "fr")
