@@ -9,7 +9,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ELECTRON = 0.00054857990946  # mass in daltons, a fixed value
@@ -103,3 +103,15 @@ def isotopes(rows: DataFrame, table: Mapping[str, Sequence[tuple[float, float]]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", peaks array<struct<mz: double, intensity: double>>"
     return rows.select(*keys, atoms).mapInPandas(run, schema)
+
+
+def filled_isotopes(rows: DataFrame) -> DataFrame:
+    """(element, place, mass, area) of isotopes (element, mass, area): by rising mass, with a peak of area 0 for every whole
+    unit that is left out between two neighbours (S23). A filler's mass is that of the isotope before it plus the units
+    passed, so it stays in order; place counts from 0. Isotopes without a mass drop out; equal masses stay apart."""
+    by = Window.partitionBy("element").orderBy("mass", "area")
+    gap = F.greatest(F.floor(F.lead("mass").over(by) - F.col("mass") - 0.5), F.lit(0))
+    known = rows.where("mass is not null").withColumn("_n", F.coalesce(gap, F.lit(0)).cast("int"))
+    each = known.select("element", "mass", "area", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("_k"))
+    each = each.select("element", (F.col("mass") + F.col("_k")).alias("mass"), F.when(F.col("_k") == 0, F.col("area")).otherwise(F.lit(0.0)).alias("area"), F.col("mass").alias("_from"))
+    return each.withColumn("place", F.row_number().over(Window.partitionBy("element").orderBy("mass", "_from", "area")) - 1).select("element", "place", "mass", "area")

@@ -16,6 +16,18 @@ def normalize(peaks: DataFrame, total: float = 100.0, key: Sequence[str] = KEY)
     return peaks.withColumn("intensity", F.when(s > 0, F.col("intensity") * total / s).otherwise(F.col("intensity")))
 
 
+def by_mass(peaks: Column) -> Column:
+    """An array of peaks (mz, intensity) by rising m/z, equal ones by falling intensity."""
+    key = F.transform(peaks, lambda p: F.struct(p["mz"].alias("mz"), (-p["intensity"]).alias("_i")))
+    return F.transform(F.array_sort(key), lambda p: F.struct(p["mz"].alias("mz"), (-p["_i"]).alias("intensity")))
+
+
+def by_intensity(peaks: Column) -> Column:
+    """An array of peaks (mz, intensity) by falling intensity, equal ones by rising m/z."""
+    key = F.transform(peaks, lambda p: F.struct((-p["intensity"]).alias("_i"), p["mz"].alias("mz")))
+    return F.transform(F.array_sort(key), lambda p: F.struct(p["mz"].alias("mz"), (-p["_i"]).alias("intensity")))
+
+
 def scale_to_max(peaks: DataFrame, top: float = 100.0, key: Sequence[str] = KEY) -> DataFrame:
     """Scale each spectrum's highest intensity to `top`."""
     m = F.max("intensity").over(Window.partitionBy(*key))

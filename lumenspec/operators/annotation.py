@@ -67,7 +67,7 @@ def without_detours(edges: DataFrame, depth: DataFrame) -> DataFrame:
 
 def evidence(edges: DataFrame, belief: DataFrame, least: float, keep: DataFrame, rounds: int = 1000) -> DataFrame:
     """Edges between nodes of at least this belief (mol, node, belief), less dead ends: nodes without edges out that are
-    not in `keep` (mol, node), taken away again and again until none is left (I11). Each round is written."""
+    not in `keep` (mol, node), taken away again and again until none is left (I11). Each round is written; an error if `rounds` are not enough."""
     sure = written(belief.where(F.col("belief") >= least).select("mol", "node"))
     keep = written(keep.select("mol", "node").distinct())
     now = edges.join(sure.withColumnRenamed("node", "src"), ["mol", "src"], "left_semi").join(sure.withColumnRenamed("node", "dst"), ["mol", "dst"], "left_semi")
@@ -78,6 +78,6 @@ def evidence(edges: DataFrame, belief: DataFrame, least: float, keep: DataFrame,
         now = written(now.join(alive, ["mol", "dst"], "left_semi").select(*edges.columns))
         left = now.count()
         if left == n:
-            break
+            return now
         n = left
-    return now
+    raise RuntimeError(f"dead ends are left after {rounds} rounds")

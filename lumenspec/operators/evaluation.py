@@ -63,6 +63,26 @@ def mean_and_error(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value) / F.count(value), 6).alias("error"))
 
 
+def energy_means(scores: DataFrame, columns: Sequence[str], energies: int, key: str = "id") -> DataFrame:
+    """(key, columns): each molecule's sum over its energies divided by `energies`, so that a missing one counts 0."""
+    return scores.groupBy(key).agg(*[(F.sum(c) / energies).alias(c) for c in columns])
+
+
+def stats_report(scores: DataFrame, columns: Sequence[str], energies: int, key: str = "id", digits: int = 6) -> DataFrame:
+    """(section, place, text) of scores (key, energy, columns): a line a molecule and energy, then each energy's mean and error of every score, then those of the means over energies.
+
+    Sections are "Energy<n>" and "Totals"; place 0 are a section's molecules, in order of their key in `text`, 1 and on its scores.
+    """
+    number = lambda c: F.format_string(f"%.{digits}g", F.col(c))
+    section = F.concat(F.lit("Energy"), F.col("energy").cast("string"))
+    lines = scores.select(section.alias("section"), F.lit(0).alias("place"), F.concat_ws("\t", F.col(key).cast("string"), *[number(c) for c in columns]).alias("text"))
+    stats = lambda rows: rows.groupBy("section").agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("error", lambda c: F.stddev_pop(c) / F.count(c)))])
+    whole = energy_means(scores, columns, energies, key).select(F.lit("Totals").alias("section"), *columns)
+    both = stats(scores.select(section.alias("section"), *columns)).unionByName(stats(whole))
+    told = F.array(*[F.struct(F.lit(k).alias("place"), F.concat(F.lit(f"{c} (mean, std err): "), number(f"{c}_mean"), F.lit(" "), number(f"{c}_error")).alias("text")) for k, c in enumerate(columns, 1)])
+    return lines.unionByName(both.select("section", F.explode(told).alias("t")).select("section", "t.*"))
+
+
 def split_by_hash(keys: DataFrame, key: str, test_share: float, seed: str = "42") -> DataFrame:
     """test / train by an md5 of seed and key: independent of row order and of other keys."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)

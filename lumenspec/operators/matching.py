@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -84,6 +84,19 @@ def score_aligned(pairs: DataFrame, absolute: float, ppm: float) -> DataFrame:
     return pairs.select(*keys, *arrays).mapInPandas(score, schema)
 
 
+#: Scores by the names that reports and settings use.
+SCORE_NAMES = {"DotProduct": "dot", "OrigSteinDotProduct": "stein", "Precision": "precision", "Recall": "recall", "WeightedPrecision": "weighted_precision", "WeightedRecall": "weighted_recall", "Jaccard": "jaccard", "WeightedJaccard": "weighted_jaccard", "Combined": "combined"}
+
+
+def scores_by_name(pairs: DataFrame, names: Sequence[str], absolute: float, ppm: float) -> DataFrame:
+    """The scores of score_aligned that the names ask for (X1); an unknown name is an error before anything runs."""
+    unknown = [n for n in names if n not in SCORE_NAMES]
+    if unknown:
+        raise ValueError(f"no score is called {', '.join(unknown)}; there are {', '.join(SCORE_NAMES)}")
+    keys = [c for c in pairs.columns if c not in ("p", "q")]
+    return score_aligned(pairs, absolute, ppm).select(*keys, *[SCORE_NAMES[n] for n in names])
+
+
 def as_arrays(peaks: DataFrame, name: str, key: str = "spec_id") -> DataFrame:
     """One row a spectrum: its peaks as a sorted array."""
     return peaks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("mz").cast("double").alias("mz"), F.col("intensity").cast("double").alias("intensity")))).alias(name))

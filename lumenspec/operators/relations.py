@@ -29,9 +29,13 @@ def balanced_bits(bits: DataFrame, least: float = 0.1, most: float = 0.9) -> Dat
     return each.groupBy(F.col("bit").cast("long").alias("bit")).agg(F.avg(F.col("b").cast("int")).alias("share")).where(F.col("share").between(least, most))
 
 
-def merge_first(rows: DataFrame, table: DataFrame, key: str, other: str) -> DataFrame:
-    """`rows` with the columns of one row of `table` that has their key, null where none has."""
-    return rows.join(table.dropDuplicates([other]), F.col(key) == F.col(other), "left")
+def merge_first(rows: DataFrame, table: DataFrame, key: str, other: str, order: Sequence[str] = ()) -> DataFrame:
+    """`rows` with the columns of the first row of `table` that has their key, null where none has (J4). Rows of one key go
+    by the columns `order`, then by all columns, so the same one is taken on every run."""
+    by = [*order, *[c for c, kind in table.dtypes if c not in order and c != other and "map" not in kind]]
+    first = table.groupBy(other).agg(F.min_by(F.struct(*[c for c in table.columns if c != other]), F.struct(*by)).alias("_row")) if by else table.select(other).distinct()
+    first = first.select(other, "_row.*") if by else first
+    return rows.join(first, F.col(key) == F.col(other), "left")
 
 
 def exclude(rows: DataFrame, key: str, held_out: DataFrame, other: str) -> DataFrame:

@@ -9,6 +9,7 @@ from lumenspec.operators import detection as D
 from lumenspec.operators import evaluation as E
 from lumenspec.operators import matching as M
 from lumenspec.operators import relations as R
+from lumenspec.operators.search import search_all
 from lumenspec.plans.registry import registry, rounded
 from lumenspec.plans.views import bit_vectors, peaks, spec_meta, table, vectors, with_views
 from lumenspec.tables import shared_path, written
@@ -105,7 +106,7 @@ s AS (SELECT analyte, lib, round(dot * dot / (na.n * nb.n), 6) AS score FROM d J
 @query(with_views("peaks", "merged", "bins") + _MATCH + " SELECT analyte, lib, score, row_number() OVER (PARTITION BY analyte ORDER BY score DESC, lib)::INT AS rank FROM s QUALIFY rank <= 100")
 def match_topk(spark, sf_dir):
     bins = S.bin_integer(peaks(spark, sf_dir))
-    return M.match_bins(bins.where("spec_id % 50 = 0"), bins.where("spec_id % 50 <> 0"))
+    return search_all(bins.where("spec_id % 50 = 0"), bins.where("spec_id % 50 <> 0"), top_n=0, shared_only=True)
 
 
 @query(with_views("meta") + " SELECT a.spec_id AS analyte, l.spec_id AS lib, round(abs(a.mass - l.mass), 6) AS delta FROM meta a JOIN meta l ON a.spec_id % 50 = 0 AND l.spec_id % 50 <> 0 AND abs(a.mass - l.mass) <= 1")
@@ -306,17 +307,25 @@ def peak_alignment(spark, sf_dir):
     return rounded(M.score_aligned(a.join(b, F.col("spec_id") + 1 == F.col("other")), 1.1, 0), "dot", "combined")
 
 
-@query("SELECT l_orderkey AS spec_id, count(*)::INT AS num_peaks, count(*)::INT AS n FROM lineitem GROUP BY 1")
+@query(with_views("peaks") + """, s AS (SELECT l_orderkey AS spec_id, l_linenumber % 2 AS energy, (l_partkey % 500 + (l_suppkey % 10) / 10.0::DOUBLE)::DOUBLE AS mz, l_quantity::DOUBLE AS intensity FROM lineitem)
+SELECT spec_id, energy::INT AS energy, count(*) OVER (PARTITION BY spec_id, energy)::INT AS num_peaks, 'spec ' || spec_id AS name, CASE WHEN spec_id % 5 > 0 THEN 'line ' || spec_id END AS source, mz, intensity FROM s""")
 def msp_roundtrip(spark, sf_dir):
-    """Spectra written as MSP text and read back."""
-    from lumenspec.sources import libraries as L
+    """Spectra of two energies, every third with annotated peaks, written as MSP text and read back peak by peak."""
+    return _msp_back(spark, sf_dir)
+
+
+def _msp_back(spark, sf_dir):
+    from lumenspec.sources import msp
 
     path = shared_path(spark, "msp")
-    p = M.as_arrays(peaks(spark, sf_dir), "peaks")
+    s = peaks(spark, sf_dir, "l_linenumber").withColumn("energy", F.col("l_linenumber") % 2)
+    p = s.groupBy("spec_id", "energy").agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("peaks"))
+    notes = F.transform("peaks", lambda x: F.when(F.col("spec_id") % 3 == 0, F.concat(F.lit("C2H5 30 "), x["mz"].cast("string"))))
     none = F.lit(None).cast("string")
-    L.write_msp(p.select(F.concat(F.lit("spec "), "spec_id").alias("name"), F.col("spec_id").cast("string").alias("id"), F.lit(0).alias("energy"), none.alias("mw"), none.alias("fp"), "peaks"), path)
-    back = L.read_msp(spark, path)
-    return back.select(F.col("id").cast("long").alias("spec_id"), "num_peaks", F.size("peaks").alias("n"))
+    name = F.concat(F.lit("spec "), F.col("spec_id"), F.when(F.col("spec_id") % 5 > 0, F.concat(F.lit("\nSource: line "), F.col("spec_id"))).otherwise(""))
+    msp.write_msp(p.select(name.alias("name"), F.col("spec_id").cast("string").alias("id"), "energy", none.alias("mw"), none.alias("fp"), "peaks", notes.alias("notes")), path)
+    back = msp.read_msp(spark, path).select(F.col("id").cast("long").alias("spec_id"), "energy", "num_peaks", "name", F.col("params")["SOURCE"].alias("source"), F.explode("peaks").alias("p"))
+    return back.select("spec_id", "energy", "num_peaks", "name", "source", "p.*")
 
 
 @query(with_views("meta", "vecs") + " SELECT spec_id, spec_id IN (SELECT vec_id FROM vecs WHERE label = 1) AS known FROM meta")

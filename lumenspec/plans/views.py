@@ -12,9 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def peaks(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     mz = F.col("l_partkey") % 500 + (F.col("l_suppkey") % 10) / F.lit(10.0)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("spec_id"), mz.cast("double").alias("mz"), F.col("l_quantity").cast("double").alias("intensity"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("spec_id"), mz.cast("double").alias("mz"), F.col("l_quantity").cast("double").alias("intensity"), *more)
 
 
 def spec_meta(spark: SparkSession, sf_dir: str) -> DataFrame:

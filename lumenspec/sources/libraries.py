@@ -5,51 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-PEAK = rf"{NUMBER}[ \t]+{NUMBER}"
-
-
-def _field(name: str):
-    return F.nullif(F.trim(F.regexp_extract("value", rf"(?im)^{name}[ \t]*:[ \t]*(.*?)[ \t]*$", 1)), F.lit(""))
-
-
-def _peaks(text):
-    pairs = F.transform(F.regexp_extract_all(text, F.lit(f"({PEAK})"), 1), lambda x: F.split(x, r"[ \t]+"))
-    return F.array_sort(F.transform(pairs, lambda x: F.struct(x[0].cast("double").alias("mz"), x[1].cast("double").alias("intensity"))))
-
-
-def read_msp(spark: SparkSession, path: str) -> DataFrame:
-    """name, id, energy, mw, fp, num_peaks, peaks of each record (S1, S2, S9, S10). Records end at a line of
-    less than 3 characters; files are cut at empty lines, so one whose lines end in CR LF is read by one task; keys have any case; peaks stand one or several (with ;) to a line; energy comes from "Comment: Energy<n>", else 0."""
-    rows = spark.read.option("lineSep", "\n\n").text(path)
-    rows = rows.select(F.explode(F.split(F.regexp_replace("value", "\r", ""), r"\n.{0,2}(?:\n|$)")).alias("value")).where("trim(value) <> ''")
-    body = F.regexp_extract("value", r"(?is)num peaks[ \t]*:[^\n]*\n(.*)$", 1)
-    energy = F.coalesce(F.nullif(F.regexp_extract("value", r"(?m)^Comment:.*Energy(\d+)", 1), F.lit("")).cast("int"), F.lit(0))
-    return rows.select(_field("name").alias("name"), F.coalesce(_field("id"), _field("name")).alias("id"), energy.alias("energy"), _field("mw").cast("double").alias("mw"), _field("fp").alias("fp"), _field("num peaks").cast("int").alias("num_peaks"), _peaks(body).alias("peaks"))
-
-
-def write_msp(library: DataFrame, path: str) -> None:
-    """Records with the keys in the order Name, ID, FP, MW, Comment, Num Peaks (K2, K5), by id and energy (K4)."""
-    line = lambda key, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{key}: "), F.col(c).cast("string"), F.lit("\n"))).otherwise("")
-    peaks = F.array_join(F.transform("peaks", lambda p: F.concat_ws(" ", p["mz"].cast("string"), p["intensity"].cast("string"))), "\n")
-    head = F.concat(line("Name", "name"), line("ID", "id"), line("FP", "fp"), line("MW", "mw"), F.concat(F.lit("Comment: Energy"), F.col("energy").cast("string"), F.lit("\n")))
-    library.orderBy("id", "energy").select(F.concat(head, F.lit("Num Peaks: "), F.size("peaks").cast("string"), F.lit("\n"), peaks).alias("value")).write.option("lineSep", "\n\n").text(path)
+from lumenspec.sources.msp import peaks_of, read_msp, write_msp
+from lumenspec.sources.sdf import read_sdf
 
+__all__ = ["read_msp", "write_msp", "read_peak_lists", "read_sdf", "read_pairs", "read_library", "spectra_of", "READERS"]
 
 def read_peak_lists(spark: SparkSession, path: str) -> DataFrame:
     """file, energy (0-based number of the header low/med/high/energyN), peaks (S5); a file without header is one spectrum."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     marked = F.regexp_replace("value", r"(?m)^(low|med|high|energy\w*)[ \t\r]*$", "\u0001")
     parts = F.filter(F.split(marked, "\u0001"), lambda x: F.trim(x) != "")
-    return files.select("file", F.posexplode(parts).alias("energy", "t")).select("file", "energy", _peaks(F.col("t")).alias("peaks"))
-
-
-def read_sdf(spark: SparkSession, path: str) -> DataFrame:
-    """name, props of each molecule block."""
-    rows = spark.read.option("lineSep", "$$$$\n").text(path).where("trim(value) <> ''")
-    keys = F.regexp_extract_all("value", F.lit(r"(?m)^> *<([^>]+)>"), 1)
-    values = F.transform(F.regexp_extract_all("value", F.lit(r"(?ms)^> *<[^>]+>[^\n]*\n(.*?)(?=\n\n|\n> *<|\z)"), 1), lambda x: F.trim(x))
-    return rows.select(F.trim(F.split("value", "\n")[0]).alias("name"), F.map_from_entries(F.arrays_zip(keys.alias("k"), values.alias("v"))).alias("props"))
+    return files.select("file", F.posexplode(parts).alias("energy", "t")).select("file", "energy", peaks_of(F.col("t")).alias("peaks"))
 
 
 def read_pairs(spark: SparkSession, path: str, columns: str = "id string, smiles string, grp int") -> DataFrame:

@@ -5,9 +5,9 @@ import math
 import duckdb
 import pytest
 
-from lumenspec.plans import catalog, studies
+from lumenspec.plans import catalog, structures, studies
 
-QUERIES, ORACLES = catalog.QUERIES | studies.QUERIES, catalog.ORACLES | studies.ORACLES
+QUERIES, ORACLES = catalog.QUERIES | studies.QUERIES | structures.QUERIES, catalog.ORACLES | studies.ORACLES | structures.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
