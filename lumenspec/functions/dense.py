@@ -72,6 +72,17 @@ def squared_error(truth: Column, guess: Column) -> Column:
     return total(F.zip_with(truth, guess, lambda t, g: (t - g) * (t - g))) / F.size(truth)
 
 
+def weighted_squared_error(truth: Column, guess: Column, weights: Column) -> Column:
+    """Squared errors of components, weighted and divided by the sum of the weights (A19); null where that is 0."""
+    errors = F.zip_with(F.zip_with(truth, guess, lambda t, g: (t - g) * (t - g)), weights, lambda e, w: e * w)
+    return F.try_divide(total(errors), total(weights))
+
+
+def cross_entropy(truth: Column, guess: Column, least: float = 1e-9) -> Column:
+    """Cross-entropy of the vectors as distributions; guesses are `least` at least."""
+    return total(F.zip_with(scale_sum(truth, 1.0), scale_sum(guess, 1.0), lambda t, g: -t * F.log(F.greatest(g, F.lit(least)))))
+
+
 def divergence(truth: Column, guess: Column, least: float = 1e-9) -> Column:
     """Kullback-Leibler divergence of the vectors as distributions; guesses are `least` at least."""
     p, q = scale_sum(truth, 1.0), scale_sum(guess, 1.0)

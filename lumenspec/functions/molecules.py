@@ -51,6 +51,11 @@ def only_elements(atoms: Column, allowed: Sequence[str]) -> Column:
     return F.forall(atoms, lambda a: a["element"].isin(*allowed))
 
 
+def acceptable(atoms: Column, masses: Mapping[str, float], allowed: Sequence[str], most: float = 2000.0) -> Column:
+    """Whether all atoms are of these elements and their mass is at most `most` (F6); false where an element has no mass."""
+    return only_elements(atoms, allowed) & F.coalesce(mass(atoms, masses) <= most, F.lit(False))
+
+
 def connected(smiles: Column) -> Column:
     """Whether the notation is of one part."""
     return ~F.contains(smiles, F.lit("."))

@@ -89,6 +89,37 @@ def split_by_hash(keys: DataFrame, key: str, test_share: float, seed: str = "42"
     return keys.withColumn("part", F.when(h < test_share, "test").otherwise("train"))
 
 
+def sample_keys(keys: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
+    """`n` of the distinct keys, those of the least md5 with the seed: the same ones on every run, and in any order of rows."""
+    return keys.select(key).distinct().orderBy(F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string"))), key).limit(n)
+
+
+def mini_batch(rows: DataFrame, key: str, number: int, of: int, seed: str = "42") -> DataFrame:
+    """The rows of batch `number` of `of`: keys are dealt by an md5, so an epoch's batches hold every key once."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return rows.where(F.pmod(h, F.lit(of)) == number % of)
+
+
+def log_sum_messages(*messages: DataFrame) -> DataFrame:
+    """(mol, node, log_p): at each node the log of the sum of the messages' exps, without overflow; a node absent from a message adds nothing."""
+    rows = functools.reduce(DataFrame.unionByName, [m.select("mol", "node", "log_p") for m in messages])
+    top = F.max("log_p").over(Window.partitionBy("mol", "node"))
+    return rows.withColumn("_top", top).groupBy("mol", "node").agg((F.max("_top") + F.log(F.sum(F.exp(F.col("log_p") - F.col("_top"))))).alias("log_p"))
+
+
+def log_product_messages(*messages: DataFrame) -> DataFrame:
+    """(mol, node, log_p): the messages' product at the nodes that all of them have."""
+    rows = functools.reduce(DataFrame.unionByName, [m.select("mol", "node", "log_p", F.lit(k).alias("_k")) for k, m in enumerate(messages)])
+    return rows.groupBy("mol", "node").agg(F.sum("log_p").alias("log_p"), F.count_distinct("_k").alias("_n")).where(F.col("_n") == len(messages)).drop("_n")
+
+
+def log_normalised(message: DataFrame) -> DataFrame:
+    """The message less the log of its molecule's sum, so that its exps sum to 1."""
+    own = Window.partitionBy("mol")
+    rows = message.withColumn("_top", F.max("log_p").over(own))
+    return rows.withColumn("log_p", F.col("log_p") - F.col("_top") - F.log(F.sum(F.exp(F.col("log_p") - F.col("_top"))).over(own))).drop("_top")
+
+
 def transition_log_probs(edges: DataFrame) -> DataFrame:
     """(mol, src, dst, theta) -> log_p = theta - log(1 + sum of exp(theta)) over a source's edges, without overflow."""
     own = Window.partitionBy("mol", "src")

@@ -146,11 +146,13 @@ def bit_matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 QUERY_BLOCK, LIBRARY_BLOCK = 256, 4096
 
 
-def block_scores(queries: DataFrame, library: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def block_scores(queries: DataFrame, library: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], reduce: Callable | None = None, reduced: str = "") -> DataFrame:
     """(query, lib, score, and the other columns of both sides) for queries (query, vec, ...) and a library (lib, vec, ...).
 
     Both sides lie in blocks by a hash of their id; a task scores one block of queries against one of the library by a
     product of matrices, in Arrow batches. A row does not meet its own id, only vectors of one length meet, and NaN is null.
+    With `reduce`, a block's rows are what reduce(queries, library, scores, others) makes of it, of the schema `reduced`;
+    others marks the pairs that are not of one id. Without it every pair is a row, which only small libraries can afford.
     """
     n, q = library.count(), queries.count()
     rounds, blocks = max(1, -(-q // QUERY_BLOCK)), max(1, -(-n // LIBRARY_BLOCK))
@@ -158,21 +160,23 @@ def block_scores(queries: DataFrame, library: DataFrame, score: Callable[[np.nda
     dealt = lambda d, own, parts, mine, k, theirs: d.select(F.size("vec").alias("_dims"), F.pmod(F.xxhash64(own), F.lit(parts)).cast("int").alias(mine), others(k).alias(theirs), *[F.col(c).alias(c) for c in d.columns])  # noqa: E731  (new aliases: both sides may come from one table)
     left, right = dealt(queries, "query", rounds, "_q", blocks, "_b"), dealt(library, "lib", blocks, "_b", rounds, "_q")
     left_more, right_more = ([c for c in d.columns if c not in (own, "vec")] for d, own in ((queries, "query"), (library, "lib")))
-    names = ["query", "lib", "score", *left_more, *right_more]
+    names = [c.split()[0].strip("`") for c in reduced.split(", ")] if reduce else ["query", "lib", "score", *left_more, *right_more]
     schema = ", ".join(["query long", "lib long", "score double", *[f"`{c}` {d.schema[c].dataType.simpleString()}" for d, some in ((queries, left_more), (library, right_more)) for c in some]])
 
     def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({c: [] for c in names})
         x, y = (np.stack(d["vec"].to_numpy()).astype(float) for d in (a, b))
+        if reduce:
+            return reduce(a, b, score(x, y), a["query"].to_numpy()[:, None] != b["lib"].to_numpy()[None, :])[names]
         out = {"query": np.repeat(a["query"].to_numpy(), len(b)), "lib": np.tile(b["lib"].to_numpy(), len(a)), "score": score(x, y).ravel()}
         out |= {c: np.repeat(a[c].to_numpy(), len(b)) for c in left_more} | {c: np.tile(b[c].to_numpy(), len(a)) for c in right_more}
         rows = pd.DataFrame(out)
         return rows[rows["query"] != rows["lib"]]
 
     keys = ["_q", "_b", "_dims"]
-    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pairs, schema)
-    return scored.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pairs, reduced or schema)
+    return scored if reduce else scored.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
 
 
 def top_k(scored: DataFrame, k: int, by: str = "analyte", tie: str = "lib") -> DataFrame:

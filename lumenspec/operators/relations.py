@@ -141,12 +141,17 @@ def regression_metrics(rows: DataFrame) -> DataFrame:
     return sums.select(F.round("mae", 6).alias("mae"), F.round(1 - F.try_divide(F.col("_off"), F.col("_var") * F.col("_n")), 6).alias("r2"))
 
 
+def position(better: Column, worse: Column, candidates: Column) -> Column:
+    """0.5 (1 + (better - worse) / (n - 1)); of one candidate: 0.5."""
+    return 0.5 * (1 + F.coalesce(F.try_divide(better - worse, candidates - 1), F.lit(0.0)))
+
+
 def ranking_position(scored: DataFrame, answer: str = "answer") -> DataFrame:
     """(query, position): 0.5 (1 + (better - worse) / (n - 1)) of the answer among n candidates (A20); one candidate: 0.5."""
     true = F.max(F.when(F.col("lib") == F.col(answer), F.col("score"))).over(Window.partitionBy("query"))
     rows = scored.withColumn("_true", true).where("_true is not null")
     n = rows.groupBy("query").agg(F.sum((F.col("score") > F.col("_true")).cast("long")).alias("b"), F.sum((F.col("score") < F.col("_true")).cast("long")).alias("w"), F.count("*").alias("n"))
-    return n.select("query", F.round(0.5 * (1 + F.coalesce(F.try_divide(F.col("b") - F.col("w"), F.col("n") - 1), F.lit(0.0))), 6).alias("position"))
+    return n.select("query", F.round(position(F.col("b"), F.col("w"), F.col("n")), 6).alias("position"))
 
 
 def uncancelled(matches: DataFrame, exceptions: DataFrame, key: str, atoms: str = "atoms") -> DataFrame:

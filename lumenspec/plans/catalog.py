@@ -9,6 +9,7 @@ from lumenspec.operators import detection as D
 from lumenspec.operators import evaluation as E
 from lumenspec.operators import matching as M
 from lumenspec.operators import relations as R
+from lumenspec.operators.ranks import answer_counts, best_places, best_rows
 from lumenspec.operators.search import search_all
 from lumenspec.plans.registry import registry, rounded
 from lumenspec.plans.views import bit_vectors, peaks, spec_meta, table, vectors, with_views
@@ -164,10 +165,10 @@ p AS (SELECT a.vec_id AS query, b.vec_id AS lib, a.label AS query_key, b.label A
              list_sum(list_transform(range(1, 65), lambda i: (a.bits[i] OR b.bits[i])::INT)) AS u FROM vecs a JOIN vecs b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)"""
 
 
-@query(_BITS + " SELECT query, lib, round(i / nullif(u, 0)::DOUBLE, 6) AS score FROM p")
+@query(_BITS + ", s AS (SELECT query, lib, round(i / nullif(u, 0)::DOUBLE, 6) AS score FROM p) SELECT query, lib, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, lib)::INT AS rank FROM s WHERE score IS NOT NULL QUALIFY rank <= 100")
 def fp_jaccard(spark, sf_dir):
-    a, b = bit_vectors(spark, sf_dir)
-    return rounded(M.block_scores(a, b, M.bit_jaccards), "score")
+    """The hundred most similar fingerprints of every query."""
+    return best_rows(*bit_vectors(spark, sf_dir), M.bit_jaccards, 100)
 
 
 _DENSE = with_views("vecs") + """,
@@ -191,14 +192,22 @@ def dense_key_ranks(spark, sf_dir):
 
 @query(_DENSE + " SELECT count(*) AS queries, round(avg((best = 0)::INT), 6) AS accuracy, round(avg(best), 6) AS mean_rank, " + ", ".join(f"round(avg((best < {k})::INT), 6) AS recall_{k}" for k in (5, 10, 25, 50, 100)) + ", round(avg(1 / (best + 1)::DOUBLE), 6) AS mrr FROM k")
 def rank_metrics(spark, sf_dir):
-    return E.retrieval_metrics(E.key_ranks(_dense_scored(spark, sf_dir)), "best")
+    a, b = _asked(spark, sf_dir)
+    a = a.join(b.select(F.col("lib").alias("query"), F.col("lib_key").alias("query_key")), "query")
+    return E.retrieval_metrics(best_places(a, b, M.cosines), "best")
 
 
 @query(_DENSE + """, t AS (SELECT query, any_value(score) AS t FROM s WHERE lib = query + 1 GROUP BY query)
 SELECT query, 1 + sum((score > t)::INT)::BIGINT AS rank FROM s JOIN t USING (query) GROUP BY query""")
 def answer_rank(spark, sf_dir):
-    scored = _dense_scored(spark, sf_dir)
-    return E.rank_of_answers(scored, scored.select(F.col("query").alias("_q"), (F.col("query") + 1).alias("answer")).distinct())
+    return answer_counts(*_asked(spark, sf_dir), M.cosines).select("query", (F.col("better") + 1).alias("rank"))
+
+
+def _asked(spark, sf_dir):
+    """The stated queries (query, answer: the next vector, vec) and all vectors (lib, lib_key, measured: two of three, vec)."""
+    v = vectors(spark, sf_dir)
+    a = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), (F.col("vec_id") + 1).alias("answer"), "vec")
+    return a, v.select(F.col("vec_id").alias("lib"), F.col("label").alias("lib_key"), (F.col("vec_id") % 3 != 0).alias("measured"), "vec")
 
 
 @query(with_views("vecs") + ", b AS (SELECT i - 1 AS bit, avg(bits[i]::INT) AS share FROM vecs, range(1, 65) r(i) GROUP BY i) SELECT bit, round(share, 6) AS share FROM b WHERE share BETWEEN 0.1 AND 0.9")
@@ -361,10 +370,11 @@ def fragment_lookup(spark, sf_dir):
     return R.by_rounded_mass(asked, parts).select("id", "frag_id")
 
 
-@query("SELECT DISTINCT p_brand AS key FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 45) ")
+@query("WITH p AS (SELECT p_partkey // 6 AS key, p_size FROM part) SELECT DISTINCT key FROM p WHERE key NOT IN (SELECT key FROM p WHERE p_size > 45) AND key NOT IN (SELECT key FROM p WHERE p_size = 7)")
 def unseen_keys(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), "p_size")
-    return R.unseen(p, "key", p.where("p_size > 45")).select("key")
+    """Groups of six parts of which none stands in either of two pools."""
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 6).alias("key"), "p_size")
+    return R.unseen(p, "key", p.where("p_size > 45"), p.where("p_size = 7")).select("key")
 
 
 @query("SELECT p_partkey AS id, p_name LIKE '%a%' AS holds FROM part WHERE p_partkey % 7 = 0")
@@ -383,7 +393,8 @@ def regression_metrics(spark, sf_dir):
 @query(_DENSE + """, t AS (SELECT query, max(score) AS t FROM s WHERE lib = query + 1 GROUP BY query)
 SELECT query, round(0.5::DOUBLE * (1 + (sum((score > t)::INT) - sum((score < t)::INT)) / (count(*) - 1)::DOUBLE), 6) AS position FROM s JOIN t USING (query) GROUP BY query""")
 def ranking_position(spark, sf_dir):
-    return R.ranking_position(_dense_scored(spark, sf_dir).withColumn("answer", F.col("query") + 1))
+    n = answer_counts(*_asked(spark, sf_dir), M.cosines)
+    return n.select("query", F.round(R.position(F.col("better"), F.col("worse"), F.col("candidates")), 6).alias("position"))
 
 
 @query("""WITH n AS (SELECT l_suppkey AS mol, l_linenumber AS frag, count(*) AS n FROM lineitem GROUP BY ALL) SELECT mol, frag || ' ' || n || ' C' || n AS line FROM n""")

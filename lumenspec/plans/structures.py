@@ -19,6 +19,7 @@ from lumenspec.plans.registry import registry, rounded
 from lumenspec.plans.views import peaks, table, vectors, with_views
 from lumenspec.sources import msp, sdf
 from lumenspec.sources import parameters as P
+from lumenspec.sources import reports as Reports
 from lumenspec.tables import shared_path
 
 QUERIES, ORACLES, query = registry()
@@ -239,14 +240,41 @@ def parameters_roundtrip(spark, sf_dir):
 
 # Scores by name and their report.
 
-@query(with_views("peaks", "merged", "bins") + """, c AS (SELECT a.spec_id, count(b.mz) AS n, sum(CASE WHEN b.mz IS NOT NULL THEN a.intensity ELSE 0 END) AS hit FROM bins a LEFT JOIN bins b ON b.spec_id = a.spec_id + 1 AND b.mz = a.mz GROUP BY ALL),
-s AS (SELECT c.spec_id, 100 * n / x.k::DOUBLE AS recall, 100 * n / y.k::DOUBLE AS precision, 2 * n / (x.k + y.k)::DOUBLE AS jaccard, hit FROM c JOIN (SELECT spec_id, count(*) AS k FROM bins GROUP BY 1) x ON x.spec_id = c.spec_id JOIN (SELECT spec_id, count(*) AS k FROM bins GROUP BY 1) y ON y.spec_id = c.spec_id + 1)
-SELECT spec_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(jaccard, 6) AS jaccard, round(hit, 6) AS weighted_recall FROM s""")
+@query(with_views("peaks", "merged", "bins") + """, t AS (SELECT spec_id, count(*) AS k, sum(intensity) AS i, sum(intensity * mz) AS d, sum(pow(intensity, 1.2) * pow(mz, 6)) AS s FROM bins GROUP BY 1),
+c AS (SELECT a.spec_id, count(*) AS n, sum(a.intensity) AS p, sum(b.intensity) AS q, sum(sqrt(a.intensity * b.intensity) * a.mz) AS d, sum(pow(a.intensity * b.intensity, 0.6) * pow(a.mz, 6)) AS s FROM bins a JOIN bins b ON b.spec_id = a.spec_id + 1 AND b.mz = a.mz GROUP BY 1),
+r AS (SELECT x.spec_id, coalesce(n, 0) AS n, coalesce(p, 0) AS p, coalesce(q, 0) AS q, coalesce(c.d * c.d / nullif(x.d * y.d, 0), 0) AS dot, coalesce(c.s * c.s / nullif(x.s * y.s, 0), 0) AS stein, x.k AS xk, y.k AS yk, x.i AS xi, y.i AS yi FROM t x JOIN t y ON y.spec_id = x.spec_id + 1 LEFT JOIN c ON c.spec_id = x.spec_id)
+SELECT spec_id, round(dot, 6) AS dot, round(stein, 6) AS stein, round(100 * n / yk::DOUBLE, 6) AS precision, round(100 * n / xk::DOUBLE, 6) AS recall, round(100 * p / xi, 6) AS weighted_recall, round(100 * q / yi, 6) AS weighted_precision,
+       round(2 * n / (xk + yk)::DOUBLE, 6) AS jaccard, round((p + q) / 200, 6) AS weighted_jaccard, round(100 * dot + 200 * n / (xk + yk)::DOUBLE + 100 * p / xi + 100 * q / yi, 6) AS combined FROM r""")
 def named_scores(spark, sf_dir):
-    """Scores of neighbouring spectra by name, at a tolerance that only equal m/z meet, so each peak has one partner at most."""
+    """All nine scores of neighbouring spectra by name, at a tolerance that only equal m/z meet, so each peak has one partner at most."""
     p = M.as_arrays(S.bin_integer(peaks(spark, sf_dir)), "p")
     both = p.join(p.select((F.col("spec_id") - 1).alias("spec_id"), F.col("p").alias("q")), "spec_id")
-    return rounded(M.scores_by_name(both, ["Recall", "Precision", "Jaccard", "WeightedRecall"], 0.5, 0.0), "recall", "precision", "jaccard", "weighted_recall")
+    return rounded(M.scores_by_name(both, list(M.SCORE_NAMES), 0.5, 0.0), *M.SCORE_NAMES.values())
+
+
+@query("SELECT c_custkey AS key FROM customer ORDER BY md5('42:' || c_custkey::VARCHAR), c_custkey LIMIT 50")
+def sampled_keys(spark, sf_dir):
+    return E.sample_keys(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), "key", 50)
+
+
+@query("""WITH m AS (SELECT l_linenumber AS k, l_suppkey AS mol, l_partkey % 7 AS node, ln(sum(l_quantity::DOUBLE)) AS x FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
+s AS (SELECT mol, node, ln(sum(exp(x))) AS x FROM m WHERE k <= 2 GROUP BY ALL), p AS (SELECT s.mol, s.node, s.x + m.x AS x FROM s JOIN m ON m.k = 3 AND m.mol = s.mol AND m.node = s.node)
+SELECT mol, node, round(x - ln(sum(exp(x)) OVER (PARTITION BY mol)), 6) AS log_p FROM p""")
+def log_messages(spark, sf_dir):
+    """Two messages added, multiplied by a third, and normalised."""
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_linenumber").alias("k"), F.col("l_suppkey").alias("mol"), (F.col("l_partkey") % 7).alias("node")).agg(F.log(F.sum(F.col("l_quantity").cast("double"))).alias("log_p"))
+    one, two, three = (rows.where(F.col("k") == k).drop("k") for k in (1, 2, 3))
+    return rounded(E.log_normalised(E.log_product_messages(E.log_sum_messages(one, two), three)), "log_p")
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS mol, l_partkey % 20 AS src, l_partkey % 20 + 1 + l_linenumber % 3 AS dst FROM lineitem), n AS (SELECT mol, src AS frag FROM e UNION SELECT mol, dst FROM e)
+SELECT mol, 0 AS part, 0::BIGINT AS place, count(*)::VARCHAR AS text FROM n GROUP BY mol UNION ALL SELECT mol, 1, frag, frag || ' ' || (frag * 3 + 0.5) || ' C' || frag FROM n UNION ALL SELECT DISTINCT mol, 2, 0, '' FROM n
+UNION ALL SELECT mol, 3, row_number() OVER (PARTITION BY mol ORDER BY src, dst), src || ' ' || dst || ' O' FROM e""")
+def graph_report(spark, sf_dir):
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("mol"), (F.col("l_partkey") % 20).alias("src"), (F.col("l_partkey") % 20 + 1 + F.col("l_linenumber") % 3).alias("dst")).distinct()
+    nodes = e.select("mol", F.col("src").alias("frag")).unionByName(e.select("mol", F.col("dst").alias("frag"))).distinct()
+    fragments = nodes.select("mol", "frag", (F.col("frag") * 3 + 0.5).alias("mass"), F.concat(F.lit("C"), F.col("frag").cast("string")).alias("structure"))
+    return Reports.graph_lines(fragments, e.withColumn("loss", F.lit("O")))
 
 
 @query("""WITH e AS (SELECT event_type AS kind, user_id AS id, avg(value) AS a, max(value) AS b FROM events GROUP BY ALL), k AS (SELECT kind, dense_rank() OVER (ORDER BY kind) - 1 AS energy FROM (SELECT DISTINCT kind FROM e)), s AS (SELECT e.*, energy FROM e JOIN k USING (kind)),

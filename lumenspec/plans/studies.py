@@ -9,12 +9,13 @@ from lumenspec.functions import spectra as S
 from lumenspec.operators import annotation as N
 from lumenspec.operators import evaluation as E
 from lumenspec.operators import matching as M
+from lumenspec.operators import ranks
 from lumenspec.operators import studies as T
+from lumenspec.plans.catalog import _asked
 from lumenspec.plans.registry import registry, rounded
 from lumenspec.plans.views import bit_vectors, peaks, table, vectors, with_views
 from lumenspec.operators import relations as K
 from lumenspec.sources import reports as R
-from lumenspec.tables import written
 
 QUERIES, ORACLES, query = registry()
 
@@ -23,14 +24,6 @@ s AS (SELECT a.vec_id AS query, b.vec_id AS lib, b.label AS lib_key, a.vec_id +
              round(list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec)), 6) AS score FROM vecs a JOIN vecs b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)"""
 
 
-def _pairs(spark, sf_dir):
-    """The stated queries against all vectors, with the next vector as the right answer."""
-    v = vectors(spark, sf_dir)
-    a = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), (F.col("vec_id") + 1).alias("answer"), "vec")
-    b = v.select(F.col("vec_id").alias("lib"), F.col("label").alias("lib_key"), (F.col("vec_id") % 3 != 0).alias("measured"), "vec")
-    return written(rounded(M.block_scores(a, b, M.cosines), "score"))
-
-
 @query(with_views("vecs") + """, m AS (SELECT *, (vec_id % 200)::DOUBLE AS mass FROM vecs),
 p AS (SELECT a.vec_id AS query, b.vec_id AS lib, list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec)) AS c,
              list_sum(list_transform(range(1, 65), lambda i: (a.bits[i] AND b.bits[i])::INT))::DOUBLE / list_sum(list_transform(range(1, 65), lambda i: (a.bits[i] OR b.bits[i])::INT)) AS j
@@ -53,26 +46,27 @@ SELECT query, CASE WHEN top > 0.8 THEN 'measured' ELSE 'all' END AS tier,
        CASE WHEN top > 0.8 THEN CASE WHEN m IS NULL THEN 99999 ELSE 1 + am END ELSE CASE WHEN f IS NULL THEN 99999 ELSE 1 + af END END::BIGINT AS rank,
        coalesce(CASE WHEN top > 0.8 THEN m ELSE f END, 0)::DOUBLE AS score FROM t JOIN n USING (query)""")
 def tiered_match(spark, sf_dir):
-    return T.tiered_ranks(_pairs(spark, sf_dir), 0.8)
+    return ranks.tiered_answers(*_asked(spark, sf_dir), M.cosines, 0.8)
 
 
 @query(_PAIRS + """, t AS (SELECT query, max(score) AS t FROM s WHERE lib = answer GROUP BY query)
 SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, lib)::INT AS place, lib, score FROM s JOIN t USING (query) WHERE score > t QUALIFY place <= 100""")
 def better_than_answer(spark, sf_dir):
-    return T.better_than_answer(_pairs(spark, sf_dir))
+    a, b = _asked(spark, sf_dir)
+    found = ranks.best_rows(ranks.with_truth(a, b, M.cosines).where("truth is not null"), b, M.cosines, 100, above_truth=True)
+    return found.select("query", F.col("rank").alias("place"), "lib", "score")
 
 
 @query(_PAIRS + " SELECT query, lib, lib_key FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, lib) = 1")
 def best_match(spark, sf_dir):
-    return T.best_match(_pairs(spark, sf_dir))
+    return ranks.best_rows(*_asked(spark, sf_dir), M.cosines, 1, columns=("lib_key",)).select("query", "lib", "lib_key")
 
 
 @query(_PAIRS + """, t AS (SELECT query, max(score) AS t FROM s WHERE lib = answer GROUP BY query), r AS (SELECT query, 1 + sum((score > t)::INT) AS rank, any_value(t) AS score FROM s JOIN t USING (query) GROUP BY query)
 SELECT count(*) AS queries, floor(sum(rank) / count(*))::BIGINT AS rank, round(avg(score), 6) AS score FROM r""")
 def average_answer_rank(spark, sf_dir):
-    scored = _pairs(spark, sf_dir)
-    truth = scored.where("lib = answer").groupBy("query").agg(F.max("score").alias("score"))
-    return T.average_rank(T.study_ranks(scored).join(truth, "query"))
+    n = ranks.answer_counts(*_asked(spark, sf_dir), M.cosines)
+    return T.average_rank(n.select("query", (F.col("better") + 1).alias("rank"), "score"))
 
 
 _SETS = with_views("vecs") + """, p AS (SELECT a.vec_id AS query, b.vec_id AS lib, list_sum(list_transform(range(1, 65), lambda i: (a.bits[i] AND b.bits[i])::INT)) AS i,
@@ -81,12 +75,13 @@ _SETS = with_views("vecs") + """, p AS (SELECT a.vec_id AS query, b.vec_id AS li
 
 @query(_SETS + " SELECT query, count(*) FILTER (WHERE 2 * i / (x + y)::DOUBLE > 0.6) AS similar FROM p GROUP BY query")
 def dice_counts(spark, sf_dir):
-    return M.block_scores(*bit_vectors(spark, sf_dir), M.bit_dices).groupBy("query").agg(F.count_if(F.col("score") > 0.6).alias("similar"))
+    return ranks.counts_above(*bit_vectors(spark, sf_dir), M.bit_dices, 0.6)
 
 
-@query(_SETS + " SELECT query, lib, round(1 - (x + y - 2 * i) / 64.0::DOUBLE, 6) AS score FROM p")
+@query(_SETS + ", s AS (SELECT query, lib, round(1 - (x + y - 2 * i) / 64.0::DOUBLE, 6) AS score FROM p) SELECT query, lib, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, lib)::INT AS rank FROM s QUALIFY rank <= 100")
 def simple_matching(spark, sf_dir):
-    return rounded(M.block_scores(*bit_vectors(spark, sf_dir), M.bit_matches), "score")
+    """The hundred fingerprints of every query that agree in most places."""
+    return ranks.best_rows(*bit_vectors(spark, sf_dir), M.bit_matches, 100)
 
 
 @query(with_views("peaks", "merged") + """, t AS (SELECT spec_id, list(mz) AS top FROM (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY spec_id ORDER BY intensity DESC, mz) <= 3) GROUP BY spec_id)
@@ -186,11 +181,13 @@ def dense_log_sum(spark, sf_dir):
 
 @query(with_views("vecs") + """, p AS (SELECT a.vec_id, a.vec AS t, b.vec AS g FROM vecs a JOIN vecs b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: (t[i] - g[i]) * (t[i] - g[i]))) / 64, 6) AS error,
+ round(list_sum(list_transform(range(1, 65), lambda i: i * (t[i] - g[i]) * (t[i] - g[i]))) / 2080, 6) AS weighted,
+ round(list_sum(list_transform(range(1, 65), lambda i: -t[i] / list_sum(t) * ln(greatest(g[i] / list_sum(g), 1e-9)))), 6) AS entropy,
  round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN t[i] > 0 THEN t[i] / list_sum(t) * ln(t[i] / list_sum(t) / greatest(g[i] / list_sum(g), 1e-9)) ELSE 0 END)), 6) AS divergence FROM p""")
 def dense_losses(spark, sf_dir):
     v = vectors(spark, sf_dir).select("vec_id", "vec")
     both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec").alias("g")), "vec_id")
-    return both.select("vec_id", F.round(D.squared_error(F.col("vec"), F.col("g")), 6).alias("error"), F.round(D.divergence(F.col("vec"), F.col("g")), 6).alias("divergence"))
+    return both.select("vec_id", F.round(D.squared_error(F.col("vec"), F.col("g")), 6).alias("error"), F.round(D.divergence(F.col("vec"), F.col("g")), 6).alias("divergence"), F.round(D.weighted_squared_error(F.col("vec"), F.col("g"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: k.cast("double"))), 6).alias("weighted"), F.round(D.cross_entropy(F.col("vec"), F.col("g")), 6).alias("entropy"))
 
 
 @query("SELECT max(l_linenumber) AS atoms, max(l_partkey) AS number, max(l_quantity)::DOUBLE AS peak FROM lineitem")
@@ -234,9 +231,17 @@ def weighted_dot(spark, sf_dir):
     return both.select("vec_id", F.round(D.weighted_dot(F.col("vec"), F.col("g")), 6).alias("score"))
 
 
-@query()
+_EVIDENCE = """WITH e0 AS (SELECT l_suppkey AS mol, l_partkey % 20 AS src, l_partkey % 20 + 1 + l_linenumber % 3 AS dst, avg(l_discount::DOUBLE) AS theta FROM lineitem GROUP BY ALL), t AS (SELECT mol, src, dst, theta - ln(1 + sum(exp(theta)) OVER (PARTITION BY mol, src)) AS log_p FROM e0),
+k AS (SELECT mol, src AS node, 1 - sum(exp(log_p)) AS stay FROM t GROUP BY ALL), p0 AS (SELECT DISTINCT mol, 0::BIGINT AS node, 1.0::DOUBLE AS p FROM t),""" + ",".join(f"""
+m{i} AS (SELECT p.mol, dst AS node, p * exp(log_p) AS p FROM p{i - 1} p JOIN t ON p.mol = t.mol AND node = src UNION ALL SELECT p.mol, p.node, p * coalesce(stay, 1) FROM p{i - 1} p LEFT JOIN k ON p.mol = k.mol AND p.node = k.node),
+p{i} AS (SELECT mol, node, sum(p) AS p FROM m{i} GROUP BY ALL)""" for i in (1, 2, 3)) + """,
+g0 AS (SELECT mol, src, dst FROM t WHERE (mol, src) IN (SELECT (mol, node) FROM p3 WHERE p >= 0.01) AND (mol, dst) IN (SELECT (mol, node) FROM p3 WHERE p >= 0.01))""" + "".join(f""",
+g{i} AS (SELECT * FROM g{i - 1} WHERE (mol, dst) IN (SELECT (mol, src) FROM g{i - 1}) OR (mol, dst) IN (SELECT (mol, node) FROM p3 WHERE p >= 0.05))""" for i in range(1, 11)) + " SELECT * FROM g10"
+
+
+@query(_EVIDENCE)
 def evidence_edges(spark, sf_dir):
-    """Edges of the graph of forward passes between nodes of some belief, dead ends pruned (rows only; a test covers it)."""
+    """Edges of the graph of forward passes between nodes of some belief, dead ends pruned. Three steps reach nine nodes on, so ten rounds of the SQL prune all."""
     src = F.col("l_partkey") % 20
     e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("mol"), src.alias("src"), (src + 1 + F.col("l_linenumber") % 3).alias("dst")).agg(F.avg(F.col("l_discount").cast("double")).alias("theta"))
     e = E.transition_log_probs(e).drop("theta")

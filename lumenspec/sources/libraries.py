@@ -23,6 +23,30 @@ def read_pairs(spark: SparkSession, path: str, columns: str = "id string, smiles
     return spark.read.csv(path, sep=" ", schema=columns, comment="#")
 
 
+def read_listed(spark: SparkSession, path: str, columns: str = "id string, smiles string, grp int") -> DataFrame:
+    """A list whose first line may say how many lines follow: the rows, of lines with at least two fields (S19, S20). Another number of rows than it says is an error."""
+    rows = spark.read.text(path).withColumn("value", F.trim("value")).where("value <> '' and value not like '#%'")
+    said = [int(r[0]) for r in rows.where(r"value rlike '^\\d+$'").select("value").limit(2).collect()]
+    names = [c.split() for c in columns.split(", ")]
+    fields = F.split("value", r"\s+")
+    found = rows.where(F.size(fields) > 1).select(*[F.get(fields, F.lit(k)).cast(kind).alias(name) for k, (name, kind) in enumerate(names)])
+    if len(said) > 1 or said and found.count() != said[0]:
+        raise ValueError(f"{path} says {said} lines and has {found.count()}")
+    return found
+
+
+def read_settings(spark: SparkSession, path: str, defaults: dict[str, str] | None = None, lists: tuple[str, ...] = ()) -> dict[str, str | list[str]]:
+    """Settings, a name and a value a line, over the defaults: of a name that stands again the last value, or all in order for those in `lists`.
+    Files of settings are small and are read by the driver."""
+    out: dict = dict(defaults or {}) | {name: [] for name in lists}
+    for r in spark.read.text(path, wholetext=True).collect():
+        for line in r["value"].splitlines():
+            name, _, value = line.strip().partition(" ")
+            if value and not name.startswith("#"):
+                out[name] = [*out[name], value.strip()] if name in lists else value.strip()
+    return out
+
+
 def spectra_of(library: DataFrame, id: str) -> DataFrame:
     """The records of one id; an id that the library lacks is an error."""
     found = library.where(F.col("id") == id)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -93,6 +95,25 @@ def transition_line(src: Column, dst: Column, loss: Column) -> Column:
     return F.concat_ws(" ", src.cast("string"), dst.cast("string"), loss)
 
 
+def graph_lines(fragments: DataFrame, transitions: DataFrame, belief: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """(mol, part, place, text) of a molecule's graph: how many fragments, a line each, an empty line, a line a transition.
+
+    fragments are (mol, frag, mass, structure), transitions (mol, src, dst, loss). With belief (mol, frag, belief) only
+    fragments of at least `least` and transitions between them stand, each fragment's belief at its line's end.
+    """
+    f = fragments.select("mol", "frag", "mass", "structure", F.lit(None).cast("double").alias("belief"))
+    if belief is not None:
+        f = f.drop("belief").join(belief.where(F.col("belief") >= least), ["mol", "frag"])
+        ends = f.select("mol", "frag")
+        transitions = transitions.join(ends.withColumnRenamed("frag", "src"), ["mol", "src"], "left_semi").join(ends.withColumnRenamed("frag", "dst"), ["mol", "dst"], "left_semi")
+    count = f.groupBy("mol").agg(F.count("*").cast("string").alias("text"))
+    empty = f.select("mol").distinct().withColumn("text", F.lit(""))
+    lines = f.select("mol", F.col("frag").alias("place"), F.concat_ws(" ", fragment_line(F.col("frag"), F.col("mass"), F.col("structure")), F.when(F.col("belief").isNotNull(), significant(F.col("belief")))).alias("text"))
+    moves = transitions.select("mol", F.row_number().over(Window.partitionBy("mol").orderBy("src", "dst")).cast("long").alias("place"), transition_line(F.col("src"), F.col("dst"), F.col("loss")).alias("text"))
+    parts = [count.withColumn("place", F.lit(0)), lines, empty.withColumn("place", F.lit(0)), moves]
+    return functools.reduce(DataFrame.unionByName, [p.select("mol", F.lit(k).alias("part"), F.col("place").cast("long").alias("place"), "text") for k, p in enumerate(parts)])
+
+
 def write_lines(rows: DataFrame, column: str, path: str) -> None:
     """One text a line, appended to what the folder holds: candidate structures (K9), match logs."""
     rows.select(F.col(column).cast("string").alias("value")).write.mode("append").text(path)

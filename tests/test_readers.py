@@ -174,3 +174,31 @@ def test_small_functions(spark):
     scores = spark.createDataFrame([("m", 0, 0.5), ("m", 1, 0.25), ("n", 0, 1.0)], "id string, energy int, dot double")
     report = {(r["section"], r["place"], r["text"]) for r in E.stats_report(scores, ["dot"], 2).collect()}
     assert report == {("Energy0", 0, "m\t0.500000"), ("Energy0", 0, "n\t1.00000"), ("Energy1", 0, "m\t0.250000"), ("Energy0", 1, "dot (mean, std err): 0.750000 0.125000"), ("Energy1", 1, "dot (mean, std err): 0.250000 0.00000"), ("Totals", 1, "dot (mean, std err): 0.437500 0.0312500")}
+
+
+def test_listed_and_settings(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("2\none CC 1\n\ntwo CN\n")
+    assert sorted(tuple(r) for r in L.read_listed(spark, f"file://{tmp_path}/m.txt").collect()) == [("one", "CC", 1), ("two", "CN", None)]
+    (tmp_path / "n.txt").write_text("3\none CC 1\n")
+    with pytest.raises(ValueError, match="says"):
+        L.read_listed(spark, f"file://{tmp_path}/n.txt")
+    (tmp_path / "c.txt").write_text("# settings\ndepth 2\nspectrum_depth 1\nspectrum_depth 3\ndepth 4\nflag\n")
+    assert L.read_settings(spark, f"file://{tmp_path}/c.txt", {"tol": "0.1", "depth": "9"}, ("spectrum_depth", "weight")) == {"tol": "0.1", "depth": "4", "spectrum_depth": ["1", "3"], "weight": []}
+
+
+def test_graph_lines(spark):
+    f = spark.createDataFrame([("m", k, 10.0 + k, f"C{k}") for k in range(4)], "mol string, frag long, mass double, structure string")
+    t = spark.createDataFrame([("m", 0, 1, "O"), ("m", 1, 2, "H"), ("m", 0, 3, "N")], "mol string, src long, dst long, loss string")
+    told = lambda rows: [r["text"] for r in rows.orderBy("part", "place").collect()]
+    assert told(R.graph_lines(f, t)) == ["4", "0 10 C0", "1 11 C1", "2 12 C2", "3 13 C3", "", "0 1 O", "0 3 N", "1 2 H"]
+    belief = spark.createDataFrame([("m", 0, 1.0), ("m", 1, 0.25), ("m", 2, 0.1)], "mol string, frag long, belief double")
+    assert told(R.graph_lines(f, t, belief, 0.2)) == ["2", "0 10 C0 1", "1 11 C1 0.25", "", "0 1 O"]
+
+
+def test_batches_and_limits(spark):
+    keys = spark.range(200).withColumnRenamed("id", "key")
+    parts = [{r["key"] for r in E.mini_batch(keys, "key", k, 4).collect()} for k in range(4)]
+    assert set().union(*parts) == set(range(200)) and sum(map(len, parts)) == 200 and min(map(len, parts)) > 20
+    atoms = spark.createDataFrame([(1, [("C", 2), ("H", 6)]), (2, [("Xx", 1)]), (3, [("C", 200)])], "id int, atoms array<struct<element:string,n:int>>")
+    got = atoms.select("id", Mol.acceptable(F.col("atoms"), {"C": 12.0, "H": 1.0}, ["C", "H", "Xx"]).alias("ok")).collect()
+    assert {r["id"]: r["ok"] for r in got} == {1: True, 2: False, 3: False}

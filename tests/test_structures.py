@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from lumenspec.functions import molecules as Mol
 from lumenspec.operators import annotation as N
+from lumenspec.operators import evaluation as E
 from lumenspec.operators import fitting as Fit
+from lumenspec.operators import matching as M
+from lumenspec.operators import ranks
+from lumenspec.operators import relations as R
+from lumenspec.operators import studies as T
 from lumenspec.operators import graphs as G
 from lumenspec.operators import models as L
 from lumenspec.operators import rules as Rules
@@ -327,3 +332,29 @@ def test_evidence_says_when_it_stops(spark):
     with pytest.raises(RuntimeError, match="dead ends"):
         N.evidence(chain, sure, 0.1, none, rounds=3)
     assert N.evidence(chain, sure, 0.1, none).count() == 0
+
+
+def test_blocks_give_what_pairs_give(spark, monkeypatch):
+    """Counts and lists from blocks against the functions on all pairs, with ties, repeated ids, missing answers and zero vectors."""
+    monkeypatch.setattr(M, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(M, "LIBRARY_BLOCK", 17)
+    r = np.random.default_rng(3)
+    x = r.integers(0, 3, (90, 4)).astype(float)
+    x[5] = 0
+    v = spark.createDataFrame([(i, int(i % 4), bool(i % 3), a.tolist()) for i, a in enumerate(x)] + [(8, 0, True, x[9].tolist())], "id long, label int, measured boolean, vec array<double>").cache()
+    a = v.where("id % 9 = 0 or id = 5").select(F.col("id").alias("query"), F.when(F.col("id") == 81, 1000).otherwise(F.col("id") + 8 - F.col("id") % 5).alias("answer"), F.col("label").alias("query_key"), "vec")
+    b = v.select(F.col("id").alias("lib"), F.col("label").alias("lib_key"), "measured", "vec")
+    pairs = M.block_scores(a, b, M.cosines).withColumn("score", F.round("score", 6)).cache()
+    rows = lambda df, *c: sorted((tuple(q[k] for k in c) for q in df.collect()), key=repr)
+    counts = ranks.answer_counts(a, b, M.cosines).cache()
+    assert rows(counts.select("query", (F.col("better") + 1).alias("rank"), "candidates"), "query", "rank", "candidates") == rows(T.study_ranks(pairs), "query", "rank", "candidates") != []
+    assert rows(counts.select("query", F.round(R.position(F.col("better"), F.col("worse"), F.col("candidates")), 6).alias("p")), "query", "p") == rows(R.ranking_position(pairs), "query", "position")
+    assert rows(ranks.best_rows(a, b, M.cosines, 1, columns=("lib_key",)), "query", "lib", "lib_key") == rows(T.best_match(pairs), "query", "lib", "lib_key")
+    found = ranks.best_rows(ranks.with_truth(a, b, M.cosines).where("truth is not null"), b, M.cosines, 6, above_truth=True)
+    assert rows(found, "query", "rank", "lib", "score") == rows(T.better_than_answer(pairs, 6), "query", "place", "lib", "score")
+    for enough in (0.5, 0.98, 2.0):
+        assert rows(ranks.tiered_answers(a, b, M.cosines, enough), "query", "tier", "rank", "score") == rows(T.tiered_ranks(pairs, enough), "query", "tier", "rank", "score")
+    assert rows(ranks.best_places(a, b, M.cosines), "query", "best") == rows(E.key_ranks(pairs), "query", "best")
+    assert rows(ranks.counts_above(a, b, M.cosines, 0.7), "query", "similar") == rows(M.block_scores(a, b, M.cosines).groupBy("query").agg(F.count_if(F.col("score") > 0.7).alias("similar")), "query", "similar")
+    answers = a.select(F.col("query").alias("_q"), "answer")
+    assert set(rows(E.rank_of_answers(pairs.drop("answer"), answers), "query")) == set(rows(counts, "query"))
