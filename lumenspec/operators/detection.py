@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenspec.operators.matching import band_join, bit_jaccard, combined_score, share, top_k
 from lumenspec.operators.studies import set_jaccard
+from lumenspec.tables import written
 
 
 def filter_peaks(peaks: DataFrame, least_share: float = 0.05, first: int = 10, key: str = "spec_id") -> DataFrame:
@@ -36,11 +37,12 @@ def search(analytes: DataFrame, library: DataFrame, masses: DataFrame, bits: Dat
     a_peaks, a = spectra_rows(analytes, top_n)
     b_peaks, b = spectra_rows(library, top_n)
     named = lambda d, name: d.select(F.col("spec_id").alias(name), *[F.col(c).alias(f"_{name}_{c}") for c in d.columns if c != "spec_id"])
-    whole = lambda d, name: named(d.join(masses.select("spec_id", "mass"), "spec_id").join(bits.select("spec_id", "set"), "spec_id", "left"), name)
-    near = band_join(whole(a, "analyte"), whole(b, "lib"), "_analyte_mass", "_lib_mass", width)
-    met = near.select("analyte", "lib").join(named(a_peaks, "analyte").withColumnRenamed("_analyte_mz", "mz"), "analyte").join(named(b_peaks, "lib").withColumnRenamed("_lib_mz", "mz"), ["lib", "mz"])
+    massed = lambda d, name: named(d.select("spec_id").join(masses.select("spec_id", "mass"), "spec_id"), name)
+    near = written(band_join(massed(a, "analyte"), massed(b, "lib"), "_analyte_mass", "_lib_mass", width).select("analyte", "lib"))  # ids only; what is wide comes last
+    met = near.join(named(a_peaks, "analyte").withColumnRenamed("_analyte_mz", "mz"), "analyte").join(named(b_peaks, "lib").withColumnRenamed("_lib_mz", "mz"), ["lib", "mz"])
     dots = met.groupBy("analyte", "lib").agg(F.sum(F.col("_analyte_w") * F.col("_lib_w")).alias("_dot"))
-    pairs = near.join(dots, ["analyte", "lib"], "left")
+    whole = lambda d, name: named(d.join(bits.select("spec_id", "set"), "spec_id", "left"), name)
+    pairs = near.join(dots, ["analyte", "lib"], "left").join(whole(a, "analyte"), "analyte").join(whole(b, "lib"), "lib")
     cosine = F.coalesce(share(F.col("_dot") * F.col("_dot"), F.col("_analyte_norm") * F.col("_lib_norm")), F.lit(0.0))
     spectrum = F.sqrt(cosine * set_jaccard(F.col("_analyte_top"), F.col("_lib_top"))) if top_n else cosine
     score = combined_score(spectrum, bit_jaccard(F.col("_analyte_set"), F.col("_lib_set")))

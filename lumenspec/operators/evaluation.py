@@ -134,6 +134,34 @@ def linear_theta(features: DataFrame, weights: DataFrame, key: Sequence[str] = (
     return features.join(weights, "feature", "left").groupBy(*key).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("theta"))
 
 
+UNITS = 256  # of a layer of a network over features
+ACTIVATIONS = {"relu": lambda x: F.greatest(x, F.lit(0.0)), "logistic": lambda x: 1 / (1 + F.exp(-x)), "tanh": F.tanh, "linear": lambda x: x}
+
+
+def network_theta(features: DataFrame, layers: Sequence[tuple[DataFrame, DataFrame, str]], key: Sequence[str] = ("mol", "src", "dst")) -> DataFrame:
+    """(key, theta): a small network over set features (key, feature).
+
+    Each layer is weights (input, unit, weight), biases (unit, bias) and an activation of ACTIVATIONS; a layer's units are
+    the next one's inputs, and the last has one unit. A weight that is not given is 0, so a key without known
+    features has what the biases make of it. Biases name a layer's units, UNITS at most; a layer is two joins and a sum.
+    """
+    keys = list(key)
+    names = features.select(*keys).distinct()
+    values = features.select(*keys, F.col("feature").alias("input")).distinct().withColumn("value", F.lit(1.0))
+    for weights, biases, name in layers:
+        if name not in ACTIVATIONS:
+            raise ValueError(f"no activation is called {name}")
+        sums = values.join(weights, "input").groupBy(*keys, "unit").agg(F.sum(F.col("value") * F.col("weight")).alias("_s"))
+        units = biases.select("unit", F.col("bias").cast("double").alias("bias")).limit(UNITS + 1).collect()
+        if len(units) > UNITS:
+            raise ValueError(f"a layer has at most {UNITS} units")
+        start = names.withColumn("_u", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(x).alias("bias")) for u, x in units]))).select(*keys, "_u.*")
+        both = start.join(sums, [*keys, "unit"], "full")
+        z = F.coalesce("_s", F.lit(0.0)) + F.coalesce("bias", F.lit(0.0))
+        values = both.select(*keys, F.col("unit").alias("input"), ACTIVATIONS[name](z).alias("value"))
+    return values.select(*keys, F.col("value").alias("theta"))
+
+
 def _steps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(mol, src, dst, _p): the edges, and from every node of them and of `nodes` (mol, node) a step to itself with what its edges leave."""
     moves = edges.select("mol", "src", "dst", F.exp("log_p").alias("_p"))

@@ -129,7 +129,11 @@ def least_squares_components(rows: DataFrame, x: str = "vec", y: str = "bits", c
     """
     d, t = _width(rows, x), _width(rows, y)
     both = lambda a, b: _with_one(a).T @ np.concatenate([_with_one(a), b], 1)
-    g = summed(rows.select(x, y), both, (d + 1, d + 1 + t))
+    return _from_products(summed(rows.select(x, y), both, (d + 1, d + 1 + t)), d, t, components)
+
+
+def _from_products(g: np.ndarray, d: int, t: int, components: int) -> np.ndarray:
+    """The coefficients from the products of (x, 1) with (x, 1, y)."""
     n, mean, y_mean = g[d, d], g[d, :d] / g[d, d], g[d, d + 1 :] / g[d, d]
     xx, xy = g[:d, :d] - n * np.outer(mean, mean), g[:d, d + 1 :] - n * np.outer(mean, y_mean)
     out = np.zeros((t, d + 1))
@@ -155,6 +159,21 @@ def least_squares_components(rows: DataFrame, x: str = "vec", y: str = "bits", c
     return out
 
 
+def chosen_components(train: DataFrame, dev: DataFrame, x: str = "vec", y: str = "bits", least: int = 2, most: int = 8, cut: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients [t, d + 1], components [t]): for each target the partial least squares regression on `train` whose number
+    of components, from `least` to `most`, is right most often on `dev`; of equals the fewest (L3).
+
+    One pass over train sums the products that all numbers of components share, one over dev counts what each gets right.
+    """
+    d, t = _width(train, x), _width(train, y)
+    both = lambda a, b: _with_one(a).T @ np.concatenate([_with_one(a), b], 1)
+    products = summed(train.select(x, y), both, (d + 1, d + 1 + t))
+    fits = np.stack([_from_products(products, d, t, k) for k in range(least, most + 1)])
+    right = summed(dev.select(x, y), lambda a, b: np.stack([((_with_one(a) @ w.T > cut) == (b > 0)).sum(0) for w in fits]).astype(float), (len(fits), t))
+    best = right.argmax(0)
+    return fits[best, np.arange(t)], best + least
+
+
 def scored_bits(column: Column, coefficients: np.ndarray, cut: float) -> Column:
     """For each target whether the linear score of a row is above `cut` (0 for logistic regression, a half for least squares), as an array of 0 and 1."""
     d = coefficients.shape[1] - 1

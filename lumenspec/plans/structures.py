@@ -307,6 +307,19 @@ def smsf_topk(spark, sf_dir):
 
 # Models.
 
+@query("""WITH f AS (SELECT DISTINCT l_orderkey AS mol, l_linenumber AS src, p_size AS feature FROM lineitem JOIN part ON l_partkey = p_partkey), u AS (SELECT range AS unit, (range - 1) / 4.0::DOUBLE AS bias FROM range(4)),
+h AS (SELECT mol, src, unit, greatest(sum(((feature * 3 + unit * 5) % 11 - 5) / 8.0::DOUBLE) + any_value(bias), 0) AS v FROM f, u GROUP BY ALL)
+SELECT mol, src, round(sum(v * (unit - 1.5::DOUBLE)) + 0.25::DOUBLE, 6) AS theta FROM h GROUP BY ALL""")
+def network_theta(spark, sf_dir):
+    """Sizes of parts as the set features of each line, four hidden units, one output."""
+    f = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("mol"), F.col("l_linenumber").alias("src"), F.col("p_size").cast("long").alias("feature"))
+    units = spark.range(4).withColumnRenamed("id", "unit")
+    first = units.select("unit", F.explode(F.sequence(F.lit(0), F.lit(60)).cast("array<long>")).alias("input")).select("input", "unit", (((F.col("input") * 3 + F.col("unit") * 5) % 11 - 5) / 8).alias("weight"))
+    second = units.select(F.col("unit").alias("input"), F.lit(0).cast("long").alias("unit"), (F.col("unit") - 1.5).alias("weight"))
+    layers = [(first, units.select("unit", ((F.col("unit") - 1) / 4).alias("bias")), "relu"), (second, spark.createDataFrame([(0, 0.25)], "unit long, bias double"), "linear")]
+    return rounded(E.network_theta(f, layers, ("mol", "src")), "theta")
+
+
 @query()
 def principal_components(spark, sf_dir):
     """Two coordinates of every vector; tests hold them against numpy."""

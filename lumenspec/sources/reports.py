@@ -74,10 +74,18 @@ def insert_ignore(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return table.unionByName(rows.dropDuplicates([key]).join(table.select(key), key, "left_anti").select(*table.columns))
 
 
-def sdf_block(name: Column, props: Column) -> Column:
-    """A molecule block with its properties, without atoms (K7)."""
+def sdf_block(name: Column, props: Column, atoms: Column | None = None, bonds: Column | None = None) -> Column:
+    """A molecule block with its properties, and with atoms (x, y, z, symbol) and bonds (a, b, order) where they are given (K7); read_sdf reads it back."""
+    if atoms is not None:
+        atom = lambda a: F.format_string("%10.4f%10.4f%10.4f %-3s 0  0", a["x"], a["y"], a["z"], a["symbol"])
+        bond = lambda b: F.format_string("%3d%3d%3d  0", b["a"], b["b"], b["order"])
+        bonds = bonds if bonds is not None else F.array().cast("array<struct<a:int,b:int,order:int>>")
+        counts = F.format_string("%3d%3d  0  0  0  0  0  0  0  0999 V2000", F.size(atoms), F.size(bonds))
+        body = F.concat(counts, F.lit("\n"), F.array_join(F.concat(F.transform(atoms, atom), F.transform(bonds, bond), F.array(F.lit("M  END"))), "\n"), F.lit("\n"))
+    else:
+        body = F.lit("  0  0  0  0  0  0  0  0  0  0999 V2000\nM  END\n")
     fields = F.transform(F.map_entries(props), lambda x: F.concat(F.lit(">  <"), x["key"], F.lit(">\n"), x["value"], F.lit("\n")))
-    return F.concat(name, F.lit("\n\n\n  0  0  0  0  0  0  0  0  0  0999 V2000\nM  END\n"), F.array_join(fields, "\n"), F.lit("\n$$$$"))
+    return F.concat(name, F.lit("\n\n\n"), body, F.array_join(fields, "\n"), F.lit("\n$$$$"))
 
 
 def peak_pair_lines(pairs: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspec.sources.msp import peaks_of, split_records
+from lumenspec.sources.msp import dense_spectra, peaks_of, split_records
 from lumenspec.tables import shared_path
 
 PEAKS, STRUCTURE, MASS, PREDICTED = "MASS SPECTRAL PEAKS", "SMILES", "EXACT MASS", "PREDICTED SPECTRUM"
@@ -71,6 +71,13 @@ def library_of(molecules: DataFrame, predicted: bool = False) -> DataFrame:
     return molecules.select(prop(STRUCTURE).alias("name"), prop(STRUCTURE).alias("id"), F.lit(0).alias("energy"), prop(MASS).alias("mw"), F.lit(None).cast("string").alias("fp"), peaks.alias("peaks"))
 
 
+def dense_of(molecules: DataFrame, predicted: bool = False, bins: int = 2000) -> DataFrame:
+    """(id, structure, vec) of blocks: the dense vector of their measured or predicted peaks, the last of equal m/z counting."""
+    text = F.coalesce(F.col("props")[PREDICTED if predicted else PEAKS], F.lit(""))
+    rows = molecules.select("name", F.col("name").alias("id"), F.create_map(F.lit("SMILES"), F.col("props")[STRUCTURE]).alias("params"), peaks_of(text, ordered=False).alias("peaks"))
+    return dense_spectra(rows, bins)
+
+
 def read_structures(spark: SparkSession, path: str) -> DataFrame:
     """(structure) of a list with one a line; a file ends at its first blank line."""
     lines = spark.read.text(path).select(F.trim("value").alias("structure"), F.col("_metadata.file_path").alias("_file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"))

@@ -145,6 +145,12 @@ def test_report_lines(spark, tmp_path):
     (tmp_path / "x.sdf").write_text(text + "\n")
     back = sdf.read_sdf(spark, f"file://{tmp_path}/x.sdf").first()
     assert back["name"] == "mol" and back["props"] == {"SMILES": "CC", "EXACT MASS": "30"} and back["atoms"] == []
+    mol = spark.createDataFrame([([(0.5, -1.25, 10.0, "C"), (1.0, 0.0, -3.5, "Cl")], [(1, 2, 1)])], "atoms array<struct<x:double,y:double,z:double,symbol:string>>, bonds array<struct<a:int,b:int,order:int>>")
+    (tmp_path / "y.sdf").write_text(mol.select(R.sdf_block(lit("m"), F.create_map(lit("SMILES"), lit("CCl"), lit("PREDICTED SPECTRUM"), lit("5 1\n7 2\n5 3")), F.col("atoms"), F.col("bonds"))).first()[0] + "\n")
+    again = sdf.read_sdf(spark, f"file://{tmp_path}/y.sdf")
+    assert again.select("atoms", "bonds").collect() == mol.collect()
+    dense = sdf.dense_of(again, predicted=True, bins=10).first()
+    assert dense["structure"] == "CCl" and dense["vec"] == [0, 0, 0, 0, 0, 3, 0, 2, 0, 0]
     rows = spark.createDataFrame([("CC", "01", "a"), ("CN", "11", "b"), ("CO", "00", "a")], "smiles string, fingerprint string, reason string")
     R.write_lines(rows.where("smiles = 'CC'"), "smiles", f"file://{tmp_path}/lines")
     R.write_lines(rows.where("smiles <> 'CC'"), "smiles", f"file://{tmp_path}/lines")

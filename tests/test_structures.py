@@ -283,6 +283,14 @@ def test_partial_least_squares(spark, components):
         assert got[k, :5] == pytest.approx(want, abs=1e-6) and got[k, 5] == pytest.approx(y[:, k].mean() - want @ x.mean(0), abs=1e-6)
 
 
+def test_chosen_components(spark):
+    x, y, df = labelled(spark)
+    got, number = L.chosen_components(df, df, least=1, most=5)
+    fits = [L.least_squares_components(df, components=k) for k in range(1, 6)]
+    right = np.array([((np.c_[x, np.ones(400)] @ w.T > 0.5) == y).sum(0) for w in fits])
+    assert (number == right.argmax(0) + 1).all() and got == pytest.approx(np.array([fits[k - 1][j] for j, k in enumerate(number)]), abs=1e-12)
+
+
 def test_filled_isotopes(spark):
     rows = spark.createDataFrame([("S", 31.97, 0.95), ("S", 32.97, 0.0076), ("S", 33.97, 0.0422), ("S", 35.97, 0.0002), ("Se", 73.92, 0.9), ("X", None, 1.0)], "element string, mass double, area double")
     got = [(r["element"], r["place"], round(r["mass"], 2), r["area"]) for r in Mol.filled_isotopes(rows).orderBy("element", "place").collect()]
