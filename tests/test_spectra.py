@@ -58,7 +58,7 @@ def test_msp(spark, tmp_path):
     (tmp_path / "a.msp").write_text("NAME: x\nID: one\nMW: 12.5\nComment: Energy1\nNum Peaks: 2\n50.5 10\n60 90\n\nName: y\nFP: 0110\nnum peaks: 3\n1 2; 3 4;\n5 6\n\n")
     a, b = L.read_msp(spark, str(tmp_path / "a.msp")).orderBy("name").collect()
     assert (a["id"], a["energy"], a["mw"], a["num_peaks"]) == ("one", 1, 12.5, 2) and [tuple(p) for p in a["peaks"]] == [(50.5, 10.0), (60.0, 90.0)]
-    assert (b["id"], b["energy"], b["fp"]) == ("y", 0, "0110") and [tuple(p) for p in b["peaks"]] == [(1.0, 2.0), (3.0, 4.0), (5.0, 6.0)]
+    assert (b["id"], b["energy"], b["fp"]) == ("y", 1, "0110") and [tuple(p) for p in b["peaks"]] == [(1.0, 2.0), (3.0, 4.0), (5.0, 6.0)]
 
 
 def test_peak_lists_and_sdf(spark, tmp_path):
