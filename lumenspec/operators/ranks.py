@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspec.operators.matching import block_scores, top_k
+from lumenspec.operators.matching import LIBRARY_BLOCK, QUERY_BLOCK, block_scores, top_k
 from lumenspec.operators.studies import MISSING
+from lumenspec.tables import written
 
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 DIGITS = 6  # decimals that scores are rounded to before they are compared
@@ -122,3 +123,46 @@ def tiered_answers(queries: DataFrame, library: DataFrame, score: Score, enough:
     first = F.col("top") > enough
     rank = lambda t, n: F.when(F.col(t).isNull(), F.lit(MISSING).cast("long")).otherwise(F.lit(1) + F.col(n))
     return one.select("query", F.when(first, "measured").otherwise("all").alias("tier"), F.when(first, rank("truth_measured", "am")).otherwise(rank("truth", "af")).alias("rank"), F.coalesce(F.when(first, F.col("truth_measured")).otherwise(F.col("truth")), F.lit(0.0)).alias("score"))
+
+
+def _parts(counts: DataFrame, most: int, name: str) -> DataFrame:
+    """(_cell, name): into how many parts a cell's rows are cut."""
+    return counts.groupBy("_cell").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+
+
+def windowed_answers(queries: DataFrame, library: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], width: float) -> DataFrame:
+    """(query, rank, candidates) of queries (query, answer, mass, ...) among the library's rows (lib, mass, ...) whose mass is
+    less than `width` away, by score(queries, rows), a matrix of two tables (J7, F2): 1 + how many score above the answer.
+
+    Both sides lie in cells of the window's width, a query in three; a cell is cut into parts of at most
+    LIBRARY_BLOCK by QUERY_BLOCK rows, about, so a mass that many share is dealt to many tasks. A part gives back counts.
+    Queries whose answer is not within their window drop out; a row does not meet its own id.
+    """
+    cell = F.floor(F.col("mass") / width)
+    near = lambda a, b: (a["query"].to_numpy()[:, None] != b["lib"].to_numpy()[None, :]) & (np.abs(a["mass"].to_numpy()[:, None] - b["mass"].to_numpy()[None, :]) < width)
+    own = [c for c in library.columns if c != "lib"]
+    both = queries.join(library.select(F.col("lib").alias("answer"), *[F.col(c).alias(f"_b_{c}") for c in own]), "answer").where((F.col("query") != F.col("answer")) & (F.abs(F.col("mass") - F.col("_b_mass")) < width))
+    mine = [c for c in queries.columns if c != "answer"]
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            found = [float(score(d.iloc[[i]], d.iloc[[i]][[f"_b_{c}" for c in own]].rename(columns=lambda c: c[3:]))[0, 0]) for i in range(len(d))]
+            yield pd.DataFrame({"query": d["query"], "truth": np.round(found, DIGITS)})
+
+    truth = both.mapInPandas(one, "query long, truth double").groupBy("query").agg(F.max("truth").alias("truth"))
+    known = written(queries.select(*mine).join(truth, "query"))
+    left = known.withColumn("_cell", F.explode(F.array(*[cell + k for k in (-1, 0, 1)])))
+    right = library.withColumn("_cell", cell)
+    sizes = _parts(left, QUERY_BLOCK, "_qs").join(_parts(right, LIBRARY_BLOCK, "_ls"), "_cell")
+    dealt = lambda d, key, mine, me, theirs, it: d.join(sizes, "_cell").withColumn(me, F.pmod(F.xxhash64(key), F.col(mine)).cast("int")).withColumn(it, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))).drop("_qs", "_ls")
+    keys = ["_cell", "_q", "_l"]
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query": [], "better": [], "candidates": []})
+        some = near(a, b)
+        s = np.where(some, np.round(score(a, b), DIGITS), np.nan)
+        return pd.DataFrame({"query": a["query"], "better": (s > a["truth"].to_numpy()[:, None]).sum(1), "candidates": some.sum(1)})
+
+    parts = dealt(left, "query", "_qs", "_q", "_ls", "_l").groupBy(*keys).cogroup(dealt(right, "lib", "_ls", "_l", "_qs", "_q").groupBy(*keys)).applyInPandas(count, "query long, better long, candidates long")
+    return parts.groupBy("query").agg((F.lit(1) + F.sum("better")).alias("rank"), F.sum("candidates").alias("candidates"))

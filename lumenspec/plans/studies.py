@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lumenspec.functions import dense as D
@@ -31,13 +32,12 @@ p AS (SELECT a.vec_id AS query, b.vec_id AS lib, list_dot_product(a.vec, b.vec)
 s AS (SELECT query, lib, round(0.3::DOUBLE * c + 0.7::DOUBLE * j, 6) AS score FROM p), t AS (SELECT query, max(score) AS t FROM s WHERE lib = query + 1 GROUP BY query)
 SELECT query, 1 + sum((score > t)::INT)::BIGINT AS rank, count(*) AS candidates FROM s JOIN t USING (query) GROUP BY query""")
 def candidate_study(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("vec_id", (F.col("vec_id") % 200).cast("double").alias("mass"), "vec", M.inner(F.col("vec"), F.col("vec")).alias("norm"), S.set_bits(F.col("bits")).alias("set"))
-    a = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("mass").alias("_x"), F.col("vec").alias("_a"), F.col("norm").alias("_na"), F.col("set").alias("_sa"))
-    b = v.select(F.col("vec_id").alias("lib"), F.col("mass").alias("_y"), F.col("vec").alias("_b"), F.col("norm").alias("_nb"), F.col("set").alias("_sb"))
-    near = M.band_join(a, b, "_x", "_y", 5.0).where((F.abs(F.col("_x") - F.col("_y")) < 5) & (F.col("query") != F.col("lib")))
-    cosine = M.share(M.inner(F.col("_a"), F.col("_b")), F.sqrt(F.col("_na") * F.col("_nb")))
-    score = F.round(T.mixed_score(cosine, M.bit_jaccard(F.col("_sa"), F.col("_sb"))), 6)
-    return T.study_ranks(near.select("query", "lib", (F.col("query") + 1).alias("answer"), score.alias("score")))
+    ones = F.transform(F.split("bits", ""), lambda x: x.cast("double"))
+    v = vectors(spark, sf_dir).select("vec_id", (F.col("vec_id") % 200).cast("double").alias("mass"), "vec", ones.alias("ones"))
+    a = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), (F.col("vec_id") + 1).alias("answer"), "mass", "vec", "ones")
+    stack = lambda d, c: np.stack(d[c].to_numpy()).astype(float)
+    score = lambda x, y: T.mixed_score(M.cosines(stack(x, "vec"), stack(y, "vec")), M.bit_jaccards(stack(x, "ones"), stack(y, "ones")))
+    return ranks.windowed_answers(a, v.withColumnRenamed("vec_id", "lib"), score, 5.0)
 
 
 @query(_PAIRS + """, t AS (SELECT query, max(score) FILTER (WHERE measured) AS top, max(score) FILTER (WHERE measured AND lib = answer) AS m, max(score) FILTER (WHERE lib = answer) AS f FROM s GROUP BY query),

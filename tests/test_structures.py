@@ -366,3 +366,21 @@ def test_blocks_give_what_pairs_give(spark, monkeypatch):
     assert rows(ranks.counts_above(a, b, M.cosines, 0.7), "query", "similar") == rows(M.block_scores(a, b, M.cosines).groupBy("query").agg(F.count_if(F.col("score") > 0.7).alias("similar")), "query", "similar")
     answers = a.select(F.col("query").alias("_q"), "answer")
     assert set(rows(E.rank_of_answers(pairs.drop("answer"), answers), "query")) == set(rows(counts, "query"))
+
+
+def test_windowed_answers(spark, monkeypatch):
+    """Parts of cells against all pairs, with half of the masses in one cell."""
+    monkeypatch.setattr(ranks, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(ranks, "LIBRARY_BLOCK", 11)
+    r = np.random.default_rng(8)
+    x, mass = r.integers(0, 4, (120, 3)).astype(float), np.where(r.random(120) < 0.5, 7.25, r.uniform(0, 60, 120))
+    df = spark.createDataFrame([(i, float(m), v.tolist()) for i, (m, v) in enumerate(zip(mass, x))], "lib long, mass double, vec array<double>")
+    a = df.where("lib % 6 = 0").select(F.col("lib").alias("query"), ((F.col("lib") * 7 + 1) % 120).alias("answer"), "mass", "vec")
+    score = lambda p, q: M.cosines(*[np.stack(d["vec"].to_numpy()).astype(float) for d in (p, q)])
+    got = {q["query"]: (q["rank"], q["candidates"]) for q in ranks.windowed_answers(a, df, score, 4.0).collect()}
+    s, want = np.round(M.cosines(x, x), 6), {}
+    for i in range(0, 120, 6):
+        near = [j for j in range(120) if j != i and abs(mass[i] - mass[j]) < 4]
+        if (i * 7 + 1) % 120 in near:
+            want[i] = (1 + sum(s[i, j] > s[i, (i * 7 + 1) % 120] for j in near), len(near))
+    assert got == want and len(want) > 3
