@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenspec.operators.matching import top_k
+from lumenspec.tables import written
 
 ANALYTES = 512  # spectra of a block of analytes
-PEAKS = 1 << 18  # peaks of a block of the library, about
+PEAKS = 1 << 17  # peaks of a block of the library, about
 
 
 def spectra_arrays(peaks: DataFrame, bits: DataFrame | None) -> DataFrame:
@@ -34,9 +35,11 @@ class _Postings:
 
     def __init__(self, mz: np.ndarray, owner: np.ndarray, weight: np.ndarray):
         order = np.lexsort((owner, mz))
-        self.owner, self.weight = owner[order], weight[order]
-        self.mz, self.first = np.unique(mz[order], return_index=True)
-        self.first = np.append(self.first, len(order))
+        mz, owner, weight = mz[order], owner[order], weight[order]
+        new = np.append(True, (mz[1:] != mz[:-1]) | (owner[1:] != owner[:-1]))[: len(mz)]  # equal m/z of a spectrum are one
+        self.owner, self.weight = owner[new], np.add.reduceat(weight, np.flatnonzero(new)) if len(mz) else weight
+        self.mz, self.first = np.unique(mz[new], return_index=True)
+        self.first = np.append(self.first, len(self.owner))
 
     def add(self, mz: np.ndarray, weight: np.ndarray, to: np.ndarray, seen: np.ndarray | None = None) -> None:
         """Add weight times the weights of the spectra that share an m/z to `to`, and mark them in `seen`."""
@@ -44,9 +47,10 @@ class _Postings:
         for k, m, w in zip(at.tolist(), mz.tolist(), weight.tolist()):
             if k < len(self.mz) and self.mz[k] == m:
                 some = slice(self.first[k], self.first[k + 1])
-                np.add.at(to, self.owner[some], w * self.weight[some])
+                owner = self.owner[some]
+                to[owner] += w * self.weight[some]
                 if seen is not None:
-                    seen[self.owner[some]] = True
+                    seen[owner] = True
 
 
 def _tops(mz: np.ndarray, intensity: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +91,8 @@ def search_all(analytes: DataFrame, library: DataFrame, bits: DataFrame | None =
     whose sixth digit is in doubt), not its pairs. A spectrum of intensities or m/z of 0 has the cosine 0; repeated ids
     are one spectrum; empty tables give an empty one.
     """
-    left, right = spectra_arrays(analytes, bits), spectra_arrays(library, bits)
-    rounds, blocks = max(1, -(-analytes.select("spec_id").distinct().count() // ANALYTES)), max(1, -(-library.count() // PEAKS))
+    left, right = written(spectra_arrays(analytes, bits)), written(spectra_arrays(library, bits))
+    rounds, blocks = max(1, -(-left.count() // ANALYTES)), max(1, -(-(right.agg(F.sum(F.size("mz"))).first()[0] or 0) // PEAKS))
     others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda d, mine, own, theirs, n: d.select(F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias(mine), others(n).alias(theirs), *d.columns)
 
