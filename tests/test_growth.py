@@ -14,3 +14,14 @@ def plan_of(df):
 def test_rules_broadcast_only_rules(spark):
     plan = plan_of(__spark_entry__.queries()["first_failed_rule"](spark, SF))
     assert len(re.findall(r"BroadcastExchange", plan)) == 1 and "BroadcastNestedLoopJoin" not in plan
+
+
+def all_pairs(spark, name):
+    ids = [r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
+    rows = __spark_entry__.queries()[name](spark, SF).collect()
+    want = {(q, x) for q in ids if q % 100 == 0 for x in ids if x != q}
+    return len(rows) == len(want) and {(r["query"], r["lib"]) for r in rows} == want
+
+
+def test_fp_jaccard_gives_every_pair(spark):
+    assert all_pairs(spark, "fp_jaccard")
