@@ -25,3 +25,7 @@ def all_pairs(spark, name):
 
 def test_fp_jaccard_gives_every_pair(spark):
     assert all_pairs(spark, "fp_jaccard")
+
+
+def test_simple_matching_gives_every_pair(spark):
+    assert all_pairs(spark, "simple_matching")
