@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import functools
 import itertools
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +43,29 @@ def cycles(bonds: DataFrame, most: int = 8) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def _independent(rows: pd.DataFrame) -> pd.DataFrame:
+def _small_cycles(bonds: list[tuple[int, int]], most: int) -> list[list[int]]:
+    """A molecule's cycles of at most `most` atoms, as in `cycles`."""
+    near: dict[int, list[int]] = {}
+    for a, b in bonds:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    out, paths = [], [[a, b] for a in near for b in near[a] if a < b]
+    while paths:
+        path = paths.pop()
+        for x in near[path[-1]]:
+            if x == path[0] and len(path) > 2 and path[1] < path[-1]:
+                out.append(path)
+            elif x > path[0] and len(path) < most and x not in path:
+                paths.append([*path, x])
+    return out
+
+
+def _independent(found: list[list[int]]) -> list[list[int]]:
     """Of a molecule's cycles those that no sum (over GF(2), bonds as bits) of shorter or earlier ones gives."""
     bits: dict[tuple[int, int], int] = {}
     reduced: dict[int, int] = {}
     out = []
-    for atoms in sorted((list(a) for a in rows["atoms"]), key=lambda a: (len(a), a)):
+    for atoms in sorted(found, key=lambda a: (len(a), a)):
         x = 0
         for a, b in zip(atoms, atoms[1:] + atoms[:1]):
             x ^= 1 << bits.setdefault((min(a, b), max(a, b)), len(bits))
@@ -56,7 +74,7 @@ def _independent(rows: pd.DataFrame) -> pd.DataFrame:
         if x:
             reduced[x.bit_length()] = x
             out.append(atoms)
-    return pd.DataFrame({"mol": rows["mol"].iloc[0], "ring": range(len(out)), "size": [len(a) for a in out], "atoms": out})
+    return out
 
 
 def rings(bonds: DataFrame, most: int = 8) -> DataFrame:
@@ -64,10 +82,25 @@ def rings(bonds: DataFrame, most: int = 8) -> DataFrame:
 
     A minimum cycle basis: cycles by size, each kept unless those before it sum to it. Among cycles of one size those
     with smaller atoms come first, so the result is the same on every run. Larger rings are not found: cycles of more
-    than `most` atoms are left out of the basis. A molecule without rings has no rows.
+    than `most` atoms are left out of the basis. A molecule without rings has no rows. A molecule's bonds are gathered in
+    one row by one shuffle, molecules pass in Arrow batches, and the rings are written, since those who ask read them again.
     """
-    kind = bonds.schema["mol"].dataType.simpleString()
-    return cycles(bonds, most).groupBy("mol").applyInPandas(_independent, f"mol {kind}, ring int, size int, atoms array<long>")
+    pair = F.struct(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
+    whole = bonds.where("a <> b and mol is not null").groupBy("mol").agg(F.collect_set(pair).alias("p")).where(F.size("p") > 2)
+    names = ["mol", "ring", "size", "atoms"]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ring, atoms = [], [], []
+            for i, p in enumerate(batch.column(1).to_pylist()):
+                own = _independent(_small_cycles([(x["a"], x["b"]) for x in p], most))
+                at += [i] * len(own)
+                ring += range(len(own))
+                atoms += own
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ring, pa.int32()), pa.array([len(x) for x in atoms], pa.int32()), pa.array(atoms, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return written(whole.mapInArrow(found, f"mol {bonds.schema['mol'].dataType.simpleString()}, ring int, size int, atoms array<long>"))
 
 
 def ring_atoms(found: DataFrame) -> DataFrame:

@@ -57,3 +57,15 @@ def test_window_search_has_no_pairs_of_a_window(spark):
     for name in ("smsf_topk_window", "cosine_fp_topk_window", "match_topk_mass_window"):
         plan = plan_of(__spark_entry__.queries()[name](spark, SF))
         assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_rings_in_one_pass(spark):
+    from lumenspec.operators import graphs as G
+
+    bonds = spark.createDataFrame([(None, 0, 1), (None, 1, 2), (None, 2, 0), (1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 2, 3), (1, 3, 0), (2, 0, 1), (2, 1, 0), (2, 2, 2)], "mol int, a int, b int")
+    found = G.rings(bonds)
+    assert found.schema["mol"].dataType.simpleString() == "int"
+    assert sorted(tuple(x) for x in found.collect()) == [(1, 0, 3, [0, 1, 2]), (1, 1, 3, [0, 2, 3])]
+    for name in ("ring_numbers", "ring_census", "bridged_rings"):
+        plan = plan_of(__spark_entry__.queries()[name](spark, SF))
+        assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" not in plan
