@@ -69,3 +69,12 @@ def test_rings_in_one_pass(spark):
     for name in ("ring_numbers", "ring_census", "bridged_rings"):
         plan = plan_of(__spark_entry__.queries()[name](spark, SF))
         assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" not in plan
+
+
+def test_tasks_grow_with_peaks(spark, monkeypatch):
+    from lumenspec.functions import spectra as S
+
+    monkeypatch.setattr(S, "TASK_ROWS", 100, raising=False)
+    p = spark.range(6000).selectExpr("id % 900 as spec_id", "id * 1.0 as mz", "1.0D as intensity")
+    for made in (S.quantise(p, 2), S.postprocess(p)):
+        assert made.rdd.getNumPartitions() >= 60
