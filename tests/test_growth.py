@@ -78,3 +78,20 @@ def test_tasks_grow_with_peaks(spark, monkeypatch):
     p = spark.range(6000).selectExpr("id % 900 as spec_id", "id * 1.0 as mz", "1.0D as intensity")
     for made in (S.quantise(p, 2), S.postprocess(p)):
         assert made.rdd.getNumPartitions() >= 60
+
+
+def test_batch_scores_are_pair_scores():
+    import numpy as np
+    import pytest
+
+    from lumenspec.operators import matching as M
+
+    r = np.random.default_rng(3)
+    spectrum = lambda n: (np.sort(r.choice([r.random() * 20, 5.0, 6.0], n) if n else np.zeros(0)) + np.arange(n), r.integers(0, 4, n).astype(float))
+    rows = [(*spectrum(int(r.integers(0, 25))), *spectrum(int(r.integers(0, 25)))) for _ in range(300)]
+    for absolute, ppm in ((1.1, 0), (0.01, 90000)):
+        pairs = [M.align(*x, absolute, ppm) for x in rows]
+        assert [M.align_small(*[v.tolist() for v in x], absolute, ppm) for x in rows] == pairs
+        got = M.batch_scores(*[[v.tolist() for v in c] for c in zip(*rows)], pairs)
+        for i, (x, p) in enumerate(zip(rows, pairs)):
+            assert {k: v[i] for k, v in got.items()} == pytest.approx(M.pair_scores(*x, p))
