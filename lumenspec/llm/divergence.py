@@ -1,8 +1,9 @@
 """Source divergence audit: how far each source's words lie from another source's and from its language's.
 
 Two passes over the texts. The first counts, exactly, in how many documents of its language each term stands. The second
-runs an automaton of the kept terms, each padded with a delimiter on both sides, over the padded texts and counts their
-occurrences by source. The terms of the most documents make up the automaton that is broadcast, of at most HEAD bytes;
+runs an automaton of the kept terms, each padded with a delimiter on both sides, over the padded words of the texts and
+counts their occurrences by source. A task gathers texts of about GATHER bytes, so that the automaton reads a word that
+they repeat once, with its counts beside it. The terms of the most documents make up the automaton that is broadcast, of at most HEAD bytes;
 words that it does not hold go on, as texts, to the parts of the rest, each with an automaton of its own. From there on
 rows are sparse: pairs of sources differ from what absent terms give only where a term occurs.
 """
@@ -10,7 +11,7 @@ rows are sparse: pairs of sources differ from what absent terms give only where
 from __future__ import annotations
 
 import functools
-import operator
+import itertools
 import uuid
 import zlib
 from collections import Counter
@@ -28,14 +29,15 @@ SCALE = 1_000_000_000
 HEAD = 8 << 20  # bytes of terms in one automaton, which takes about ten times as much in each Python worker
 LONGEST = 64  # bytes of a term in the broadcast automaton
 FLUSH = 1 << 19  # counts that a task holds
+GATHER = 1 << 22  # bytes of texts whose words are counted before the automaton reads them
 WORDS = 1 << 21  # bytes of words for the parts of the rest that a task holds
 PAIRS = 1 << 20  # pairs that a task holds
 #: Letters are A-Z, a-z and all beyond ASCII; every other byte delimits. A-Z become lower case.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(FOLD).split()
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(FOLD).split()
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
             seen.clear()
 
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())):
                 seen.setdefault(lang, Counter()).update(set(words_of(text.as_py())))
                 if sum(map(len, seen.values())) > FLUSH:
                     yield from flush()
@@ -68,14 +70,14 @@ def automaton(terms: list[str]) -> ahocorasick.Automaton:
     return a
 
 
-_built: dict[str, dict[str, tuple[np.ndarray, ahocorasick.Automaton, set[bytes]]]] = {}
+_built: dict[str, dict[str, tuple[np.ndarray, ahocorasick.Automaton, list[bytes]]]] = {}
 
 
-def _automata(key: str, shared) -> dict[str, tuple[np.ndarray, ahocorasick.Automaton, set[bytes]]]:
+def _automata(key: str, shared) -> dict[str, tuple[np.ndarray, ahocorasick.Automaton, list[bytes]]]:
     """By language, the numbers of the terms, their automaton and the terms; a worker keeps those of its last tasks."""
     if key not in _built:
         _built.clear()
-        _built[key] = {lang: (ids, automaton(terms), {t.encode() for t in terms}) for lang, (ids, terms) in shared.value.items()}
+        _built[key] = {lang: (ids, automaton(terms), [t.encode() for t in terms]) for lang, (ids, terms) in shared.value.items()}
     return _built[key]
 
 
@@ -96,14 +98,44 @@ def recount(texts: DataFrame, kept: DataFrame, rest: int = 0) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(key, shared)
-        seen: dict[tuple[int, str], Counter] = {}
+        fresh: dict[tuple[int, str], Counter] = {}  # words that no automaton has read yet
+        seen: dict[tuple[int, str], list[np.ndarray]] = {}  # places of terms, and how often each was found
         others: dict[tuple[int, str, int], list[bytes]] = {}
-        held = 0
+        gathered = counts = held = 0
+
+        def read() -> int:
+            """Runs the automata over the distinct fresh words; gives back the bytes of words for the rest."""
+            more = 0
+            for lang in {lang for _, lang in fresh}:
+                of_lang = {g: c for (g, x), c in fresh.items() if x == lang}
+                place: dict[bytes, int] = {}
+                if lang in automata:
+                    _, found, terms = automata[lang]
+                    padded = b" " + b" ".join(set().union(*of_lang.values())) + b" "
+                    place = {terms[k]: k for _, k in found.iter(padded.decode())}
+                for g, c in of_lang.items():
+                    at = np.fromiter(map(place.get, c, itertools.repeat(-1)), np.int64, len(c))
+                    both = np.stack([at, np.fromiter(c.values(), np.int64, len(c))])[:, at >= 0]
+                    seen.setdefault((g, lang), []).append(both)
+                    if rest:
+                        for w, n in [(w, n) for w, n in c.items() if w not in place]:
+                            others.setdefault((g, lang, zlib.crc32(w) * rest >> 32), []).extend([w] * n)
+                            more += len(w) * n
+            fresh.clear()
+            return more
+
+        def merged() -> int:
+            """Adds up what was found of each term; gives back how many counts are held."""
+            for k, parts in seen.items():
+                at, n = np.concatenate(parts, axis=1)
+                terms, where = np.unique(at, return_inverse=True)
+                seen[k] = [np.stack([terms, np.bincount(where, n, len(terms)).astype(np.int64)])]
+            return sum(x[0].shape[1] for x in seen.values())
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (g, lang), c in seen.items():
-                t = automata[lang][0][np.fromiter(c.keys(), np.int64, len(c))]
-                yield pa.RecordBatch.from_arrays([pa.array([g] * len(c), pa.int64()), pa.array(t), pa.array(list(c.values()), pa.int64()), *[pa.nulls(len(c), kinds[k]) for k in ("lang", "part", "words")]], list(kinds))
+            for (g, lang), [(at, n)] in seen.items():
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g)), pa.array(automata[lang][0][at]), pa.array(n), *[pa.nulls(len(at), kinds[k]) for k in ("lang", "part", "words")]], list(kinds))
             if others:
                 rows = [(g, None, None, lang, part, b" ".join(w).decode()) for (g, lang, part), w in others.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], list(kinds))
@@ -111,18 +143,21 @@ def recount(texts: DataFrame, kept: DataFrame, rest: int = 0) -> DataFrame:
             others.clear()
 
         for b in batches:
-            for g, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                data = b" " + (text.as_py() or "").encode().translate(FOLD) + b" "
-                _, found, own = automata.get(lang, (None, None, ()))
-                if found is not None:
-                    seen.setdefault((g, lang), Counter()).update(map(operator.itemgetter(1), found.iter(data.decode())))
-                if rest:
-                    for w in [w for w in data.split() if w not in own]:
-                        others.setdefault((g, lang, zlib.crc32(w) * rest >> 32), []).append(w)
-                        held += len(w)
-                if held > WORDS or sum(map(len, seen.values())) > FLUSH:
-                    yield from flush()
-                    held = 0
+            for g, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary())):
+                fresh.setdefault((g, lang), Counter()).update(words_of(data := text.as_py()))
+                gathered += len(data or b"")
+                if gathered > GATHER:
+                    held += read()
+                    gathered = 0
+                    counts = sum(x.shape[1] for parts in seen.values() for x in parts)
+                    if counts > FLUSH:
+                        counts = merged()
+                    if held > WORDS or counts > FLUSH // 2:
+                        merged()
+                        yield from flush()
+                        held = 0
+        read()
+        merged()
         yield from flush()
 
     return texts.select("g", "lang", "text").mapInArrow(scan, "g long, t long, n long, lang string, part int, words string")

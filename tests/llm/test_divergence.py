@@ -55,6 +55,41 @@ def test_brute_force(spark, monkeypatch, head, longest, flush):
     assert rows_of(D.divergence(df, head_bytes=head, longest=longest)) == brute(ROWS)
 
 
+@pytest.mark.parametrize("gather, flush, words", [(0, 1, 1), (20, 6, 10**6), (200, 10**6, 8)])
+def test_words_are_read_once(spark, monkeypatch, gather, flush, words):
+    """However often texts repeat a word, an automaton reads it once; what is gathered, added up and flushed changes no count."""
+    for k, v in (("GATHER", gather), ("FLUSH", flush), ("WORDS", words)):
+        monkeypatch.setattr(D, k, v)
+    df = spark.createDataFrame([(*r, "clash", 1) for r in ROWS], SCHEMA).coalesce(1)
+    assert rows_of(D.divergence(df, head_bytes=30)) == brute(ROWS)
+
+
+def test_automaton_reads_distinct_words(spark, tmp_path):
+    seen = tmp_path / "read"
+
+    class Told:
+        def __init__(self, found):
+            self.found = found
+
+        def iter(self, text):
+            with seen.open("a") as f:
+                f.write(text + "\n")
+            return self.found.iter(text)
+
+    def automata(key, shared):
+        return {lang: (ids, Told(D.automaton(terms)), [t.encode() for t in terms]) for lang, (ids, terms) in shared.value.items()}
+
+    old, D._automata = D._automata, automata
+    try:
+        texts = spark.createDataFrame([(1, "en", "mat a on " * 3000), (2, "en", "on mat mat")], "g long, lang string, text string").coalesce(1)
+        kept = spark.createDataFrame([(7, "en", "mat"), (8, "en", "on")], "t long, lang string, term string")
+        recount = D.recount(texts, kept)
+        assert sorted(tuple(r)[:3] for r in recount.collect()) == [(1, 7, 3000), (1, 8, 3000), (2, 7, 2), (2, 8, 1)]
+        assert sorted(seen.read_text().split()) == ["a", "mat", "on"]
+    finally:
+        D._automata = old
+
+
 def test_limits_and_empty(spark, monkeypatch):
     monkeypatch.setattr(D, "PAIRS", 3)
     df = spark.createDataFrame([(*r, "clash", 1) for r in ROWS], SCHEMA)
