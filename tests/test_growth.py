@@ -95,3 +95,9 @@ def test_batch_scores_are_pair_scores():
         got = M.batch_scores(*[[v.tolist() for v in c] for c in zip(*rows)], pairs)
         for i, (x, p) in enumerate(zip(rows, pairs)):
             assert {k: v[i] for k, v in got.items()} == pytest.approx(M.pair_scores(*x, p))
+
+
+def test_key_ranks_write_no_pairs(spark):
+    """A pair of dense_key_ranks is neither a row of a written table nor of a window."""
+    plan = plan_of(__spark_entry__.queries()["dense_key_ranks"](spark, SF))
+    assert "Window" not in plan and "score" not in plan

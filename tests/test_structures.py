@@ -368,6 +368,25 @@ def test_blocks_give_what_pairs_give(spark, monkeypatch):
     assert set(rows(E.rank_of_answers(pairs.drop("answer"), answers), "query")) == set(rows(counts, "query"))
 
 
+def test_places_from_packed_lists(spark, monkeypatch):
+    """Lists of ranges of the library against ranks of all pairs as rows, with many ties over ranges, a zero vector and repeated ids."""
+    monkeypatch.setattr(ranks, "LIBRARY_BLOCK", 17)
+    monkeypatch.setattr(ranks, "PLACES_BLOCK", 3)
+    x = np.random.default_rng(4).integers(0, 3, (90, 4)).astype(float)
+    x[5] = 0
+    again = [(8, 0, x[9].tolist()), (18, 2, x[20].tolist())]
+    v = spark.createDataFrame([(i, int(i % 4), a.tolist()) for i, a in enumerate(x)] + again, "id long, label int, vec array<double>").cache()
+    a = v.where("id % 9 = 0 or id = 5").select(F.col("id").alias("query"), F.when(F.col("id") == 81, 7).otherwise(F.col("label")).alias("query_key"), "vec")
+    b = v.select(F.col("id").alias("lib"), F.col("label").alias("lib_key"), "vec").repartition(5)
+    pairs = M.block_scores(a, b, M.cosines).withColumn("score", F.round("score", 6))
+    rows = lambda df: sorted(tuple(r) for r in df.select("query", "best", "worst", "mean").collect())
+    found = rows(ranks.key_places(a, b, M.cosines))
+    assert found == rows(E.key_ranks(pairs)) and len(found) == 10
+    falling = np.array([70000, 300, 300, -5, -(1 << 30)], np.int32)
+    assert (ranks.unpacked(ranks.packed(falling)) == falling).all() and len(ranks.unpacked(ranks.packed(falling[:0]))) == 0
+    assert ranks.half_away(np.array([0.0000005, -0.0000015, 0.2, np.nan])).tolist() == [1, -2, 200000, -(1 << 30)]
+
+
 def test_windowed_answers(spark, monkeypatch):
     """Parts of cells against all pairs, with half of the masses in one cell."""
     monkeypatch.setattr(ranks, "QUERY_BLOCK", 4)
