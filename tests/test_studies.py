@@ -125,3 +125,22 @@ def test_beliefs_against_all_paths(spark):
     e = spark.createDataFrame([(m, a, b, math.log(p)) for m, a, b, p in edges], "mol long, src long, dst long, log_p double")
     got = E.beliefs(e, spark.createDataFrame([(1, 0, 1.0)], "mol long, node long, p double"), spark.createDataFrame([(1, k, p) for k, p in seen.items()], "mol long, node long, p double"), 2)
     assert {(r["step"], r["node"]): r["belief"] for r in got.collect()} == pytest.approx({k: w / whole for k, w in want.items() if w > 1e-12})
+
+
+def test_means_on_a_tie_are_exact(spark, tmp_path):
+    """32 hundredths whose mean lies between two sixth digits, added in two tasks: halves away from zero, as the SQL has it."""
+    import duckdb
+
+    from lumenspec.plans import studies
+
+    cents = [2, 5, 7, 2, 9, 7, 3, 1, 6, 9, 8, 6, 1, 10, 4, 4, 3, 6, 8, 0, 3, 8, 7, 9, 0, 0, 10, 9, 3, 4, 3, 2]
+    rows = [(97, 300, 1, c / 100) for c in cents] + [(98, 301, 1, None)]
+    for part in (rows[:16], rows[16:]):
+        spark.createDataFrame(part, "l_orderkey long, l_partkey long, l_linenumber int, l_discount double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet' WHERE l_discount IS NOT NULL")
+    for name in ("candidate_report", "ranked_over_energies"):
+        got = studies.QUERIES[name](spark, str(tmp_path))
+        key, text = got.columns[0], "text" if name == "candidate_report" else "score"
+        assert [(r[key], r[text]) for r in got.collect() if r[key] == 0] == [(0, "0.049688: 0; " if text == "text" else 0.049688)]
+        assert [r[got.columns.index(text)] for r in con.sql(studies.ORACLES[name]).select(*got.columns).fetchall()] == ["0.049688: 0; " if text == "text" else 0.049688]
