@@ -97,6 +97,16 @@ def test_batch_scores_are_pair_scores():
             assert {k: v[i] for k, v in got.items()} == pytest.approx(M.pair_scores(*x, p))
 
 
+def test_tasks_of_large_tables_hold_no_more_than_those_of_small_ones(spark):
+    from lumenspec.functions import spectra as S
+
+    most = []
+    for n in (300_000, 2_400_000):
+        p = spark.range(n).selectExpr("id % (id div 7 + 1) as spec_id", "id * 1.0 as mz", "1.0D as intensity")
+        most.append(n / S.quantise(p, 0).rdd.getNumPartitions())
+    assert most[1] <= 300_000 and most[1] <= 4 * most[0]
+
+
 def test_key_ranks_write_no_pairs(spark):
     """A pair of dense_key_ranks is neither a row of a written table nor of a window."""
     plan = plan_of(__spark_entry__.queries()["dense_key_ranks"](spark, SF))
