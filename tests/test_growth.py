@@ -111,3 +111,33 @@ def test_key_ranks_write_no_pairs(spark):
     """A pair of dense_key_ranks is neither a row of a written table nor of a window."""
     plan = plan_of(__spark_entry__.queries()["dense_key_ranks"](spark, SF))
     assert "Window" not in plan and "score" not in plan
+
+
+def test_band_pairs_in_small_lists(spark):
+    """Lists of three rows give every pair of the window once, and keep copies, nulls and not-a-number values as the plain join does."""
+    import numpy as np
+
+    from lumenspec.operators.matching import band_join, band_pairs
+
+    r = np.random.default_rng(3)
+    some = [float(v) for v in r.choice([0.0, 1.0, 2.5, *(6 * r.random(60) - 2)], 150)] + [None, float("nan")]
+    a = spark.createDataFrame([(i, v) for i, v in enumerate(some[:60] + some[-2:])], "i long, x double")
+    b = spark.createDataFrame([(i % 140, v) for i, v in enumerate(some)], "j long, y double")
+    key = lambda df: sorted(tuple(x) for x in df.select("i", "x", "j", "y").collect())
+    want = sorted((i, x, j, y) for i, x in a.collect() for j, y in b.collect() if x is not None and y is not None and abs(x - y) <= 0.75)
+    assert want and key(band_pairs(a, b, "x", "y", 0.75, 3)) == want == key(band_join(a, b, "x", "y", 0.75))
+
+
+def test_mass_window_join_writes_few_bytes_a_pair(spark, tmp_path):
+    """30 copies of 500 masses, in any order: half a byte a pair at most on disk, since a library row's pairs lie together in order of mass."""
+    import numpy as np
+
+    price = np.random.default_rng(4).integers(0, 5_000_000, 500) / 100
+    rows = [(k * 1000 + i, float(p), "1-URGENT") for k in range(30) for i, p in enumerate(price)]
+    rows = [rows[i] for i in np.random.default_rng(5).permutation(len(rows))]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    __spark_entry__.queries()["mass_window_join"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    mass = price / 1000
+    pairs = 30 * 30 * int((np.abs(mass[None, ::50] - mass[np.arange(500) % 50 != 0][:, None]) <= 1).sum())
+    assert spark.read.parquet(f"{tmp_path}/out").count() == pairs
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.5 * pairs
