@@ -209,3 +209,23 @@ def test_block_search_keeps_the_best(spark):
             row = row[row != np.iinfo(np.int64).max]
             got = [((x >> search.PLACE_BITS) - ((1 << search.CUT_BITS) - 1), x & ((1 << search.PLACE_BITS) - 1)) for x in row.tolist()]
             assert [p for _, p in got] == [p for _, p in want] or all(abs(x[0] - y[0]) <= 1 for x, y in zip(got, want)) and len(got) == len(want), (i, top_n)
+
+
+def test_band_pairs_lie_in_runs(spark, tmp_path):
+    """Twenty copies of 60 masses: a row of the left side stands once beside all rows of one mass, so files hold it once a run, and so the difference."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    from lumenspec.operators.matching import band_pairs
+
+    mass = [float(x) for x in 10 * np.random.default_rng(6).random(60)]
+    rows = spark.createDataFrame([(c * 60 + i, m) for c in range(20) for i, m in enumerate(mass)], "id int, m double")
+    a, b = rows.where("id % 5 = 0").selectExpr("id as i", "m as x"), rows.where("id % 5 <> 0").selectExpr("id as j", "m as y")
+    band_pairs(a, b, "x", "y", 1.0).selectExpr("i", "j", "abs(x - y) as d", "y").write.parquet(f"{tmp_path}/out")
+    runs, seen = 0, 0
+    for f in (tmp_path / "out").glob("*.parquet"):
+        t = pq.read_table(f).to_pydict()
+        seen += len(t["i"])
+        runs += sum(k == 0 or (t["i"][k], t["y"][k]) != (t["i"][k - 1], t["y"][k - 1]) for k in range(len(t["i"])))
+    want = [(i, j) for i in range(60) for j in range(60) if i % 5 == 0 and j % 5 and abs(mass[i] - mass[j]) <= 1]
+    assert want and seen == 400 * len(want) and runs == 20 * len(want)
